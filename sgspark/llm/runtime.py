@@ -114,10 +114,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def appended(df: DataFrame, text: str, make, fields: str) -> DataFrame:
+def appended(df: DataFrame, text: str, make, fields: str, slice_bytes: int = 2_000_000) -> DataFrame:
     """df with columns that ``make(slice) -> list of arrays`` computes from the text column, in one pass of Arrow batches.
 
-    fields: DDL of the new columns; columns of df with these names are replaced. Texts come as textcore slices.
+    fields: DDL of the new columns; columns of df with these names are replaced. Texts come as textcore slices of about slice_bytes.
     """
     from pyspark.sql.types import StructType
 
@@ -136,7 +136,7 @@ def appended(df: DataFrame, text: str, make, fields: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [make(s) for s in textcore.slices(batch.column(at))]
+            parts = [make(s) for s in textcore.slices(batch.column(at), slice_bytes)]
             made = [pa.concat_arrays([pa.array(p[i], type=out.field(len(kept) + i).type) for p in parts]) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made, schema=out)
 
