@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.llm import classifiers, decontaminate
+from sgspark.llm import classifiers, decontaminate, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,36 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(covered.n_hi
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN its USING (rid)
 """
 
-QUERIES = {"op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, with each one's training position."""
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("source")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) AS BIGINT) AS size,
+  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS r FROM s0),
+s2 AS (SELECT *, CASE r % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM s1),
+s3 AS (SELECT *, row_number() OVER o AS place, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, 1.5::DOUBLE * sum(source_size) OVER () AS total
+  FROM s2 WINDOW o AS (ORDER BY cap / w, r)),
+s4 AS (SELECT *, (total - before) / rest AS level FROM s3),
+op AS (SELECT min(place) AS p FROM s4 WHERE cap > w * level),
+lv AS (SELECT level AS l FROM s4 WHERE place = (SELECT p FROM op)),
+s5 AS (SELECT *, CASE WHEN (SELECT p FROM op) IS NULL OR place < (SELECT p FROM op) THEN cap ELSE w * (SELECT l FROM lv) END AS target FROM s4),
+e AS (SELECT d.doc_id, d.size, s5.source_size, s5.target, s5.r,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+f AS (SELECT *, greatest(0, least(size, floor(target) - a)) + greatest(0, least(size, floor(target) - a - source_size)) AS taken, a / target AS u FROM e)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN taken > 0 THEN round(CASE r % 3
+    WHEN 0 THEN 2.0 * u / (1.5 + sqrt(greatest(0.0, 2.25 - 2.0 * u)))
+    WHEN 1 THEN 2.0 * u / (1.0 + sqrt(1.0))
+    ELSE 2.0 * u / (0.5 + sqrt(greatest(0.0, 0.25 + 2.0 * u))) END, 6) END AS first_at
+FROM f
+"""
+
+QUERIES = {"op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
 
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL}
