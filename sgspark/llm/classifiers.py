@@ -219,11 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, kind: str, take, bits:
     def train(batch: pa.Table) -> pa.Table:
         order = np.lexsort([batch["_y"].to_numpy(), batch["_id"].to_numpy()])
         y = batch["_y"].to_numpy()[order].astype(float)
-        loaded = [np.load(io.BytesIO(batch["_f"][int(i)].as_py())) for i in order]
+        loaded = ((x["ids"], x["offsets"]) for x in (np.load(io.BytesIO(batch["_f"][int(i)].as_py())) for i in order))
         if kind == "ngram":
-            w = fit_ftrl([_ngram_example(x["ids"].astype(np.int64), bits) for x in loaded], y, bits)
+            w = fit_ftrl([_ngram_example(ids, bits) for ids, _ in loaded], y, bits)
         else:
-            w = fit_noisy_or([(x["ids"].astype(np.int64), x["offsets"].astype(np.int64)) for x in loaded], y, bits)
+            w = fit_noisy_or(list(loaded), y, bits)
         return pa.table({"w": pa.array([w.tobytes()], pa.binary())})
 
     got = feats.groupBy(F.lit(1).alias("_one")).applyInArrow(train, "w binary").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.llm import classifiers, decontaminate, mixing
+from sgspark.llm import classifiers, decontaminate, html_extract, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,12 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
 FROM f
 """
 
-QUERIES = {"op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL}
