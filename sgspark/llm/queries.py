@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.llm import classifiers, decontaminate, html_extract, mixing
+from sgspark.llm import classifiers, decontaminate, html_extract, mixing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(pages).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus as sequences in training order."""
+    return tokens.materialised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL}
