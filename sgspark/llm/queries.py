@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.llm import classifiers, decontaminate, html_extract, lines, mixing, near_documents, substrings, tokens
+from sgspark.llm import classifiers, decontaminate, embeddings, html_extract, lines, mixing, near_documents, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +137,11 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op10_lines": op10_lines, "op2_ngram_join": op2_ngram_join, "op7_substrings": op7_substrings, "op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return embeddings.classes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {"op6_embeddings": op6_embeddings, "op10_lines": op10_lines, "op2_ngram_join": op2_ngram_join, "op7_substrings": op7_substrings, "op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_substrings": OP7_SQL, "op9_decontaminate": OP9_SQL}
