@@ -7,9 +7,10 @@
    beam starts narrow and doubles for queries whose whole beam is linked, and for the block as long as an audit of
    AUDITED queries against all vectors of the shard finds less than ``recall`` of their links; a beam as wide as the
    shard is the exact scan.
-3. Every link is verified by its cosine in double precision. Members of one found cluster are all compared with each
-   other, so a cluster's counts don't depend on the search order. A task gives each query its number of linked vectors
-   (with copies) and a spanning forest of links; no pair is ever a row. Components are the forests' union.
+3. Every link found is verified by its cosine in double precision; a task gives a spanning forest of its links, and
+   components are the forests' union.
+4. Members of a component are all compared with each other in double precision, in tiles of two blocks, so the number of
+   links (with copies) doesn't depend on which side of a link was found. No pair is ever a row.
 
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing; vectors of different
 lengths don't link with each other. Rows that share a vec_id are separate vectors; a null vec_id is a component's id only
@@ -36,6 +37,8 @@ NEIGHBOURS, LAYER, BUILD_BEAM, BEAM = 24, 16, 48, 32
 BLOCK, AUDITED, RECALL = 1024, 32, 0.99
 #: Queries that one task answers at most, about.
 SALT_ROWS = 32768
+#: Vectors of a block of a component.
+TILE = 2048
 #: Float32 similarities this far below the threshold are still verified.
 SLACK = 1e-3
 
@@ -201,38 +204,28 @@ def hits(graph: Graph, x: np.ndarray, threshold: float, recall: float, seed: int
         beam *= 2
 
 
-def _block_links(graph: Graph, exact: np.ndarray, uid: np.ndarray, mult: np.ndarray, q: np.ndarray, q_uid: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of the queries q with a shard: the number of linked vectors of each, and a forest of (uid, uid)."""
-    rows, nodes, _ = hits(graph, q / np.linalg.norm(q, axis=1)[:, None], threshold - SLACK, RECALL, seed)
+def _block_links(graph: Graph, exact: np.ndarray, uid: np.ndarray, q: np.ndarray, q_uid: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (uid, uid) of the links, verified in double precision, of the queries q with a shard."""
+    norm_q = np.linalg.norm(q, axis=1)
+    rows, nodes, _ = hits(graph, q / norm_q[:, None], threshold - SLACK, RECALL, seed)
     at = graph.order[nodes]
-    count = np.zeros(len(q), dtype=np.int64)
-    if not len(rows):
-        return count, at, at
-    norm, norm_q = np.linalg.norm(exact, axis=1), np.linalg.norm(q, axis=1)
-    # clusters of queries and shard members; all of a cluster are compared
-    n = len(q)
-    leaf, root = forest(rows, at + n)
-    label = np.arange(n + len(exact))
-    label[leaf] = root
-    a_out, b_out = [], []
-    used_q, used_x = np.unique(rows), np.unique(at)
-    oq, ox = used_q[np.argsort(label[used_q], kind="stable")], used_x[np.argsort(label[used_x + n], kind="stable")]
-    lq, lx = label[oq], label[ox + n]
-    for c in np.unique(lq):
-        qs = oq[np.searchsorted(lq, c) : np.searchsorted(lq, c, side="right")]
-        xs = ox[np.searchsorted(lx, c) : np.searchsorted(lx, c, side="right")]
-        for k in range(0, len(xs), 4096):
-            part = xs[k : k + 4096]
-            cosine = (q[qs] @ exact[part].T) / (norm_q[qs][:, None] * norm[part][None, :])
-            link = (cosine >= threshold) & (q_uid[qs][:, None] != uid[part][None, :])
-            count[qs] += link @ mult[part]
-            i, j = np.nonzero(link)
-            if len(i):
-                a, b = forest(q_uid[qs][i], uid[part][j])
-                a_out.append(a)
-                b_out.append(b)
-    none = np.zeros(0, np.int64)
-    return count, np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
+    cosine = np.einsum("id,id->i", q[rows], exact[at]) / (norm_q[rows] * np.linalg.norm(exact, axis=1)[at])
+    good = (cosine >= threshold) & (q_uid[rows] != uid[at])
+    return forest(q_uid[rows[good]], uid[at[good]])
+
+
+def _tile(uid: np.ndarray, mult: np.ndarray, vec: np.ndarray, block: np.ndarray, first: int, second: int, threshold: float) -> np.ndarray:
+    """For each vector of a tile the number of those, with copies, that it links with across the tile's two blocks."""
+    norm = np.linalg.norm(vec, axis=1)
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    count = np.zeros(len(uid), dtype=np.int64)
+    for k in range(0, len(left), 1024):
+        part = left[k : k + 1024]
+        link = (vec[part] @ vec[right].T / (norm[part][:, None] * norm[right][None, :]) >= threshold) & (uid[part][:, None] != uid[right][None, :])
+        count[part] += link @ mult[right]
+        if first != second:
+            count[right] += mult[part] @ link
+    return count
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -294,16 +287,52 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
                     end += 1
                 if keys[at] == key:
                     q_uid = batch.column(4).slice(at, end - at).to_numpy()
-                    count, a, b = _block_links(graph, loaded["exact"], loaded["uid"], loaded["mult"], _matrix(batch.column(5).slice(at, end - at)), q_uid, threshold, int(q_uid[0]) & 0xFFFF)
-                    has = np.flatnonzero(count)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q_uid[has], a])), pa.array(np.concatenate([np.full(len(has), -1), b])), pa.array(np.concatenate([count[has], np.zeros(len(a), np.int64)]))], ["a", "b", "w"])
+                    a, b = _block_links(graph, loaded["exact"], loaded["uid"], _matrix(batch.column(5).slice(at, end - at)), q_uid, threshold, int(q_uid[0]) & 0xFFFF)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
                 at = end
 
     both = have.unionAll(ask).repartition(max(parts, min(shards * salts, 4 * parts)), "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "kind", "uid")
-    links = written(both.mapInArrow(answer, "a long, b long, w long"), "links")
-    counts = links.where("b = -1").groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("w"))
-    roots = components(links.where("b >= 0").select("a", "b"))
-    slim = units.drop("vec").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    roots = components(both.mapInArrow(answer, "a long, b long")).select(F.col("node").alias("uid"), "root")
+    roots = written(roots.union(roots.select(F.col("root").alias("uid"), "root").distinct()), "roots")
+    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb"))
+    member = units.join(roots, "uid").join(blocks, "root")
+    block = F.when(F.col("nb") == 1, 0).otherwise(F.pmod(F.xxhash64("uid", F.lit(9)), F.col("nb"))).cast("int")
+    tiles = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    tiles = tiles.select("root", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "uid", "mult", "vec")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def close() -> pa.RecordBatch | None:
+            if sum(h.num_rows for h in held) < 2:
+                return None
+            column = lambda i: np.concatenate([h.column(i).to_numpy() for h in held])
+            uid = column(4)
+            w = _tile(uid, column(5), np.concatenate([_matrix(h.column(6)) for h in held]), column(3), now[1], now[2], threshold)
+            has = np.flatnonzero(w)
+            return pa.RecordBatch.from_arrays([pa.array(uid[has]), pa.array(w[has])], ["a", "w"])
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for k, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if k == end:
+                    continue
+                key = tuple(keys[k].tolist())
+                if now is not None and key != now:
+                    if (made := close()) is not None:
+                        yield made
+                    held = []
+                now = key
+                held.append(batch.slice(k, end - k))
+        if held and (made := close()) is not None:
+            yield made
+
+    counts = tiles.repartition(parts, "root", "ti", "tj").sortWithinPartitions("root", "ti", "tj").mapInArrow(count, "a long, w long")
+    counts = counts.groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("w"))
+    slim = units.drop("vec").join(roots, "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = slim.groupBy("root").agg(F.min("first").alias("component"))
     slim = slim.join(least, "root").select("h1", "h2", "component", (F.col("mult") - 1 + F.coalesce("w", F.lit(0))).alias("links"), F.lit(True).alias("valid"))
     out = rows.select("vec_id", "h1", "h2", "valid").join(slim, ["h1", "h2", "valid"], "left")
