@@ -5,6 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.llm import setjoin
@@ -30,13 +31,16 @@ def classes(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The rows and columns of docs, one row of each class: the smallest doc_id's. Of rows that tie in doc_id and text one
-    stays. Texts without words are no copies of each other here and all stay."""
+    """The rows and columns of docs, one row of each class: the smallest doc_id's. Of rows that tie in doc_id, the one with
+    the smallest hash of its text stays, and of equal rows one. Texts without words, null ones too, all stay."""
     table = setjoin.joined(_rows(docs), setjoin.word_shingles(SHINGLE), threshold)
-    kept = table.where("n = 0 or first <=> class_first").select("key", "n", "class_first")
-    text = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    winners = table.where("n > 0 and first <=> class_first").groupBy("class_first").agg(F.min("key").alias("_key"))
+    winners = winners.select("_key", F.coalesce("class_first", F.lit(0)).alias("_id"), F.col("class_first").isNull().alias("_no_id"))
     names = docs.columns
-    tagged = docs.withColumn("_key", text).join(kept.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("class_first").alias("_class")), "_key")
-    bare = tagged.where("_n = 0").select(*names)
-    first = tagged.where("_n > 0 and doc_id <=> _class").dropDuplicates(["_class"]).select(*names)
-    return bare.unionAll(first)
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) > 0
+    key = F.unhex(F.md5(F.col("text").cast("binary")))
+    # the id is part of the join, so copies of one text are spread out and only those of the class's id meet
+    tagged = docs.where(words).withColumns({"_key": key, "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.col("doc_id").isNull()})
+    met = tagged.join(winners, ["_key", "_id", "_no_id"])
+    turn = F.row_number().over(W.partitionBy("_key", "_id", "_no_id").orderBy("_id"))
+    return docs.where(~words).unionAll(met.withColumn("_turn", turn).where("_turn = 1").select(*names))
