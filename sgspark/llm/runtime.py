@@ -114,7 +114,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def appended(df: DataFrame, text: str, make, fields: str, slice_bytes: int = 2_000_000) -> DataFrame:
+def appended(df: DataFrame, text: str, make, fields: str, slice_bytes: int = 250_000) -> DataFrame:
     """df with columns that ``make(slice) -> list of arrays`` computes from the text column, in one pass of Arrow batches.
 
     fields: DDL of the new columns; columns of df with these names are replaced. Texts come as textcore slices of about slice_bytes.

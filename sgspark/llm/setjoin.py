@@ -33,6 +33,8 @@ from sgspark.llm.runtime import appended, components, dropped, forest, partition
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Shingles of at most so many texts of a tile are counted pair by pair; columns of a matrix product.
 RARE, COLUMNS = 8, 4096
+#: Groups of at most so many texts are compared together, as many groups as make so many bytes.
+SMALL, SMALL_BYTES = 8, 500_000
 
 
 def word_shingles(n: int) -> Callable:
@@ -86,7 +88,6 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             np.bitwise_xor(h, shifts[i], out=x)
             np.multiply(x, multipliers[i], out=x)
-            np.bitwise_xor(x, x >> np.uint32(15), out=x)
             out[full, i] = np.minimum.reduceat(x, starts)
     return out
 
@@ -133,41 +134,83 @@ def candidates(table: DataFrame, trees: int, deepest: int, depth: int) -> DataFr
         heads = np.concatenate([[True], ~same])
         return uid[:-1][same], uid[1:][same], p[heads], uid[heads]
 
-    def pack(p: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-        return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(a), second], ["p", "a", "b"])
+    parts = partitions(table.sparkSession)
+    bits = max(6, (4 * parts - 1).bit_length())
+    edges_of = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the units at hand, edges inside prefixes (bucket -1), and a packed row (prefix, first unit) a bucket."""
         for batch in batches:
-            if batch.num_rows:
-                p = prefixes(batch.column(1))
-                a, b, heads, first = chained(p.ravel(), np.repeat(batch.column(0).to_numpy(), trees))
-                if len(a):
-                    a, b = forest(a, b)
-                    yield pack(a.view(np.uint64), a, b)
-                yield pack(heads, first, None)
+            if not batch.num_rows:
+                continue
+            p = prefixes(batch.column(1))
+            a, b, heads, first = chained(p.ravel(), np.repeat(batch.column(0).to_numpy(), trees))
+            cuts = np.searchsorted(heads >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cuts))
+            flat = memoryview(np.column_stack([heads, first.astype(np.uint64)]).tobytes())
+            buckets, bodies = full.tolist(), [bytes(flat[16 * cuts[i] : 16 * cuts[i + 1]]) for i in full]
+            if len(a):
+                buckets.append(-1)
+                bodies.append(np.column_stack(forest(a, b)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
+        held: list[np.ndarray] = []
+        now = -1
+
+        def close() -> pa.RecordBatch | None:
+            both = np.concatenate(held)
+            a, b, _, _ = chained(both[:, 0], both[:, 1].astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=edges_of) if len(a) else None
+
         for batch in batches:
-            p, a, b = (batch.column(i) for i in range(3))
-            linked = np.asarray(b.is_valid())
-            edges = batch.filter(pa.array(linked)) if linked.any() else None
-            if edges is not None:
-                yield pack(edges.column(0).to_numpy().view(np.uint64), edges.column(1).to_numpy(), edges.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
-            p, a = p.to_numpy()[~linked], a.to_numpy()[~linked]
-            if not len(p):
-                continue
-            if last is not None and p[0] == last:
-                yield pack(p[:1].view(np.uint64), a[:1], np.array([first], dtype=np.int64))
-            same = p[1:] == p[:-1]
-            if same.any():
-                yield pack(p[1:][same].view(np.uint64), a[1:][same], a[:-1][same])
-            last, first = p[-1], a[-1]
+            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket == -1:
+                    edges = np.frombuffer(body.as_buffer(), dtype=np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=edges_of)
+                    continue
+                if bucket != now and held:
+                    if (made := close()) is not None:
+                        yield made
+                    held = []
+                now = bucket
+                held.append(np.frombuffer(body.as_buffer(), dtype=np.uint64).reshape(-1, 2))
+        if held and (made := close()) is not None:
+            yield made
+
+    rows = table.where("n > 0").select("uid", "sig").mapInArrow(local, "bucket int, body binary")
+    spot = F.when(F.col("bucket") < 0, F.xxhash64("body")).otherwise(F.col("bucket"))  # edges go anywhere
+    return rows.withColumn("spot", spot).repartition(parts, "spot").select("bucket", "body").sortWithinPartitions("bucket").mapInArrow(across, "a long, b long")
+
 
-    rows = table.where("n > 0").select("uid", "sig").mapInArrow(local, "p long, a long, b long")
-    # chains inside a prefix: one row a prefix and task, sorted by prefix
-    return rows.repartition(partitions(table.sparkSession), "p").sortWithinPartitions("p").mapInArrow(across, "p long, a long, b long").select("a", "b")
+def small_links(shingles: np.ndarray, offsets: np.ndarray, group: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, similarity), i < j, of texts of one group with Jaccard >= threshold; for groups of a few texts each."""
+    n = len(offsets) - 1
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    own = tc.mix(shingles ^ tc.mix(group[text].astype(np.uint64)))
+    order = np.lexsort([text, own])
+    h, t = own[order], text[order]
+    keep = np.ones(len(h), dtype=bool)
+    keep[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    h, t = h[keep], t[keep]
+    size = np.bincount(t, minlength=n)
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    freq = np.diff(np.append(starts, len(h)))
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for f in range(2, int(freq.max(initial=1)) + 1):
+        at = starts[freq == f]
+        if len(at):
+            x, y = np.triu_indices(f, 1)
+            members = t[at[:, None] + np.arange(f)]
+            c, m = np.unique((members[:, x] * n + members[:, y]).ravel(), return_counts=True)
+            codes.append(c)
+            counts.append(m)
+    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    inter = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+    i, j = code // max(1, n), code % max(1, n)
+    both = size[i] + size[j] - inter
+    hit = inter * threshold.denominator >= both * threshold.numerator
+    return i[hit], j[hit], inter[hit] / both[hit]
 
 
 def tile_links(shingles: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,30 +260,32 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
     partners, kind 1 units a and b are connected, kind 2 w links a (found) and b (expected) in thousandths."""
     names = ["kind", "a", "b", "w"]
 
-    def tile(rows: list[tuple]) -> pa.RecordBatch | None:
-        blocks = np.array([r[3] for r in rows])
+    def tile(rows: list[tuple], small: bool) -> pa.RecordBatch | None:
         uid, mult = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         shingle, sizes = [], []
         for s in tc.slices(pa.array([r[6] for r in rows], pa.large_string())):
             h, offsets = shingler(s)
             shingle.append(h)
             sizes.append(np.diff(offsets))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        every, offsets = np.concatenate(shingle), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         first, second = rows[0][1], rows[0][2]
-        left, right = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
-        i, j, sim = tile_links(np.concatenate(shingle), offsets, left, right, threshold)
+        if small:
+            i, j, sim = small_links(every, offsets, np.array([r[0] for r in rows]), threshold)
+        else:
+            blocks = np.array([r[3] for r in rows])
+            i, j, sim = tile_links(every, offsets, np.flatnonzero(blocks == first), np.flatnonzero(blocks == second), threshold)
         if not len(i):
             return None
         w = np.zeros(len(rows), dtype=np.int64)
         np.add.at(w, i, mult[j])
-        if first != second:
+        if small or first != second:
             np.add.at(w, j, mult[i])
         has = np.flatnonzero(w)
         a, b = forest(uid[i], uid[j])
         expected = 1 / found_share(sim, depth, trees)
         z = np.zeros(len(has), np.int64)
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([z, z[:0] + 1, np.ones(len(a), np.int64), [2]]).astype(np.int32)),
+            pa.array(np.concatenate([z, np.ones(len(a), np.int64), [2]]).astype(np.int32)),
             pa.array(np.concatenate([uid[has], a, [len(i) * 1000]])),
             pa.array(np.concatenate([z, b, [int(expected.sum() * 1000)]])),
             pa.array(np.concatenate([w[has], np.zeros(len(a), np.int64), [len(i)]])),
@@ -248,14 +293,25 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        few: list[tuple] = []
+        size = 0
         for batch in batches:
             for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if held and held[0][:3] != r[:3]:
-                    if len(held) > 1 and (made := tile(held)) is not None:
+                    if 1 < len(held) <= SMALL and held[0][1] == held[0][2]:
+                        few += held
+                        size += sum(len(h[6]) for h in held)
+                    elif len(held) > 1 and (made := tile(held, False)) is not None:
                         yield made
                     held = []
+                    if size >= SMALL_BYTES:
+                        if (made := tile(few, True)) is not None:
+                            yield made
+                        few, size = [], 0
                 held.append(r)
-        if len(held) > 1 and (made := tile(held)) is not None:
+        if len(held) > 1 and (made := tile(held, False)) is not None:
+            yield made
+        if few and (made := tile(few, True)) is not None:
             yield made
 
     parts = partitions(members.sparkSession)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 250_000
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -49,7 +49,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, U64(base), dtype=U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 8 * SLICE_BYTES:
+        if size <= 8_000_000:
             _powers[base] = have
     return have[:n]
 
