@@ -9,6 +9,7 @@ which is what the driver and the broadcast hold. Scoring is one pass over the te
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sgspark.llm import textcore as tc
-from sgspark.llm.runtime import appended
+from sgspark.llm.runtime import appended, map_arrow
 
 #: Kinds of bytes for n-gram tokens: 1 letters, digits and bytes of other scripts, 2 other marks, 0 white space and controls.
 KINDS = np.full(256, 2, dtype=np.uint8)
@@ -216,17 +217,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, kind: str, take, bits:
 
     feats = appended(joined, "_text", features, "_f binary").select("_id", "_y", "_f")
 
-    def train(batch: pa.Table) -> pa.Table:
-        order = np.lexsort([batch["_y"].to_numpy(), batch["_id"].to_numpy()])
-        y = batch["_y"].to_numpy()[order].astype(float)
-        loaded = ((x["ids"], x["offsets"]) for x in (np.load(io.BytesIO(batch["_f"][int(i)].as_py())) for i in order))
-        if kind == "ngram":
-            w = fit_ftrl([_ngram_example(ids, bits) for ids, _ in loaded], y, bits)
-        else:
-            w = fit_noisy_or(list(loaded), y, bits)
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary())})
-
-    got = feats.groupBy(F.lit(1).alias("_one")).applyInArrow(train, "w binary").collect()
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, bags = [], []
+        for batch in batches:
+            y += batch.column(1).to_pylist()
+            for body in batch.column(2):
+                x = np.load(io.BytesIO(body.as_py()))
+                bags.append(_ngram_example(x["ids"], bits) if kind == "ngram" else (x["ids"], x["offsets"]))
+        if bags:
+            fitted = (fit_ftrl if kind == "ngram" else fit_noisy_or)(bags, np.array(y, dtype=float), bits)
+            yield pa.RecordBatch.from_arrays([pa.array([fitted.tobytes()], pa.binary())], ["w"])
+
+    # at most max_rows rows, in an order of their own
+    got = map_arrow(feats.repartition(1).sortWithinPartitions("_id", "_y", "_f"), train, "w binary").collect()
     if not got:
         return np.append(np.zeros(1 << bits, np.float32), np.float32(-6.0))
     return np.frombuffer(got[0]["w"], dtype=np.float32)

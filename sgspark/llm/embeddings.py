@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sgspark.llm.runtime import components, forest, partitions, written
+from sgspark.llm.runtime import components, forest, map_arrow, partitions, written
 from sgspark.llm.textcore import spread
 
 THRESHOLD = 0.9
@@ -293,7 +293,7 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
                 at = end
 
     both = have.unionAll(ask).repartition(max(parts, min(shards * salts, 4 * parts)), "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "kind", "uid")
-    roots = components(both.mapInArrow(answer, "a long, b long")).select(F.col("node").alias("uid"), "root")
+    roots = components(map_arrow(both, answer, "a long, b long")).select(F.col("node").alias("uid"), "root")
     roots = written(roots.union(roots.select(F.col("root").alias("uid"), "root").distinct()), "roots")
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb"))
     member = units.join(roots, "uid").join(blocks, "root")
@@ -330,7 +330,7 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
         if held and (made := close()) is not None:
             yield made
 
-    counts = tiles.repartition(parts, "root", "ti", "tj").sortWithinPartitions("root", "ti", "tj").mapInArrow(count, "a long, w long")
+    counts = map_arrow(tiles.repartition(parts, "root", "ti", "tj").sortWithinPartitions("root", "ti", "tj"), count, "a long, w long")
     counts = counts.groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("w"))
     slim = units.drop("vec").join(roots, "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = slim.groupBy("root").agg(F.min("first").alias("component"))

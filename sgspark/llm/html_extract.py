@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from sgspark.llm.runtime import map_arrow
+
 WINDOW = 3
 SURGE = 80
 
@@ -193,4 +195,4 @@ def extracted(pages: DataFrame, source: str = "html", text: str = "text", n_char
                 texts = [main_text(x.as_py()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + [pa.array(texts, out.field(len(kept)).type), pa.array([len(t) for t in texts], pa.int64())], schema=out)
 
-    return pages.mapInArrow(run, schema)
+    return map_arrow(pages, run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +43,25 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release() -> None:
+    """Gives memory that a task is done with back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) whose tasks leave no memory behind in their worker."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -94,7 +115,7 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls and self-loops are ignored; no edges give no rows.
     """
     edges = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    edges = written(edges.mapInArrow(_contract, "a long, b long"), "edges")
+    edges = written(map_arrow(edges, _contract, "a long, b long"), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -104,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: on edges that now point downwards, all lower neighbours and the node link to the smallest
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b")
-        new = written(small.distinct().mapInArrow(_contract, "a long, b long").distinct(), "edges")
+        new = written(map_arrow(small.distinct(), _contract, "a long, b long").distinct(), "edges")
         state = tuple(new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("b")).first())
         dropped(edges)
         edges = new
@@ -140,4 +161,4 @@ def appended(df: DataFrame, text: str, make, fields: str, slice_bytes: int = 250
             made = [pa.concat_arrays([pa.array(p[i], type=out.field(len(kept) + i).type) for p in parts]) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made, schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sgspark.llm import textcore as tc
-from sgspark.llm.runtime import appended, components, dropped, forest, partitions, written
+from sgspark.llm.runtime import appended, components, dropped, forest, map_arrow, partitions, written
 
 #: A block of a group holds about so many texts or shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_000_000
@@ -178,9 +178,10 @@ def candidates(table: DataFrame, trees: int, deepest: int, depth: int) -> DataFr
         if held and (made := close()) is not None:
             yield made
 
-    rows = table.where("n > 0").select("uid", "sig").mapInArrow(local, "bucket int, body binary")
+    rows = map_arrow(table.where("n > 0").select("uid", "sig"), local, "bucket int, body binary")
     spot = F.when(F.col("bucket") < 0, F.xxhash64("body")).otherwise(F.col("bucket"))  # edges go anywhere
-    return rows.withColumn("spot", spot).repartition(parts, "spot").select("bucket", "body").sortWithinPartitions("bucket").mapInArrow(across, "a long, b long")
+    dealt = rows.withColumn("spot", spot).repartition(parts, "spot").select("bucket", "body").sortWithinPartitions("bucket")
+    return map_arrow(dealt, across, "a long, b long")
 
 
 def small_links(shingles: np.ndarray, offsets: np.ndarray, group: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,7 +316,8 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
             yield made
 
     parts = partitions(members.sparkSession)
-    return members.repartition(parts, "gid", "ti", "tj").sortWithinPartitions("gid", "ti", "tj").mapInArrow(run, "kind int, a long, b long, w long")
+    dealt = members.repartition(parts, "gid", "ti", "tj").sortWithinPartitions("gid", "ti", "tj")
+    return map_arrow(dealt, run, "kind int, a long, b long, w long")
 
 
 def joined(rows: DataFrame, shingler: Callable, threshold: Fraction = Fraction(4, 5), trees: int = 24, deepest: int = 6, recall: float = 0.999) -> DataFrame:

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from sgspark.llm import textcore as tc
-from sgspark.llm.runtime import partitions
+from sgspark.llm.runtime import map_arrow, partitions
 
 WINDOW = 35
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
@@ -190,6 +190,6 @@ def deduplicated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
                 yield from (done.slice(k, 500) for k in range(0, done.num_rows, 500))
 
     fields3 = "bucket int, name binary, body binary"
-    fingerprints = docs.mapInArrow(sent, fields3).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    both = fingerprints.mapInArrow(answered, fields3).unionAll(docs.mapInArrow(shipped, fields3))
-    return both.repartition(parts, "name").sortWithinPartitions("name", "bucket").mapInArrow(cut, out_schema)
+    fingerprints = map_arrow(docs, sent, fields3).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    both = map_arrow(fingerprints, answered, fields3).unionAll(map_arrow(docs, shipped, fields3))
+    return map_arrow(both.repartition(parts, "name").sortWithinPartitions("name", "bucket"), cut, out_schema)

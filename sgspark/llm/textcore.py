@@ -49,7 +49,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, U64(base), dtype=U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 8_000_000:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.llm import textcore as tc
-from sgspark.llm.runtime import written
+from sgspark.llm.runtime import map_arrow, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's byte-level BPE cuts texts.
@@ -97,7 +97,7 @@ def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(n), task, np.int32)), pa.array(local), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(n)], ["doc_id", "task", "local", "tokens", "n"])
 
-    return rows.mapInArrow(run, "doc_id long, task int, local long, tokens binary, n long")
+    return map_arrow(rows, run, "doc_id long, task int, local long, tokens binary, n long")
 
 
 def materialised(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
@@ -132,7 +132,7 @@ def materialised(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH,
                 slot = feistel(seq, n, key)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard, pa.int32()), pa.array(seq), pa.array(a - seq * length, pa.int32()), part.column(0).take(pa.array(doc)), pa.array(pieces, pa.binary())], ["slot", "shard", "sequence", "start", "doc_id", "piece"])
 
-    cuts = rows.mapInArrow(cut, "slot long, shard int, sequence long, start int, doc_id long, piece binary")
+    cuts = map_arrow(rows, cut, "slot long, shard int, sequence long, start int, doc_id long, piece binary")
     ordered = cuts.repartitionById(shards, "shard").sortWithinPartitions("slot", "start")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def materialised(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH,
         if out:
             yield batch()
 
-    return ordered.mapInArrow(joined, "slot long, shard int, row int, sequence long, doc_ids array<long>, starts array<int>, tokens binary")
+    return map_arrow(ordered, joined, "slot long, shard int, row int, sequence long, doc_ids array<long>, starts array<int>, tokens binary")
 
 
 def write_shards(sequences: DataFrame, path: str) -> None:
