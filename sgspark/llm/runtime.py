@@ -43,6 +43,10 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of a batch of rows on its way to a worker.
+BATCH_BYTES = 4 << 20
+
+
 def release() -> None:
     """Gives memory that a task is done with back to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -51,7 +55,11 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) whose tasks leave no memory behind in their worker."""
+    """df.mapInArrow(run, schema) whose tasks leave no memory behind in their worker, and whose batches hold at most
+    BATCH_BYTES, unless the session has a limit of its own: a thousand long texts at once don't fit beside a JVM."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) in ("67108864", "67108864b"):
+        conf.set(key, str(BATCH_BYTES))
 
     def lean(batches):
         try:
