@@ -31,7 +31,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.crossJoin(size_of(part, "m")).select(
         F.col("p_partkey").alias("idx"),
         F.concat(F.lit("rs"), F.col("p_partkey")).alias("snp"),
-        (F.lit(1) + F.floor((F.col("p_partkey") - 1) * 22 / F.col("m"))).cast("int").alias("chr"),
+        (F.lit(1) + F.floor(F.col("p_partkey") * 22 / F.col("m"))).cast("int").alias("chr"),
         (F.col("p_partkey") * 1000).alias("bp"),
         (F.col("p_size") <= 25).cast("int").alias("low"),
         (F.col("p_size") > 25).cast("int").alias("high"),
