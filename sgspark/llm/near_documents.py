@@ -9,32 +9,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.llm import setjoin
+from sgspark.llm.runtime import written
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """The places (id, key, order) of the documents, and the table of the join."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), F.col("doc_id").cast("long").alias("order"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), F.col("doc_id").cast("long").alias("order"), text.alias("text"))
+    places = written(rows.select("id", "key", "order"), "places")
+    return places, setjoin.joined(rows.select("id", "text"), places, setjoin.word_shingles(SHINGLE), threshold)
 
 
 def classes(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, class_id (the smallest doc_id of its connected component), n_links (documents with a
     Jaccard coefficient >= threshold, copies included) and n_copies (documents of the same text, itself included).
 
-    Null ids are the class's id only if it has no other. Null and empty texts, and texts without words, link with
+    docs has to be deterministic from read to read (files, or a written table). Null ids are the class's id only if it has
+    no other. Null and empty texts, and texts without words, link with
     nothing; equal ones of them still share a class, as copies. No rows give no rows."""
-    rows = _rows(docs)
-    table = setjoin.joined(rows, setjoin.word_shingles(SHINGLE), threshold)
-    out = rows.select("key", F.col("order").alias("doc_id")).join(table, "key")
+    places, table = _joined(docs, threshold)
+    out = places.select("key", F.col("order").alias("doc_id")).join(table, "key")
     return out.select("doc_id", F.col("class_first").alias("class_id"), "n_links", F.col("mult").alias("n_copies"))
 
 
 def deduplicated(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """The rows and columns of docs, one row of each class: the smallest doc_id's. Of rows that tie in doc_id, the one with
     the smallest hash of its text stays, and of equal rows one. Texts without words, null ones too, all stay."""
-    table = setjoin.joined(_rows(docs), setjoin.word_shingles(SHINGLE), threshold)
-    winners = table.where("n > 0 and first <=> class_first").groupBy("class_first").agg(F.min("key").alias("_key"))
+    _, table = _joined(docs, threshold)
+    winners = table.where("n > 0 and first <=> class_first").groupBy("root", "class_first").agg(F.min("key").alias("_key"))
     winners = winners.select("_key", F.coalesce("class_first", F.lit(0)).alias("_id"), F.col("class_first").isNull().alias("_no_id"))
     names = docs.columns
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) > 0

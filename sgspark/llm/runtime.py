@@ -103,10 +103,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(batch.column(0).to_numpy(zero_copy_only=False))
             b.append(batch.column(1).to_numpy(zero_copy_only=False))
             held += batch.num_rows
-        if held >= 2_000_000:
+        if held >= 2 * LOCAL_EDGES:
             x, y = forest(np.concatenate(a), np.concatenate(b))
             a, b, held = [x], [y], len(x)
-            if held >= 1_000_000:
+            if held >= LOCAL_EDGES:
                 yield pa.record_batch([pa.array(x), pa.array(y)], schema=schema)
                 a, b, held = [], [], 0
     if held:
@@ -114,18 +114,31 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x), pa.array(y)], schema=schema)
 
 
+#: Edges that one task contracts alone (16 bytes each, some copies of them in memory).
+LOCAL_EDGES = 2_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the long pairs (a, b) as rows (node, root), root being the smallest node; roots and lone nodes have no row.
 
-    Rounds of large-star and small-star. A node with very many neighbours has, before each grouping, its edges
-    contracted to forests inside the partitions, so no task ever holds a neighbour list: stars are joins with the
-    per-node minimum, which is a partial aggregate. Every round is written to the shared folder.
-    Nulls and self-loops are ignored; no edges give no rows.
+    Edges are contracted to forests inside the partitions, then in rounds of large-star and small-star: a star is a join
+    with the per-node minimum, which is a partial aggregate, so no task ever holds a neighbour list. Once at most
+    LOCAL_EDGES are left, one task finishes them; with more, rounds go on until nothing changes. Every round is written to
+    the shared folder. Nulls and self-loops are ignored; no edges give no rows.
     """
     edges = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     edges = written(map_arrow(edges, _contract, "a long, b long"), "edges")
     before = None
     while True:
+        state = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("b")).first())
+        if state[0] <= LOCAL_EDGES:
+            done = written(map_arrow(edges.repartition(1), _contract, "a long, b long"), "edges")
+            dropped(edges)
+            edges = done
+            break
+        if state == before:
+            break
+        before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above the node link to the smallest neighbour
@@ -134,12 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b")
         new = written(map_arrow(small.distinct(), _contract, "a long, b long").distinct(), "edges")
-        state = tuple(new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("b")).first())
         dropped(edges)
         edges = new
-        if state == before or not state[0]:
-            break
-        before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

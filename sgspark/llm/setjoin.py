@@ -1,7 +1,8 @@
 """Similarity self-join of texts by the Jaccard coefficient of their shingles: MinHash LSH forest, exact verification.
 
-1. Equal texts are one unit, with their number and the smallest ``order`` among them; a unit has a signature of
-   trees x deepest minima.
+1. Equal texts are one unit, with their number, the smallest id and the smallest ``order`` among them; a unit has a
+   signature of trees x deepest minima. Only hashes of texts are grouped; texts themselves are fetched by id, later and
+   for candidates only.
 2. Forest. Each tree is the sorted list of its part of the signatures. Texts that share a prefix become candidates; the
    prefix is the longest for which a pair at the threshold is found with probability ``recall``:
    1 - (1 - t**depth)**trees. Within a map task, texts of a prefix are chained and only one of them is sent on, so a
@@ -51,14 +52,25 @@ def char_shingles(n: int) -> Callable:
     """Hashes of n characters in a row (all of a shorter text, if any), and each text's first."""
 
     def make(s: tc.Slice) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero((s.data & 0xC0) != 0x80)
-        first = np.searchsorted(at, s.offsets)
-        ends = np.append(at, len(s.data))
-        return _runs(lambda k: tc.word_hashes(s.data, at[: max(0, len(at) - k + 1)], ends[k:]), first, n)
+        points = np.frombuffer(s.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        heads = np.zeros(len(s.data) + 1, dtype=np.int32)
+        np.cumsum((s.data & 0xC0) != 0x80, out=heads[1:])
+        return _runs(lambda k: tc.mix(_folded(points, k) + np.uint64(k)), heads[s.offsets].astype(np.int64), n)
 
     return make
 
 
+def _folded(values: np.ndarray, n: int) -> np.ndarray:
+    """A polynomial of each n values in a row, by halves."""
+    if n == 1:
+        return values
+    half = n // 2
+    left = _folded(values, half)
+    right = left if n == 2 * half else _folded(values, n - half)
+    count = max(0, len(values) - n + 1)
+    return left[:count] * np.uint64(0xD1342543DE82EF95 + 2 * n) + right[half : half + count]
+
+
 def _runs(hashes: Callable, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(first)
     size = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
@@ -101,8 +113,8 @@ def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
     return max([d for d in range(1, deepest + 1) if found_share(np.float64(threshold), d, trees) >= recall], default=1)
 
 
-def units(rows: DataFrame, shingler: Callable, k: int) -> DataFrame:
-    """Written table of the distinct texts of rows (key, order, text): uid, key, mult, first, n, sig."""
+def units(rows: DataFrame, places: DataFrame, shingler: Callable, k: int) -> DataFrame:
+    """Written table of the distinct texts: uid (the smallest id of a row of the text), key, mult, first, n, sig."""
 
     def make(s: tc.Slice):
         h, offsets = shingler(s)
@@ -110,9 +122,9 @@ def units(rows: DataFrame, shingler: Callable, k: int) -> DataFrame:
         flat = sig.tobytes()
         return [np.diff(offsets), [flat[i * 4 * k : (i + 1) * 4 * k] for i in range(len(s))]]
 
-    signed = appended(rows, "text", make, "n long, sig binary").select("key", "order", "n", "sig")
-    by = signed.groupBy("key").agg(F.count("*").alias("mult"), F.min("order").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    return written(by.withColumn("uid", F.monotonically_increasing_id()), "units")
+    signed = appended(rows.select("id", "text"), "text", make, "n long, sig binary").select(F.col("id").alias("uid"), "n", "sig")
+    texts = places.groupBy("key").agg(F.count("*").alias("mult"), F.min("order").alias("first"), F.min("id").alias("uid"))
+    return written(texts.join(signed, "uid"), "units")
 
 
 def candidates(table: DataFrame, trees: int, deepest: int, depth: int) -> DataFrame:
@@ -320,27 +332,27 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
     return map_arrow(dealt, run, "kind int, a long, b long, w long")
 
 
-def joined(rows: DataFrame, shingler: Callable, threshold: Fraction = Fraction(4, 5), trees: int = 24, deepest: int = 6, recall: float = 0.999) -> DataFrame:
-    """The self-join of rows (key, order, text); rows of equal key have equal text. A table of the distinct texts: key,
-    mult, n, n_links (partners of one such row, copies included), first (the smallest order of the text) and
-    class_first (that of its connected component)."""
-    table = units(rows, shingler, trees * deepest)
+def joined(rows: DataFrame, places: DataFrame, shingler: Callable, threshold: Fraction = Fraction(4, 5), trees: int = 24, deepest: int = 6, recall: float = 0.999) -> DataFrame:
+    """The self-join of rows (id, text), of which places (id, key, order) is a written table: ids are unique and the same
+    from read to read, rows of equal key have equal text. A table of the distinct texts: key, mult, n, n_links (partners of
+    one such row, copies included), uid (its smallest id), root (the smallest uid of its connected component), first (the
+    smallest order of the text, nulls aside) and class_first (that of the component)."""
+    table = units(rows, places, shingler, trees * deepest)
     depth = depth_for(float(threshold), trees, deepest, recall)
     while True:
         groups = components(candidates(table, trees, deepest, depth))
         groups = groups.select(F.col("node").alias("uid"), F.col("root").alias("gid"))
-        groups = written(groups.union(groups.select(F.col("gid").alias("uid"), "gid").distinct()), "groups")
-        mine = table.select("uid", "key", "mult", "n").join(groups, "uid")
+        groups = groups.union(groups.select(F.col("gid").alias("uid"), "gid").distinct())
+        mine = written(table.select("uid", "mult", "n").join(groups, "uid"), "members")
         blocks = mine.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-        mine = written(mine.join(blocks, "gid"), "members")
-        texts = rows.groupBy("key").agg(F.first("text").alias("text"))
+        # one row a text: copies have other ids
+        near = mine.join(rows.select(F.col("id").alias("uid"), "text"), "uid").join(blocks, "gid")
         block = F.when(F.col("nb") == 1, 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("nb"))).cast("int")
-        tiles = mine.join(texts, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        tiles = near.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         tiles = tiles.select("gid", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "uid", "mult", "text")
         links = written(verified(tiles, shingler, threshold, depth, trees), "links")
         seen = links.where("kind = 2").agg(F.sum("a"), F.sum("b")).first()
-        for x in (groups, mine):
-            dropped(x)
+        dropped(mine)
         if depth == 1 or not seen[0] or seen[0] / seen[1] >= recall:
             break
         dropped(links)
@@ -352,4 +364,4 @@ def joined(rows: DataFrame, shingler: Callable, threshold: Fraction = Fraction(4
     least = done.groupBy("root").agg(F.min("first").alias("class_first"))
     done = done.join(least, "root")
     links_of = F.when(F.col("n") > 0, F.col("mult") - 1 + F.coalesce("w", F.lit(0))).otherwise(0)
-    return written(done.select("key", "mult", "n", links_of.cast("long").alias("n_links"), "first", "class_first"), "classes")
+    return written(done.select("key", "mult", "n", links_of.cast("long").alias("n_links"), "uid", "root", "first", "class_first"), "classes")
