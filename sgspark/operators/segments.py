@@ -39,7 +39,7 @@ def interpolated(points: DataFrame, knots: DataFrame, group: str, x: str, y: str
     whole = W.partitionBy(group)
     last = lambda c, w: F.last(c, ignorenulls=True).over(w)
     both = both.withColumns({"x0": last("_x", back), "y0": last("_y", back), "x1": last("_x", ahead), "y1": last("_y", ahead), "xa": F.min("_x").over(whole), "xb": F.max("_x").over(whole), "ya": F.min("_y").over(whole), "yb": F.max("_y").over(whole)})
-    rate = (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))
+    rate = F.coalesce(F.try_divide(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa")), F.lit(0.0))  # one knot: no slope
     cm = F.when(F.col("x0").isNull(), F.col("ya") - rate * (F.col("xa") - F.col(x))).when(F.col("x1").isNull(), F.col("yb") + rate * (F.col(x) - F.col("xb"))).when(F.col("x1") == F.col("x0"), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col(x) - F.col("x0")) / (F.col("x1") - F.col("x0")))
     rows = both.withColumn("cm", cm).where("_kind = 1")
     rows = rows.withColumn("cm", F.max("cm").over(W.partitionBy(group).orderBy(x)))

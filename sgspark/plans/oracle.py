@@ -218,7 +218,7 @@ ORACLE_SQL = {
         gr="SELECT chr, min(bp) AS xa, max(bp) AS xb, arg_min(y, bp) AS ya, arg_max(y, bp) AS yb FROM gk GROUP BY chr",
         g0="SELECT gb.*, gk.bp AS x0, gk.y AS y0 FROM gb ASOF LEFT JOIN gk ON gb.chr = gk.chr AND gb.bp >= gk.bp",
         g1="SELECT g0.*, gk.bp AS x1, gk.y AS y1 FROM g0 ASOF LEFT JOIN gk ON g0.chr = gk.chr AND g0.bp <= gk.bp",
-        gi="""SELECT chr, idx, bp, CASE WHEN x0 IS NULL THEN ya - (yb - ya) / (xb - xa) * (xa - bp) WHEN x1 IS NULL THEN yb + (yb - ya) / (xb - xa) * (bp - xb) WHEN x0 = x1 THEN y0
+        gi="""SELECT chr, idx, bp, CASE WHEN x0 IS NULL THEN ya - coalesce((yb - ya) / nullif(xb - xa, 0), 0) * (xa - bp) WHEN x1 IS NULL THEN yb + coalesce((yb - ya) / nullif(xb - xa, 0), 0) * (bp - xb) WHEN x0 = x1 THEN y0
         ELSE y0 + (y1 - y0) * (bp - x0) / (x1 - x0) END AS c FROM g1 JOIN gr USING (chr)""",
     ),
     "marker_grid": sql("SELECT chr, marker, bp FROM grid"),
