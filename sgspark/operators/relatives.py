@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sgspark.session import checkpointed
+
 
 def families(pairs: DataFrame) -> DataFrame:
     """Connected components of the undirected pairs (a, b): id, family (its smallest member). Rounds of minimum labels
     with pointer jumping; each round is written to the checkpoint folder, so lineage stays short. Self-pairs and nulls
     make no family."""
+    checkpointed(pairs.sparkSession)
     edges = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     edges = edges.union(edges.select("b", "a")).distinct().checkpoint()
     label = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("family")).checkpoint()
