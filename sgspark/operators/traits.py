@@ -119,3 +119,61 @@ def r2_gain(rows: DataFrame, y: str, baseline: str, candidate: str) -> DataFrame
     """mean((y - baseline)**2 - (y - candidate)**2) / var(y), and its paired standard error."""
     rows = rows.withColumn("_d", (F.col(y) - F.col(baseline)) ** 2 - (F.col(y) - F.col(candidate)) ** 2)
     return rows.agg(F.count("*").alias("n"), (F.avg("_d") / F.var_pop(y)).alias("gain"), (F.stddev_samp("_d") / F.sqrt(F.count("*")) / F.var_pop(y)).alias("se"))
+
+
+def pcgc(scores: DataFrame, scale_: DataFrame, ld: DataFrame, risk: DataFrame) -> DataFrame:
+    """Liability variance of a binary trait with one component: b / H over variants, H = N**2 sum(L) / (M M) times the
+    squared liability factor, b = sum((x'v)**2 - sum(x v)**2) / M of standardised rows. scores: idx, gv, gv2 (sums of g v
+    and (g v)**2 ...) as binary_scores' s and own with g2v2 and gv2; one row: m, b, h, estimate."""
+    inv2, mean = F.col("inv_sd") ** 2, F.col("mean")
+    rows = scores.join(scale_, "idx").join(ld, "idx").crossJoin(F.broadcast(risk))
+    own = F.col("g2v2") - 2 * mean * F.col("gv2") + mean * mean * F.col("v2")
+    rhs = inv2 * (F.col("gv") ** 2 - own)
+    s = rows.agg(F.count("*").cast("double").alias("m"), F.sum(rhs).alias("b"), F.sum("l2_base").alias("l"), F.max("n").cast("double").alias("n"), F.max("d").alias("d"))
+    h = F.col("n") ** 2 * F.col("l") / F.col("m") ** 2 * F.col("d") ** 2
+    return s.select(F.col("m").cast("long").alias("m"), (F.col("b") / F.col("m")).alias("b"), h.alias("h"), (F.col("b") / F.col("m") / h).alias("estimate"))
+
+
+def binary_sums(dosage: DataFrame, samples: DataFrame, case: str) -> DataFrame:
+    """Per variant, for v = case - share over sqrt(share (1 - share)): gv, gv2 = sum g v**2, g2v2 = sum (g v)**2, and v2."""
+    totals = samples.agg(F.count("*").alias("_n"), F.sum(case).alias("_k"))
+    share = F.col("_k").cast("double") / F.col("_n")
+    v = (F.col("c") - share) / F.sqrt(share * (1 - share))
+    rows = dosage.join(samples.select("sid", F.col(case).alias("c")), "sid").crossJoin(F.broadcast(totals)).withColumn("v", v)
+    sums = rows.groupBy("idx").agg(F.sum(F.col("g") * F.col("v")).alias("gv"), F.sum(F.col("g") * F.col("v") ** 2).alias("gv2"), F.sum((F.col("g") * F.col("v")) ** 2).alias("g2v2"), F.max("_n").cast("double").alias("v2"))
+    return sums
+
+
+def combined_pairs(cohorts: DataFrame) -> DataFrame:
+    """Pair scores of independent cohorts added up: a, b, cohorts, score, information, z, p."""
+    sums = cohorts.groupBy("a", "b").agg(F.count("*").alias("cohorts"), F.sum("score").alias("score"), F.sum("information").alias("information"))
+    rows = sums.withColumn("z", F.col("score") / F.sqrt("information"))
+    return rows.withColumn("p", F.expr(two_sided_p("z")))
+
+
+def hc3(rows: DataFrame, x: str, y: str, strata: list[str]) -> DataFrame:
+    """By stratum: least-squares slope of y on x with an intercept, its HC3 standard error, and z. Rows of leverage 1 add
+    nothing; strata in which x doesn't vary are left out."""
+    w = W.partitionBy(*strata)
+    n, mx, my = F.count("*").over(w), F.avg(x).over(w), F.avg(y).over(w)
+    rows = rows.withColumns({"_n": n, "_x": F.col(x) - mx, "_y": F.col(y) - my})
+    rows = rows.withColumns({"_xx": F.sum(F.col("_x") ** 2).over(w), "_xy": F.sum(F.col("_x") * F.col("_y")).over(w)}).where("_xx > 0")
+    rows = rows.withColumn("_b", F.col("_xy") / F.col("_xx")).withColumn("_h", 1 / F.col("_n") + F.col("_x") ** 2 / F.col("_xx"))
+    part = F.when(F.col("_h") < 1, (F.col("_x") * (F.col("_y") - F.col("_b") * F.col("_x")) / (1 - F.col("_h"))) ** 2).otherwise(0.0)
+    out = rows.groupBy(*strata).agg(F.max("_n").alias("n"), F.max("_b").alias("slope"), (F.sqrt(F.sum(part)) / F.max("_xx")).alias("se"))
+    return out.withColumn("z", F.try_divide("slope", "se"))
+
+
+def background_blocks(axis: DataFrame, blocks: int) -> DataFrame:
+    """Per chromosome k = clip(round(size / (M / blocks)), 1, size) runs of variants: adds block = floor(i k / size)."""
+    sizes = axis.groupBy("chr").agg(F.count("*").alias("_s")).withColumn("_m", F.sum("_s").over(W.partitionBy()))
+    k = F.least(F.greatest(F.round(F.col("_s") / (F.col("_m") / blocks)), F.lit(1)), F.col("_s"))
+    rows = axis.join(F.broadcast(sizes.withColumn("_k", k.cast("long"))), "chr")
+    own = F.row_number().over(W.partitionBy("chr").orderBy("pos")) - 1
+    return rows.withColumn("_i", own).withColumn("block", F.floor(F.col("_i") * F.col("_k") / F.col("_s")).cast("int")).drop("_s", "_m", "_k", "_i")
+
+
+def crossed_bins(rows: DataFrame, first: str, second: str, first_edges: list[float], second_edges: list[float]) -> DataFrame:
+    """Adds bin: the ordered product of two sets of frozen boundaries, right-open, counted from 0."""
+    place = lambda c, edges: sum(((F.col(c) >= e).cast("int") for e in edges), F.lit(0))
+    return rows.withColumn("bin", place(first, first_edges) * (len(second_edges) + 1) + place(second, second_edges))

@@ -96,3 +96,40 @@ def ldsc(rows: DataFrame, rounds: int = 3) -> DataFrame:
         rows = rows.withColumn("_w", 1 / (2 * F.greatest(mean, F.lit(1e-3)) ** 2 * F.col("_l")))
         rows = rows.withColumn("_h", F.sum(F.col("_w") * F.col("_x") * F.col("_q")).over(w) / F.sum(F.col("_w") * F.col("_x") * F.col("_x")).over(w))
     return rows.groupBy("trait").agg(F.count("*").alias("m"), F.max("_h").alias("h2"))
+
+
+def h2_tau(rows: DataFrame, one: str, two: str) -> DataFrame:
+    """Per component of h2_pair its effect per unit of annotation, tau = sigma / mass, and tau* = tau sd(a) / (h2 / M)."""
+    fit = h2_pair(rows, one, two)
+    notes = rows.groupBy("trait").agg(F.sum(one).alias("m_1"), F.sum(two).alias("m_2"), F.stddev_pop(one).alias("sd_1"), F.stddev_pop(two).alias("sd_2"))
+    out = fit.join(notes, "trait")
+    star = lambda k: F.col(f"sigma_{k}") / F.col(f"m_{k}") * F.col(f"sd_{k}") / (F.col("total") / F.col("m"))
+    return out.select("trait", *[(F.col(f"sigma_{k}") / F.col(f"m_{k}")).alias(f"tau_{k}") for k in (1, 2)], *[star(k).alias(f"tau_star_{k}") for k in (1, 2)])
+
+
+def symmetrised_trace(rows: DataFrame, one: str, two: str) -> DataFrame:
+    """The two off-diagonal traces of a pair of annotations and their combination of least jackknife variance:
+    w = (v2 - c) / (v1 + v2 - 2 c), clipped to [0, 1], 0.5 where it isn't defined. One row a trait."""
+    r = axes.replicate_sums(unit_sums(rows, [one, two], ["trait"]), [f"a_{one}", f"a_{two}", f"al_{one}_{two}", f"al_{two}_{one}"], ["trait"])
+    n = F.col("n_star")
+    t = lambda p, k, j: n * n * F.col(f"{p}_al_{k}_{j}") / (F.col(f"{p}_a_{k}") * F.col(f"t_a_{j}"))
+    r = r.withColumns({"x": t("r", one, two), "y": t("r", two, one), "fx": t("t", one, two), "fy": t("t", two, one)})
+    s = r.groupBy("trait").agg(F.max("fx").alias("t12"), F.max("fy").alias("t21"), F.var_pop("x").alias("v1"), F.var_pop("y").alias("v2"), F.covar_pop("x", "y").alias("c"))
+    span = F.col("v1") + F.col("v2") - 2 * F.col("c")
+    w = F.when(span > 0, F.least(F.greatest((F.col("v2") - F.col("c")) / span, F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
+    return s.withColumn("w", w).select("trait", "t12", "t21", "w", (F.col("w") * F.col("t12") + (1 - F.col("w")) * F.col("t21")).alias("t"))
+
+
+def h2_delete_two(rows: DataFrame) -> DataFrame:
+    """One component by trait with a delete-two jackknife: variance mean((M - m_S) / m_S (theta_S - theta)**2) over all
+    pairs of units."""
+    u = unit_sums(rows, ["base"], ["trait"]).select("trait", "unit", "n_star", F.col("m").cast("double").alias("m"), F.col("ay_base").alias("ay"), F.col("al_base_base").alias("al"))
+    total = u.groupBy("trait").agg(F.sum("m").alias("tm"), F.sum("ay").alias("tay"), F.sum("al").alias("tal"))
+    v = u.select("trait", F.col("unit").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("m", "ay", "al")])
+    # pairs of jackknife units are the replicates
+    p = u.join(v, "trait").where("unit < other").join(F.broadcast(total), "trait")
+    n, tm = F.col("n_star"), F.col("tm")
+    h2 = lambda m, ay, al: (n * ay / m - n) / (n * n * al / (m * tm))
+    left = F.col("m") + F.col("om")
+    p = p.withColumns({"full": h2(tm, F.col("tay"), F.col("tal")), "x": h2(tm - left, F.col("tay") - F.col("ay") - F.col("oay"), F.col("tal") - F.col("al") - F.col("oal"))})
+    return p.groupBy("trait").agg(F.count("*").alias("replicates"), F.max("full").alias("estimate"), F.sqrt(F.avg((tm - left) / left * (F.col("x") - F.col("full")) ** 2)).alias("se"))

@@ -279,3 +279,103 @@ ORACLE_SQL = {
     "trait_order": sql("SELECT trait, count(*) AS n, CAST(count(*) FILTER (y > md) AS BIGINT) AS above, min(sid) AS first FROM p JOIN (SELECT trait, quantile_cont(y, 0.5) AS md FROM p GROUP BY trait) USING (trait) GROUP BY trait"),
     "stream_unit_stats": "SELECT user_id % 16 AS unit, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY 1, 2",
 }
+
+_HS = """SELECT trait, count(*) AS m, max(n_star) AS n, CAST(sum(low) AS DOUBLE) AS a1, CAST(sum(high) AS DOUBLE) AS a2, sum(low * y) AS y1, sum(high * y) AS y2, sum(low * l2_low) AS l11, sum(low * l2_high) AS l12, sum(high * l2_low) AS l21,
+  sum(high * l2_high) AS l22, stddev_pop(low) AS sd1, stddev_pop(high) AS sd2 FROM my JOIN v USING (idx) JOIN l2 USING (idx) GROUP BY trait"""
+_SIGMA = """SELECT *, (b1 * t22 - b2 * t12) / (t11 * t22 - t12 * t12) AS s1, (b2 * t11 - b1 * t12) / (t11 * t22 - t12 * t12) AS s2 FROM (SELECT trait, m, a1, a2, sd1, sd2, n * n * l11 / (a1 * a1) AS t11, n * n * l22 / (a2 * a2) AS t22,
+  (n * n * l12 / (a1 * a2) + n * n * l21 / (a2 * a1)) / 2 AS t12, n * y1 / a1 - n AS b1, n * y2 / a2 - n AS b2 FROM hs)"""
+_TRACE = "SELECT trait, unit, max(n_star) AS n, CAST(sum(low) AS DOUBLE) AS a1, CAST(sum(high) AS DOUBLE) AS a2, sum(low * l2_high) AS l12, sum(high * l2_low) AS l21 FROM my JOIN u USING (idx) JOIN l2 USING (idx) GROUP BY trait, unit"
+_SHIFTED = "SELECT my.trait, my.idx, n_star, y - coalesce(rel, 0) AS y, u.unit, l2.l2_base FROM my JOIN u USING (idx) JOIN l2 USING (idx) LEFT JOIN rl USING (idx) WHERE my.trait = 'y1'"
+_JR = """SELECT *, sum(m) OVER w AS tm, sum(a) OVER w AS ta, sum(ay) OVER w AS tay, sum(al) OVER w AS tal, sum(a) OVER w - a AS ra, sum(ay) OVER w - ay AS ray, sum(al) OVER w - al AS ral FROM hu WINDOW w AS (PARTITION BY trait)"""
+_H2 = lambda p: f"(n * {p}ay / {p}a - n) / (n * n * {p}al / ({p}a * ta))"
+_H2_OUT = "SELECT trait, n_units, round(estimate, {0}) AS estimate, round(se, {0}) AS se FROM jk"
+
+
+def _cohort(k: int) -> str:
+    return f"""SELECT a, b, CAST(n * sfy - sf * sy AS DOUBLE) / n AS score, CAST(n * sf2 - sf * sf AS DOUBLE) / n * (CAST(n * sy2 - sy * sy AS DOUBLE) / n / (n - 1)) AS information FROM (
+      SELECT i AS a, j AS b, count(*) AS carriers, sum(x.g * y.g) AS sf, sum(x.g * y.g * x.g * y.g) AS sf2, sum(x.g * y.g * s.y1) AS sfy FROM pr JOIN d x ON x.idx = pr.i JOIN d y ON y.idx = pr.j AND y.sid = x.sid JOIN s ON s.sid = x.sid
+      WHERE i < j AND s.sid % 2 = {k} GROUP BY 1, 2), (SELECT count(*) AS n, sum(y1) AS sy, sum(y1 * y1) AS sy2 FROM s WHERE sid % 2 = {k})"""
+
+
+ORACLE_SQL |= {
+    "h2_tau_star": sql(
+        "SELECT trait, round(s1 / a1, 8) AS tau_1, round(s2 / a2, 8) AS tau_2, round(s1 / a1 * sd1 / ((s1 + s2) / m), 8) AS tau_star_1, round(s2 / a2 * sd2 / ((s1 + s2) / m), 8) AS tau_star_2 FROM sgm",
+        hs=_HS,
+        sgm=_SIGMA,
+        **band(WIDTH),
+    ),
+    "trace_symmetrised": sql(
+        "SELECT trait, round(t12, 5) AS t12, round(t21, 5) AS t21, round(w, 5) AS w, round(w * t12 + (1 - w) * t21, 5) AS t FROM (SELECT *, CASE WHEN v1 + v2 - 2 * c > 0 THEN least(greatest((v2 - c) / (v1 + v2 - 2 * c), 0.0), 1.0) ELSE 0.5 END AS w FROM tv)",
+        u=units(BLOCKS),
+        tu=_TRACE,
+        tr="SELECT *, sum(a1) OVER w AS ta1, sum(a2) OVER w AS ta2, sum(l12) OVER w AS tl12, sum(l21) OVER w AS tl21 FROM tu WINDOW w AS (PARTITION BY trait)",
+        tx="SELECT trait, n * n * (tl12 - l12) / ((ta1 - a1) * ta2) AS x, n * n * (tl21 - l21) / ((ta2 - a2) * ta1) AS y, n * n * tl12 / (ta1 * ta2) AS fx, n * n * tl21 / (ta2 * ta1) AS fy FROM tr",
+        tv="SELECT trait, max(fx) AS t12, max(fy) AS t21, var_pop(x) AS v1, var_pop(y) AS v2, covar_pop(x, y) AS c FROM tx GROUP BY trait",
+        **band(WIDTH),
+    ),
+    "h2_delete_two": sql(
+        "SELECT trait, count(*) AS replicates, round(max(full_), 8) AS estimate, round(sqrt(avg((tm - l) / l * (x - full_) * (x - full_))), 8) AS se FROM dp GROUP BY trait",
+        u=units(BLOCKS),
+        hu="SELECT trait, unit, max(n_star) AS n, CAST(count(*) AS DOUBLE) AS m, sum(y) AS ay, sum(l2_base) AS al FROM my JOIN u USING (idx) JOIN l2 USING (idx) GROUP BY trait, unit",
+        ht="SELECT trait, sum(m) AS tm, sum(ay) AS tay, sum(al) AS tal FROM hu GROUP BY trait",
+        dp="""SELECT a.trait, ht.tm, a.m + b.m AS l, (a.n * tay / tm - a.n) / (a.n * a.n * tal / (tm * tm)) AS full_,
+        (a.n * (tay - a.ay - b.ay) / (tm - a.m - b.m) - a.n) / (a.n * a.n * (tal - a.al - b.al) / ((tm - a.m - b.m) * tm)) AS x FROM hu a JOIN hu b ON a.trait = b.trait AND a.unit < b.unit JOIN ht ON ht.trait = a.trait""",
+        **band(WIDTH),
+    ),
+    "h2_rel_m": sql(
+        _H2_OUT.format(8),
+        u=units(BLOCKS),
+        rl="SELECT x.idx, CAST(2 * sum(x.g * p.y1 * y.g * q.y1) AS DOUBLE) / (SELECT n FROM n) / (SELECT CAST(sum(y1 * y1) AS DOUBLE) FROM s) AS rel FROM pair JOIN d x ON x.sid = pair.a JOIN d y ON y.sid = pair.b AND y.idx = x.idx JOIN s p ON p.sid = pair.a JOIN s q ON q.sid = pair.b GROUP BY x.idx",
+        hr=_SHIFTED,
+        hu="SELECT trait, unit, count(*) AS m, CAST(count(*) AS DOUBLE) AS a, max(n_star) AS n, sum(y) AS ay, sum(l2_base) AS al FROM hr GROUP BY trait, unit",
+        jr=_JR,
+        jk=_jackknife("trait", _H2("r"), _H2("t")),
+        **band(WIDTH),
+    ),
+    "h2_v_weighted": sql(
+        _H2_OUT.format(7),
+        u=units(BLOCKS),
+        vv="""SELECT idx, CASE WHEN xx > 0 THEN (1 - CASE WHEN xx > 0 AND cc > 0 THEN xc * xc / (xx * cc) ELSE 0.0 END) * (n - 1) / (n - 2) ELSE 0.0 END AS v FROM (
+        SELECT idx, n, CAST(n * sg2 - sg * sg AS DOUBLE) AS xx, CAST(n * sc2 - sc * sc AS DOUBLE) AS cc, CAST(n * sgc - sg * sc AS DOUBLE) AS xc FROM (SELECT idx, sum(g) AS sg, sum(g * g) AS sg2, sum(g * nation) AS sgc FROM d JOIN s USING (sid) GROUP BY idx),
+        (SELECT count(*) AS n, sum(nation) AS sc, sum(nation * nation) AS sc2 FROM s))""",
+        lv="SELECT r2.i AS idx, sum(vv.v * adj) AS l FROM r2 JOIN vv ON vv.idx = r2.j GROUP BY 1",
+        hu="SELECT trait, unit, count(*) AS m, sum(vv.v) AS a, max(n_star) AS n, sum(vv.v * y) AS ay, sum(vv.v * l) AS al FROM my JOIN u USING (idx) JOIN vv USING (idx) JOIN lv USING (idx) GROUP BY trait, unit",
+        jr=_JR,
+        jk=_jackknife("trait", _H2("r"), _H2("t")),
+        **band(WIDTH),
+    ),
+    "pcgc_fit": sql(
+        "SELECT CAST(m AS BIGINT) AS m, round(b / m, 6) AS b, round(n * n * l / (m * m) * dd * dd, 6) AS h, round(b / m / (n * n * l / (m * m) * dd * dd), 6) AS estimate FROM pf",
+        pc='SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum("case") AS DOUBLE) / count(*) AS share FROM s',
+        pv='SELECT sid, ("case" - share) / sqrt(share * (1 - share)) AS v FROM s CROSS JOIN pc',
+        pb="SELECT idx, sum(g * v) AS gv, sum(g * v * v) AS gv2, sum(g * v * g * v) AS g2v2 FROM d JOIN pv USING (sid) GROUP BY idx",
+        pf=f"""SELECT CAST(count(*) AS DOUBLE) AS m, max(pc.n) AS n, sum(l2_base) AS l, sum(inv2 * (gv * gv - (g2v2 - 2 * mean * gv2 + mean * mean * pc.n))) AS b, max({normal_density('(' + normal_quantile('CAST(0.1 AS DOUBLE)') + ')')} * sqrt(share * (1 - share)) / (0.1 * (1 - 0.1))) AS dd
+        FROM pb JOIN (SELECT idx, CAST(sg AS DOUBLE) / n AS mean, n * (n - 1) / CAST(nsxx AS DOUBLE) AS inv2 FROM vx) USING (idx) JOIN l2 USING (idx) CROSS JOIN pc""",
+        **band(WIDTH),
+    ),
+    "combine_cohorts": sql(
+        f"SELECT a, b, cohorts, round(score, 6) AS score, round(information, 6) AS information, round(z, 6) AS z, round({two_sided_p('z')}, 6) AS p FROM (SELECT *, score / sqrt(information) AS z FROM cz)",
+        c0=_cohort(0),
+        c1=_cohort(1),
+        cz="SELECT a, b, count(*) AS cohorts, sum(score) AS score, sum(information) AS information FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1) WHERE information > 0 GROUP BY a, b",
+        **band(3),
+    ),
+    "hc3_wald": sql(
+        """SELECT stratum, max(n) AS n, round(max(b), 5) AS slope, round(sqrt(sum(CASE WHEN h < 1 THEN power(x * (y - b * x) / (1 - h), 2) ELSE 0.0 END)) / max(xx), 5) AS se,
+        round(max(b) / nullif(sqrt(sum(CASE WHEN h < 1 THEN power(x * (y - b * x) / (1 - h), 2) ELSE 0.0 END)) / max(xx), 0), 5) AS z FROM h2 GROUP BY stratum""",
+        h0='SELECT stratum, count(*) OVER w AS n, "case" - avg("case") OVER w AS x, value - avg(value) OVER w AS y FROM od WINDOW w AS (PARTITION BY stratum)',
+        h1="SELECT *, sum(x * x) OVER (PARTITION BY stratum) AS xx, sum(x * y) OVER (PARTITION BY stratum) AS xy FROM h0",
+        h2="SELECT *, xy / xx AS b, 1 / CAST(n AS DOUBLE) + x * x / xx AS h FROM h1 WHERE xx > 0",
+    ),
+    "background_axis": sql(
+        "SELECT chr, CAST(floor(i * k / CAST(size AS DOUBLE)) AS INTEGER) AS block, count(*) AS size, min(pos) AS first FROM bk GROUP BY 1, 2",
+        bc="SELECT chr, count(*) AS size, CAST(least(greatest(round(count(*) / ((SELECT count(*) FROM v) / 60.0::DOUBLE)), 1), count(*)) AS BIGINT) AS k FROM v GROUP BY chr",
+        bk="SELECT v.chr, v.pos, bc.size, bc.k, row_number() OVER (PARTITION BY v.chr ORDER BY v.pos) - 1 AS i FROM v JOIN bc ON bc.chr = v.chr",
+    ),
+    "maf_ld_partition": sql(
+        """SELECT CAST((maf >= 0.005)::INTEGER + (maf >= 0.01)::INTEGER + (maf >= 0.02)::INTEGER AS INTEGER) * 4 + CAST((l >= 0.9)::INTEGER + (l >= 1.0)::INTEGER + (l >= 1.1)::INTEGER AS INTEGER) AS bin, count(*) AS variants, CAST(sum(carriers) AS BIGINT) AS carriers
+        FROM (SELECT mf.idx, maf, carriers, round(l2_base, 8) AS l FROM mf JOIN l2 USING (idx)) GROUP BY 1""",
+        mf="SELECT idx, carriers, round(least(sg / (2.0 * n), 1 - sg / (2.0 * n)), 10) AS maf FROM vs CROSS JOIN n",
+        **band(WIDTH),
+    ),
+}

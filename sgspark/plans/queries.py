@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sgspark.operators import axes, gwas, ldscore, ranks, relatives, segments, traits, variance
+from sgspark.operators import axes, gwas, ldscore, ranks, relatives, segments, solve, traits, variance
 from sgspark.sources import tables
 from sgspark.streaming import units as streaming
 
@@ -423,6 +423,92 @@ def r2_gain(spark: SparkSession, d: str) -> DataFrame:
     return rounded(traits.r2_gain(out.crossJoin(mean), "y", "base", "pred"), 8, "gain", "se")
 
 
+@query
+def h2_tau_star(spark: SparkSession, d: str) -> DataFrame:
+    out = variance.h2_tau(_h2_rows(spark, d), "low", "high")
+    return rounded(out, 8, "tau_1", "tau_2", "tau_star_1", "tau_star_2")
+
+
+@query
+def trace_symmetrised(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(variance.symmetrised_trace(_h2_rows(spark, d), "low", "high"), 5, "t12", "t21", "w", "t")
+
+
+@query
+def h2_delete_two(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(variance.h2_delete_two(_h2_rows(spark, d)), 8, "estimate", "se")
+
+
+@query
+def h2_rel_m(spark: SparkSession, d: str) -> DataFrame:
+    """Heritability of the first trait after related pairs' share is taken off the moments."""
+    pairs = relatives.pair_moments(tables.dosage(spark, d), _pairs(spark, d), tables.samples(spark, d).select("sid", F.col("y1").alias("y")), _n(spark, d))
+    norm = F.broadcast(tables.samples(spark, d).agg(F.sum(F.col("y1") * F.col("y1")).cast("double").alias("yy")))
+    share = pairs.crossJoin(norm).select("idx", (F.col("rel_m") / F.col("yy")).alias("share"))
+    rows = _h2_rows(spark, d).where("trait = 'y1'").join(share, "idx", "left").withColumn("y", F.col("y") - F.coalesce("share", F.lit(0.0)))
+    return rounded(variance.h2_single(rows), 8, "estimate", "se")
+
+
+@query
+def h2_v_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Heritability with annotations weighted by the variance that a covariate leaves."""
+    axis, dosage = tables.variants(spark, d), tables.dosage(spark, d)
+    v = ldscore.residual_variance(dosage, tables.samples(spark, d).select("sid", F.col("nation").alias("c"))).select("idx", "v")
+    pairs = ldscore.window_r2(axis, dosage, gwas.variant_sums(dosage), _n(spark, d), WIDTH)
+    l2 = ldscore.scores(pairs, v, ["v"])
+    units = axes.equal_units(axis, BLOCKS).select("idx", "unit")
+    rows = gwas.score_moments(_stats(spark, d)).join(units, "idx").join(v, "idx").join(l2, "idx")
+    return rounded(variance.h2_single(rows, "v"), 7, "estimate", "se")
+
+
+@query
+def pcgc_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Liability variance of the binary trait at a prevalence of 0.1."""
+    dosage, samples = tables.dosage(spark, d), tables.samples(spark, d)
+    scale = traits.scale(gwas.variant_sums(dosage), _n(spark, d))
+    risk = traits.risk_table(samples, "case", 0.1).select("n", "d")
+    out = traits.pcgc(traits.binary_sums(dosage, samples, "case"), scale, _base_scores(spark, d).select("idx", "l2_base"), risk)
+    return rounded(out, 6, "b", "h", "estimate")
+
+
+@query
+def combine_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    """Interaction scores of two independent cohorts, combined."""
+    near = ldscore.band_pairs(tables.variants(spark, d), 3).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    dosage, samples = tables.dosage(spark, d), tables.samples(spark, d)
+    one, two = (traits.pair_features(dosage, near, samples.where(F.col("sid") % 2 == k), "y1") for k in (0, 1))
+    return rounded(traits.combined_pairs(one.unionByName(two)), 6, "score", "information", "z", "p")
+
+
+@query
+def hc3_wald(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(traits.hc3(_orders(spark, d), "case", "value", ["stratum"]), 5, "slope", "se", "z")
+
+
+@query
+def background_axis(spark: SparkSession, d: str) -> DataFrame:
+    rows = traits.background_blocks(tables.variants(spark, d), 60)
+    return rows.groupBy("chr", "block").agg(F.count("*").alias("size"), F.min("pos").alias("first"))
+
+
+@query
+def maf_ld_partition(spark: SparkSession, d: str) -> DataFrame:
+    rows = maf(spark, d).join(_base_scores(spark, d), "idx").withColumn("l2", F.round("l2_base", 8))
+    out = traits.crossed_bins(rows, "maf", "l2", [0.005, 0.01, 0.02], [0.9, 1.0, 1.1])
+    return out.groupBy("bin").agg(F.count("*").alias("variants"), F.sum("carriers").alias("carriers"))
+
+
+@query
+def pgs_solve(spark: SparkSession, d: str) -> DataFrame:
+    """Best linear predictors of the first trait by conjugate gradients on the genetic kernel."""
+    dosage = tables.dosage(spark, d)
+    scale = traits.scale(gwas.variant_sums(dosage), _n(spark, d))
+    samples = tables.samples(spark, d)
+    mean = F.broadcast(samples.agg(F.avg("y1").alias("m")))
+    y = samples.crossJoin(mean).select("sid", ((F.col("y1") - F.col("m")) / 1000).alias("y"))
+    return rounded(solve.conjugate_gradients(dosage, scale, y, 1.0), 6, "u")
+
+
 @query
 def setops_samples(spark: SparkSession, d: str) -> DataFrame:
     """Two cohorts' shared, own and all samples."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sgspark.functions import special
-from sgspark.operators import axes, gwas, ldscore, ranks, relatives, segments, traits, variance
+from sgspark.operators import axes, gwas, ldscore, ranks, relatives, segments, solve, traits, variance
 
 
 @pytest.mark.parametrize("m,blocks", [(1, 1), (7, 3), (100, 23), (722, 200), (1001, 13)])
@@ -143,3 +143,27 @@ def test_u_statistics_against_numpy(spark):
 def test_delete_two_sets(spark):
     units = spark.range(5).withColumnRenamed("id", "unit")
     assert axes.delete_sets(units, 2).count() == 20
+
+
+def test_conjugate_gradients_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 3, (20, 30))
+    y = rng.normal(size=20)
+    dosage = spark.createDataFrame([(int(j), int(i), int(g[i, j])) for i in range(20) for j in range(30) if g[i, j]], "idx long, sid long, g long")
+    scale = traits.scale(gwas.variant_sums(dosage), spark.createDataFrame([(20,)], "n long"))
+    got = solve.conjugate_gradients(dosage, scale, spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "sid long, y double"), 0.5, 25)
+    x = (g - g.mean(0)) / g.std(0, ddof=1)
+    want = np.linalg.solve(x @ x.T / 30 + 0.5 * np.eye(20), y)
+    assert np.allclose(got.orderBy("sid").toPandas()["u"].to_numpy(), want, atol=1e-6)
+
+
+def test_hc3_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=30), rng.normal(size=30)
+    got = traits.hc3(spark.createDataFrame(pd.DataFrame({"k": 1, "x": x, "y": y})), "x", "y", ["k"]).first()
+    a = np.column_stack([np.ones(30), x])
+    inv = np.linalg.inv(a.T @ a)
+    b = inv @ a.T @ y
+    e = (y - a @ b) / (1 - np.einsum("ij,jk,ik->i", a, inv, a))
+    cov = inv @ (a.T * e**2) @ a @ inv
+    assert math.isclose(got["slope"], b[1]) and math.isclose(got["se"], math.sqrt(cov[1, 1]))

@@ -6,10 +6,10 @@ from sgspark.plans.queries import QUERIES
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) - set(ORACLE_SQL) == {"pgs_solve"}  # iterative: tested against numpy
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(name, spark, sf_dir, duck):
     assert_same(QUERIES[name](spark, sf_dir).toPandas(), duck.execute(ORACLE_SQL[name]).df())
 
