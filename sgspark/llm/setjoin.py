@@ -36,6 +36,8 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_000_000
 RARE, COLUMNS = 8, 4096
 #: Groups of at most so many texts are compared together, as many groups as make so many bytes.
 SMALL, SMALL_BYTES = 8, 500_000
+#: Candidates (some 30 bytes each) up to which they are broadcast to the texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def word_shingles(n: int) -> Callable:
@@ -196,19 +198,24 @@ def candidates(table: DataFrame, trees: int, deepest: int, depth: int) -> DataFr
     return map_arrow(dealt, across, "a long, b long")
 
 
+def _held(shingles: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (shingle, text) pairs in order: their texts, where each shingle's run starts, its length, and the number of
+    distinct shingles of each text. One sort of packed words; the low bits of a hash make room for the text's number."""
+    bits = np.uint64(max(1, int(n).bit_length()))
+    packed = np.sort(((shingles >> bits) << bits) | text.astype(np.uint64))
+    if len(packed):
+        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+    t = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    h = packed >> bits
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return t, starts, np.diff(np.append(starts, len(h))), np.bincount(t, minlength=n)
+
+
 def small_links(shingles: np.ndarray, offsets: np.ndarray, group: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j, similarity), i < j, of texts of one group with Jaccard >= threshold; for groups of a few texts each."""
     n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(offsets))
-    own = tc.mix(shingles ^ tc.mix(group[text].astype(np.uint64)))
-    order = np.lexsort([text, own])
-    h, t = own[order], text[order]
-    keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    h, t = h[keep], t[keep]
-    size = np.bincount(t, minlength=n)
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    freq = np.diff(np.append(starts, len(h)))
+    t, starts, freq, size = _held(tc.mix(shingles ^ tc.mix(group.astype(np.uint64))[text]), text, n)
     codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for f in range(2, int(freq.max(initial=1)) + 1):
         at = starts[freq == f]
@@ -230,17 +237,7 @@ def tile_links(shingles: np.ndarray, offsets: np.ndarray, left: np.ndarray, righ
     """Pairs (i, j, similarity) of texts with Jaccard >= threshold, i in ``left``, j in ``right``, both text numbers."""
     n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(offsets))
-    order = np.lexsort([text, shingles])
-    h, t = shingles[order], text[order]
-    keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    h, t = h[keep], t[keep]
-    size = np.bincount(t, minlength=n)
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    column = np.cumsum(new) - 1
-    freq = np.bincount(column)
-    starts = np.flatnonzero(new)
+    t, starts, freq, size = _held(shingles, text, n)
     row_of, col_of = np.full(n, -1), np.full(n, -1)
     row_of[left], col_of[right] = np.arange(len(left)), np.arange(len(right))
     inter = np.zeros((len(left), len(right)), dtype=np.int64)
@@ -273,23 +270,24 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
     partners, kind 1 units a and b are connected, kind 2 w links a (found) and b (expected) in thousandths."""
     names = ["kind", "a", "b", "w"]
 
-    def tile(rows: list[tuple], small: bool) -> pa.RecordBatch | None:
-        uid, mult = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    def tile(parts: list[pa.RecordBatch], small: bool) -> pa.RecordBatch | None:
+        column = lambda i: np.concatenate([p.column(i).to_numpy() for p in parts])
+        uid, mult = column(4), column(5)
         shingle, sizes = [], []
-        for s in tc.slices(pa.array([r[6] for r in rows], pa.large_string())):
+        for s in (s for p in parts for s in tc.slices(p.column(6))):
             h, offsets = shingler(s)
             shingle.append(h)
             sizes.append(np.diff(offsets))
         every, offsets = np.concatenate(shingle), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        first, second = rows[0][1], rows[0][2]
+        first, second = parts[0].column(1)[0].as_py(), parts[0].column(2)[0].as_py()
         if small:
-            i, j, sim = small_links(every, offsets, np.array([r[0] for r in rows]), threshold)
+            i, j, sim = small_links(every, offsets, column(0), threshold)
         else:
-            blocks = np.array([r[3] for r in rows])
+            blocks = column(3)
             i, j, sim = tile_links(every, offsets, np.flatnonzero(blocks == first), np.flatnonzero(blocks == second), threshold)
         if not len(i):
             return None
-        w = np.zeros(len(rows), dtype=np.int64)
+        w = np.zeros(len(uid), dtype=np.int64)
         np.add.at(w, i, mult[j])
         if small or first != second:
             np.add.at(w, j, mult[i])
@@ -305,30 +303,43 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
         ], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        few: list[tuple] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
+        few: list[pa.RecordBatch] = []
+        now, size = None, 0
+
+        def close() -> pa.RecordBatch | None:
+            """Files the group at hand, or compares it if it is large."""
+            nonlocal held, few, size
+            rows, group = sum(p.num_rows for p in held), held
+            held = []
+            if rows < 2:
+                return None
+            if rows > SMALL or now[1] != now[2]:
+                return tile(group, False)
+            few += group
+            size += sum(p.nbytes for p in group)
+            if size < SMALL_BYTES:
+                return None
+            group, few, size = few, [], 0
+            return tile(group, True)
+
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and held[0][:3] != r[:3]:
-                    if 1 < len(held) <= SMALL and held[0][1] == held[0][2]:
-                        few += held
-                        size += sum(len(h[6]) for h in held)
-                    elif len(held) > 1 and (made := tile(held, False)) is not None:
-                        yield made
-                    held = []
-                    if size >= SMALL_BYTES:
-                        if (made := tile(few, True)) is not None:
-                            yield made
-                        few, size = [], 0
-                held.append(r)
-        if len(held) > 1 and (made := tile(held, False)) is not None:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            for k, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if k == end:
+                    continue
+                key = tuple(keys[k].tolist())
+                if held and key != now and (made := close()) is not None:
+                    yield made
+                now = key
+                held.append(batch.slice(k, end - k))
+        if held and (made := close()) is not None:
             yield made
         if few and (made := tile(few, True)) is not None:
             yield made
 
-    parts = partitions(members.sparkSession)
-    dealt = members.repartition(parts, "gid", "ti", "tj").sortWithinPartitions("gid", "ti", "tj")
+    dealt = members.repartition(partitions(members.sparkSession), "gid", "ti", "tj").sortWithinPartitions("gid", "ti", "tj")
     return map_arrow(dealt, run, "kind int, a long, b long, w long")
 
 
@@ -345,8 +356,9 @@ def joined(rows: DataFrame, places: DataFrame, shingler: Callable, threshold: Fr
         groups = groups.union(groups.select(F.col("gid").alias("uid"), "gid").distinct())
         mine = written(table.select("uid", "mult", "n").join(groups, "uid"), "members")
         blocks = mine.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-        # one row a text: copies have other ids
-        near = mine.join(rows.select(F.col("id").alias("uid"), "text"), "uid").join(blocks, "gid")
+        # one row a text: copies have other ids; few candidates go to the texts, else both sides are shuffled
+        sought = F.broadcast(mine) if mine.count() <= BROADCAST_ROWS else mine
+        near = rows.select(F.col("id").alias("uid"), "text").join(sought, "uid").join(blocks, "gid")
         block = F.when(F.col("nb") == 1, 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("nb"))).cast("int")
         tiles = near.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         tiles = tiles.select("gid", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "uid", "mult", "text")
