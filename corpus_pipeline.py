@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sgspark.llm import classifiers, decontaminate, mixing, near_documents, queries, tokens
-from sgspark.llm.runtime import dropped, written
+from sgspark.llm.runtime import Guarded, dropped, written
 
 #: Probability from which a document is rejected as toxic.
 TOXIC = 0.7
@@ -19,8 +19,9 @@ TOXIC = 0.7
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose toxicity is below TOXIC; the model learns from the labelled rows of op1's folds."""
     model = queries.toxicity_model(spark, docs, sf_dir)
-    scored = classifiers.toxicity_scored(docs, model, queries.TOXICITY_BITS, score="_toxicity", spans="_offending")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    own = Guarded(docs)
+    scored = classifiers.toxicity_scored(own.rows, model, queries.TOXICITY_BITS, text=own["text"])
+    return own.restored(scored.where(F.col("score") < TOXIC))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

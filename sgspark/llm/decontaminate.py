@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sgspark.llm import textcore as tc
-from sgspark.llm.runtime import appended
+from sgspark.llm.runtime import Guarded, appended
 
 WINDOW = 10
 #: Words of the benchmark that one broadcast may hold (about 250 bytes each).
@@ -182,7 +182,6 @@ def report(found: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows and columns of docs in which no window of the benchmark occurs."""
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, window)]
-    flag = "_contaminated"
 
     def make(s: tc.Slice):
         hit = np.zeros(len(s), dtype=bool)
@@ -190,4 +189,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", wi
             hit[shard_matches(s, b.value, window)[0]] = True
         return [hit]
 
-    return appended(docs, text, make, f"{flag} boolean", SHARD_BYTES).where(~F.col(flag)).drop(flag)
+    own = Guarded(docs)
+    return own.restored(appended(own.rows, own[text], make, "hit boolean", SHARD_BYTES).where("not hit"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.llm import setjoin
-from sgspark.llm.runtime import written
+from sgspark.llm.runtime import Guarded, written
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 
@@ -40,11 +40,11 @@ def deduplicated(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     _, table = _joined(docs, threshold)
     winners = table.where("n > 0 and first <=> class_first").groupBy("root", "class_first").agg(F.min("key").alias("_key"))
     winners = winners.select("_key", F.coalesce("class_first", F.lit(0)).alias("_id"), F.col("class_first").isNull().alias("_no_id"))
-    names = docs.columns
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) > 0
-    key = F.unhex(F.md5(F.col("text").cast("binary")))
+    own = Guarded(docs)
+    doc_id, text = F.col(own["doc_id"]), F.col(own["text"])
+    words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) > 0
     # the id is part of the join, so copies of one text are spread out and only those of the class's id meet
-    tagged = docs.where(words).withColumns({"_key": key, "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.col("doc_id").isNull()})
+    tagged = own.rows.where(words).withColumns({"_key": F.unhex(F.md5(text.cast("binary"))), "_id": F.coalesce(doc_id.cast("long"), F.lit(0)), "_no_id": doc_id.isNull()})
     met = tagged.join(winners, ["_key", "_id", "_no_id"])
     turn = F.row_number().over(W.partitionBy("_key", "_id", "_no_id").orderBy("_id"))
-    return docs.where(~words).unionAll(met.withColumn("_turn", turn).where("_turn = 1").select(*names))
+    return own.restored(own.rows.where(~words)).unionAll(own.restored(met.withColumn("_turn", turn).where("_turn = 1")))

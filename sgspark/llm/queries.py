@@ -132,9 +132,45 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+u AS (SELECT min(rid) AS uid, t, any_value(w) AS w, count(*) AS mult, min(doc_id) AS first FROM d GROUP BY t),
+sh AS (SELECT DISTINCT uid, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT uid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM u WHERE len(w) > 0)),
+sz AS (SELECT uid, count(*) AS n FROM sh GROUP BY uid),
+it AS (SELECT a.uid AS a, b.uid AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.uid < b.uid GROUP BY 1, 2),
+lk AS (SELECT a, b FROM it JOIN sz x ON x.uid = a JOIN sz y ON y.uid = b WHERE c * 5 >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+r AS (SELECT uid, uid AS root FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.uid),
+cl AS (SELECT uid, min(root) AS root FROM r GROUP BY uid),
+cf AS (SELECT root, min(first) AS class_id FROM cl JOIN u USING (uid) GROUP BY root),
+nl AS (SELECT e.a AS uid, sum(u.mult) AS k FROM e JOIN u ON u.uid = e.b GROUP BY e.a)
+SELECT d.doc_id, cf.class_id, CAST(CASE WHEN len(d.w) > 0 THEN u.mult - 1 + coalesce(nl.k, 0) ELSE 0 END AS BIGINT) AS n_links, u.mult AS n_copies
+FROM d JOIN u ON u.t = d.t JOIN cl ON cl.uid = u.uid JOIN cf ON cf.root = cl.root LEFT JOIN nl ON nl.uid = u.uid
+"""
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that are copies or near copies of earlier ones."""
-    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM d WHERE text IS NOT NULL),
+l AS (SELECT *, row_number() OVER (ORDER BY rid, k) AS id FROM l0 WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
+u AS (SELECT min(id) AS uid, t FROM l GROUP BY t),
+sh AS (SELECT DISTINCT uid, substr(t, i, 8) AS s FROM (SELECT uid, t, unnest(range(1, greatest(length(t) - 7, 1) + 1)) AS i FROM u)),
+sz AS (SELECT uid, count(*) AS n FROM sh GROUP BY uid),
+it AS (SELECT a.uid AS a, b.uid AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.uid < b.uid GROUP BY 1, 2),
+lk AS (SELECT a, b FROM it JOIN sz x ON x.uid = a JOIN sz y ON y.uid = b WHERE c * 5 >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+r AS (SELECT uid, uid AS root FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.uid),
+cl AS (SELECT uid, min(root) AS root FROM r GROUP BY uid),
+gone AS (SELECT l.rid, string_agg(CAST(l.k AS VARCHAR), ',' ORDER BY l.k) AS ks, count(*) AS n FROM l JOIN u ON u.t = l.t JOIN cl ON cl.uid = u.uid WHERE l.id <> cl.root GROUP BY l.rid)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, coalesce(ks, '') AS removed_lines
+FROM d LEFT JOIN gone USING (rid)
+"""
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +178,18 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.classes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.rid <> b.rid AND len(a.x) = len(b.x)
+  WHERE isfinite(list_dot_product(a.x, a.x)) AND isfinite(list_dot_product(b.x, b.x)) AND list_dot_product(a.x, a.x) > 0 AND list_dot_product(b.x, b.x) > 0
+  AND list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.9),
+r AS (SELECT rid, rid AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.rid),
+c AS (SELECT r.rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.root GROUP BY r.rid),
+n AS (SELECT a AS rid, count(*) AS k FROM e GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 QUERIES = {"op6_embeddings": op6_embeddings, "op10_lines": op10_lines, "op2_ngram_join": op2_ngram_join, "op7_substrings": op7_substrings, "op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_substrings": OP7_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op10_lines": OP10_SQL, "op7_substrings": OP7_SQL, "op9_decontaminate": OP9_SQL}

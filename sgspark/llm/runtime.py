@@ -24,10 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes this application's tables in the shared folder; for when all results that read them have been written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
@@ -149,7 +159,25 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(map_arrow(small.distinct(), _contract, "a long, b long").distinct(), "edges")
         dropped(edges)
         edges = new
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._shared_path = edges._shared_path
+    return out
+
+
+class Guarded:
+    """A table whose columns go by names of their own (c0_, c1_, ...), so that no column that an operator adds can clash
+    with them; of repeated names the first one counts. restored() gives the rows their names back."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.inner = [f"c{i}_" for i in range(len(self.names))]
+        self.rows = df.toDF(*self.inner)
+
+    def __getitem__(self, name: str) -> str:
+        return self.inner[self.names.index(name)]
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.inner).toDF(*self.names)
 
 
 def appended(df: DataFrame, text: str, make, fields: str, slice_bytes: int = 250_000) -> DataFrame:

@@ -351,10 +351,11 @@ def joined(rows: DataFrame, places: DataFrame, shingler: Callable, threshold: Fr
     table = units(rows, places, shingler, trees * deepest)
     depth = depth_for(float(threshold), trees, deepest, recall)
     while True:
-        groups = components(candidates(table, trees, deepest, depth))
-        groups = groups.select(F.col("node").alias("uid"), F.col("root").alias("gid"))
+        found = components(candidates(table, trees, deepest, depth))
+        groups = found.select(F.col("node").alias("uid"), F.col("root").alias("gid"))
         groups = groups.union(groups.select(F.col("gid").alias("uid"), "gid").distinct())
         mine = written(table.select("uid", "mult", "n").join(groups, "uid"), "members")
+        dropped(found)
         blocks = mine.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
         # one row a text: copies have other ids; few candidates go to the texts, else both sides are shuffled
         sought = F.broadcast(mine) if mine.count() <= BROADCAST_ROWS else mine
@@ -376,4 +377,7 @@ def joined(rows: DataFrame, places: DataFrame, shingler: Callable, threshold: Fr
     least = done.groupBy("root").agg(F.min("first").alias("class_first"))
     done = done.join(least, "root")
     links_of = F.when(F.col("n") > 0, F.col("mult") - 1 + F.coalesce("w", F.lit(0))).otherwise(0)
-    return written(done.select("key", "mult", "n", links_of.cast("long").alias("n_links"), "uid", "root", "first", "class_first"), "classes")
+    out = written(done.select("key", "mult", "n", links_of.cast("long").alias("n_links"), "uid", "root", "first", "class_first"), "classes")
+    for x in (table, links, roots):
+        dropped(x)
+    return out

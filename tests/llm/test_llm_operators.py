@@ -40,7 +40,7 @@ def corpus(spark):
     return rows
 
 
-SQL_OPERATORS = ["op4_mixing", "op7_substrings", "op9_decontaminate"]
+SQL_OPERATORS = ["op2_ngram_join", "op4_mixing", "op6_embeddings", "op7_substrings", "op9_decontaminate", "op10_lines"]
 
 
 @pytest.mark.parametrize("name", SQL_OPERATORS)
@@ -117,6 +117,7 @@ def test_near_documents(spark, corpus):
 def test_near_documents_kept(spark, corpus):
     out = near_documents.deduplicated(frame(spark, corpus))
     assert out.columns == frame(spark, corpus).columns
+    assert out.select("_key", "uid", "score", "removed").distinct().collect() == [("k", "u", 0.5, 3)]
     kept = sorted(r["doc_id"] for r in out.collect())
     classes = {c for (d, c, _), (_, t) in zip(near_truth(corpus), corpus) if words(t)}
     assert kept == sorted([*classes, 302, 303, 304])
@@ -189,6 +190,16 @@ def test_mixing_targets(spark, corpus):
     assert_same(out, again)
 
 
+def test_mixed_rows(spark, corpus):
+    docs = frame(spark, [(d, t, "ab"[i % 2]) for i, (d, t) in enumerate(corpus)])
+    out = mixing.materialised(docs)
+    assert out.columns == docs.columns and out.select("_key", "score").distinct().collect() == [("k", 0.5)]
+    taken = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mixture(docs).collect()}
+    copies = collections.Counter((r["doc_id"], len(words(r["text"]))) for r in out.collect())
+    for (d, size), n in copies.items():
+        assert d in (300, 301) or abs(n * size - taken[d, size]) <= size / 2
+
+
 def test_mixing_positions_follow_the_schedule(spark):
     rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(600)]
     out = mixing.mixture(frame(spark, rows)).toPandas().dropna()
@@ -202,7 +213,9 @@ def test_lines(spark):
     got = lines.report(frame(spark, rows)).collect()
     out = collections.Counter((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got)
     assert out == collections.Counter([(1, 4, (3,)), (2, 1, (0,)), (3, 0, ()), (4, 1, ()), (5, 1, (0,)), (5, 4, ()), (None, 1, ()), (6, 1, (0,))])
-    kept = {r["doc_id"]: r["text"] for r in lines.deduplicated(frame(spark, rows)).collect()}
+    out = lines.deduplicated(frame(spark, rows))
+    assert out.select("_key", "removed").distinct().collect() == [("k", 3)]
+    kept = {r["doc_id"]: r["text"] for r in out.collect()}
     assert kept[1] == f"{base}\nunique one here\n" and kept[2] == "" and kept[3] is None
 
 
