@@ -506,7 +506,7 @@ def pgs_solve(spark: SparkSession, d: str) -> DataFrame:
     samples = tables.samples(spark, d)
     mean = F.broadcast(samples.agg(F.avg("y1").alias("m")))
     y = samples.crossJoin(mean).select("sid", ((F.col("y1") - F.col("m")) / 1000).alias("y"))
-    return rounded(solve.conjugate_gradients(dosage, scale, y, 1.0), 6, "u")
+    return rounded(solve.conjugate_gradients(dosage, scale, y, 1.0, rounds=8), 6, "u")
 
 
 @query
