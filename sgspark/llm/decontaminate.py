@@ -16,6 +16,8 @@ Repeated ids of items count once. Repeated and tied documents are judged each fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,18 +142,17 @@ def _covered(starts: np.ndarray, lengths: np.ndarray) -> int:
     return total
 
 
-def blocks_of(benchmark: DataFrame, window: int) -> list[Block]:
-    """The benchmark, block by block; the driver holds one block's texts at a time."""
-    out, rows, words = [], [], 0
+def blocks_of(benchmark: DataFrame, window: int) -> Iterator[Block]:
+    """The benchmark, block by block; the driver holds one at a time. An empty benchmark is one empty block."""
+    rows, words, some = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         rows.append((r[0], r[1]))
         words += len(r[1] or "") // 2 + 1
         if words >= BLOCK_WORDS:
-            out.append(Block(rows, window))
-            rows, words = [], 0
-    if rows or not out:
-        out.append(Block(rows, window))
-    return out
+            yield Block(rows, window)
+            rows, words, some = [], 0, True
+    if rows or not some:
+        yield Block(rows, window)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

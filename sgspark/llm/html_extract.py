@@ -51,13 +51,13 @@ CONTAINER_NAMES = _words("article content post entry story main maincontent")
 
 
 class _Element:
-    __slots__ = ("tag", "masked", "inside", "link", "header")
+    __slots__ = ("tag", "block", "masked", "inside", "link", "header")
 
-    def __init__(self, tag: str, masked: bool, inside: bool, link: bool, header: bool):
-        self.tag, self.masked, self.inside, self.link, self.header = tag, masked, inside, link, header
+    def __init__(self, tag: str, block: str, masked: bool, inside: bool, link: bool, header: bool):
+        self.tag, self.block, self.masked, self.inside, self.link, self.header = tag, block, masked, inside, link, header
 
 
-_ROOT = _Element("", False, False, False, False)
+_ROOT = _Element("", "", False, False, False, False)
 
 
 def _opened(tag: str, attributes: str, up: _Element) -> _Element:
@@ -82,7 +82,7 @@ def _opened(tag: str, attributes: str, up: _Element) -> _Element:
         masked = tag in MASKED or role in MASKED_ROLES or bool(names & MASKED_NAMES)
         if (tag == "header" or "header" in names) and not names & (MASKED_NAMES - {"header"}):
             masked, header = not up.inside, True
-    return _Element(tag, up.masked or masked or hidden, up.inside or (container and not masked), up.link or tag == "a", header)
+    return _Element(tag, tag if tag in BLOCK else up.block, up.masked or masked or hidden, up.inside or (container and not masked), up.link or tag == "a", header)
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -91,6 +91,12 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     out: list[tuple[str, int, bool, bool]] = []
     stack, parts, plain = [_ROOT], [], 0
     state = [False, False, ""]  # of the line: masked, inside, tag of its block
+    opened: dict[str, int] = {}
+
+    def drop(i: int) -> None:
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
 
     def flush() -> None:
         nonlocal parts, plain
@@ -108,12 +114,11 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if not text:
             return
         top = stack[-1]
-        block = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-        masked = top.masked or (top.header and block not in HEADINGS)
+        masked = top.masked or (top.header and top.block not in HEADINGS)
         if not text.isspace():
             if parts and masked != state[0]:
                 flush()
-            state[0], state[1], state[2] = masked, top.inside, block
+            state[0], state[1], state[2] = masked, top.inside, top.block
             plain += not top.link
         elif not parts:
             return
@@ -129,26 +134,25 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         elif tag == "br" and parts:
             parts.append(" ")
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag, 0) > 0:
+                drop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
         elif tag not in VOID:
             if tag in BLOCK:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        drop(i)
                         break
                     if stack[i].tag in BLOCK:
                         break
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in CLOSES.get(tag, ()):
-                        del stack[i:]
+                        drop(i)
                         break
                     if stack[i].tag in ("ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "tbody"):
                         break
             if not attributes.rstrip().endswith("/"):
                 stack.append(_opened(tag, attributes, stack[-1]))
+                opened[tag] = opened.get(tag, 0) + 1
     add(page[at:])
     flush()
     return out

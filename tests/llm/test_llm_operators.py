@@ -174,7 +174,7 @@ def test_decontamination_in_blocks(spark, corpus, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(words(corpus[i][1])[3:18])) for i in range(8)], "item_id long, text string")
     whole = decontaminate.report(decontaminate.matched(frame(spark, corpus), bench)).toPandas()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
-    assert len(decontaminate.blocks_of(bench, 10)) > 2
+    assert len(list(decontaminate.blocks_of(bench, 10))) > 2
     assert_same(whole, decontaminate.report(decontaminate.matched(frame(spark, corpus), bench)).toPandas())
 
 
