@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +61,58 @@ def dense_moments(panel: DataFrame) -> DataFrame:
     return rows.withColumn("nsxx", F.col("n") * F.col("q") - F.col("s") * F.col("s")).where("nsxx > 0").drop("q")
 
 
+#: Samples up to which the samples' product matrix (32 MB then) travels as one.
+DENSE_SAMPLES = 2048
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _standardised(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows (n e - s) / sqrt(n nsxx) of a batch vid, n, s, nsxx, e."""
+    n, s, nsxx = (batch.column(i).to_numpy().astype(np.float64)[:, None] for i in (1, 2, 3))
+    return (n * _matrix(batch.column(4)) - s) / np.sqrt(n * nsxx)
+
+
 def gram_scores(panel: DataFrame) -> DataFrame:
     """Exact LD scores against all variants of a dense panel, without a pair of variants ever being a row.
 
-    sum_j r_ij**2 = x_i' (sum_j x_j x_j') x_i for standardised rows x: the samples' product matrix is one aggregate of
-    (sample, sample) cells, samples being the short axis, and each variant is then a quadratic form. Two passes over the
-    panel whatever the number of variants."""
+    sum_j r_ij**2 = x_i' (sum_j x_j x_j') x_i for standardised rows x: the samples' product matrix is one sum over
+    variants, samples being the short axis, and each variant is then a quadratic form. Two passes over the panel whatever
+    the number of variants. Up to DENSE_SAMPLES samples the matrix is summed by partition and broadcast; with more, its
+    cells are a table that is joined by row."""
+    samples = panel.agg(F.max(F.size("e"))).first()[0] or 0
+    return _gram_dense(panel) if samples <= DENSE_SAMPLES else gram_cells(panel)
+
+
+def _gram_dense(panel: DataFrame) -> DataFrame:
+    rows = dense_moments(panel).select("vid", "n", "s", "nsxx", "e")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                z = _standardised(batch)
+                total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["k"])
+
+    cells = rows.mapInArrow(products, "k array<double>").select(F.posexplode("k").alias("cell", "x")).groupBy("cell").agg(F.sum("x").alias("x"))
+    flat = np.array([r["x"] for r in cells.orderBy("cell").collect()])  # samples x samples numbers
+    shared = panel.sparkSession.sparkContext.broadcast(flat.reshape(int(len(flat) ** 0.5), int(len(flat) ** 0.5)))
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = _standardised(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.einsum("ij,ij->i", z @ shared.value, z)), batch.column(1)], ["vid", "raw", "n"])
+
+    return rows.mapInArrow(forms, "vid long, raw double, n long")
+
+
+def gram_cells(panel: DataFrame) -> DataFrame:
+    """gram_scores with the samples' product matrix as a table of cells."""
     rows = dense_moments(panel)
     z = F.transform("e", lambda v: (F.col("n") * v - F.col("s")) / F.sqrt(F.col("n") * F.col("nsxx")))
     rows = rows.select("vid", "n", z.alias("z"))

@@ -72,6 +72,8 @@ def test_dense_scores_against_numpy(spark):
     panel = spark.createDataFrame([(i, 0, [int(v) for v in row]) for i, row in enumerate(x)], "vid long, label int, e array<long>")
     got = ldscore.gram_scores(panel).orderBy("vid").toPandas()["raw"].to_numpy()
     assert np.allclose(got, (np.corrcoef(x) ** 2).sum(1))
+    cells = ldscore.gram_cells(panel).orderBy("vid").toPandas()["raw"].to_numpy()
+    assert np.allclose(cells, got) and ldscore.gram_scores(panel.limit(0)).count() == 0
 
 
 def test_h2_recovers_planted_signal(spark):
