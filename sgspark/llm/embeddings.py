@@ -5,8 +5,8 @@
    by diversity and half by closeness).
 2. Every unit queries every shard, in blocks: the shard's graph meets each salt of the queries in a task of its own. The
    beam starts narrow and doubles for queries whose whole beam is linked, and for the block as long as an audit of
-   AUDITED queries against all vectors of the shard finds less than ``recall`` of their links; a beam as wide as the
-   shard is the exact scan.
+   AUDITED queries against all vectors of the shard finds less than ``recall`` of their links; beyond WIDEST
+   the exact scan of the shard takes over.
 3. Every link found is verified by its cosine in double precision; a task gives a spanning forest of its links, and
    components are the forests' union.
 4. Members of a component are all compared with each other in double precision, in tiles of two blocks, so the number of
@@ -31,12 +31,12 @@ from sgspark.llm.runtime import components, forest, map_arrow, partitions, writt
 from sgspark.llm.textcore import spread
 
 THRESHOLD = 0.9
-SHARD_BYTES = 8 << 20
-#: Neighbours of a node, share of nodes that the next layer keeps, beam while building, first beam of a query.
-NEIGHBOURS, LAYER, BUILD_BEAM, BEAM = 24, 16, 48, 32
-BLOCK, AUDITED, RECALL = 1024, 32, 0.99
+SHARD_BYTES = 16 << 20
+#: Neighbours of a node, share of nodes that the next layer keeps, beam while building, first and widest beam of a query.
+NEIGHBOURS, LAYER, BUILD_BEAM, BEAM, WIDEST = 24, 16, 48, 32, 512
+BLOCK, AUDITED, RECALL = 512, 32, 0.99
 #: Queries that one task answers at most, about.
-SALT_ROWS = 32768
+SALT_ROWS = 16384
 #: Vectors of a block of a component.
 TILE = 2048
 #: Float32 similarities this far below the threshold are still verified.
@@ -176,19 +176,22 @@ class Graph:
         return ids, sims
 
 
-def hits(graph: Graph, x: np.ndarray, threshold: float, recall: float, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs (row of x, node) of similarity >= threshold by beams that widen until the audit passes; the last beam."""
+def hits(graph: Graph, x: np.ndarray, threshold: float, recall: float, seed: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (row of x, node) of similarity >= threshold by beams that widen until the audit passes; the last beam. Beams
+    wider than WIDEST, or than the shard, are exact scans, which cost less then. own: each row's own node, -1 for none; an
+    audit doesn't count it."""
     x = x.astype(np.float32)
     audited = np.random.default_rng(seed).permutation(len(x))[:AUDITED]
     truth = x[audited] @ graph.v.T >= threshold
-    beam, rows, nodes = min(BEAM, graph.n), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    todo = np.arange(len(x))
+    if own is not None:
+        mine = np.flatnonzero(own[audited] >= 0)
+        truth[mine, own[audited][mine]] = False
+    rows, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    beam, todo = BEAM, np.arange(len(x))
     while True:
-        if beam >= graph.n:
-            exact = x[todo] @ graph.v.T >= threshold
-            r, c = np.nonzero(exact)
-            rows, nodes = np.concatenate([rows, todo[r]]), np.concatenate([nodes, c])
-            return rows, nodes, beam
+        if beam >= graph.n or beam > WIDEST:
+            r, c = np.nonzero(x[todo] @ graph.v.T >= threshold)
+            return np.concatenate([rows, todo[r]]), np.concatenate([nodes, c]), beam
         ids, sims = graph.search(x[todo], beam)
         linked = (sims >= threshold) & (ids >= 0)
         full = linked.all(axis=1)
@@ -207,7 +210,10 @@ def hits(graph: Graph, x: np.ndarray, threshold: float, recall: float, seed: int
 def _block_links(graph: Graph, exact: np.ndarray, uid: np.ndarray, q: np.ndarray, q_uid: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (uid, uid) of the links, verified in double precision, of the queries q with a shard."""
     norm_q = np.linalg.norm(q, axis=1)
-    rows, nodes, _ = hits(graph, q / norm_q[:, None], threshold - SLACK, RECALL, seed)
+    place = np.argsort(graph.order)  # uid is sorted; the node of each of its vectors
+    at = np.minimum(np.searchsorted(uid, q_uid), len(uid) - 1)
+    own = np.where(uid[at] == q_uid, place[at], -1)
+    rows, nodes, _ = hits(graph, q / norm_q[:, None], threshold - SLACK, RECALL, seed, own)
     at = graph.order[nodes]
     cosine = np.einsum("id,id->i", q[rows], exact[at]) / (norm_q[rows] * np.linalg.norm(exact, axis=1)[at])
     good = (cosine >= threshold) & (q_uid[rows] != uid[at])
