@@ -127,7 +127,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, epochs: int = 12, rate: float = 1.0, batch: int = 16, decay: float = 1e-4, min_df: float = 0.0025, bias: float = -6.0, seed: int = 7) -> np.ndarray:
+def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, epochs: int = 12, rate: float = 1.0, batch: int = 4, decay: float = 3e-5, min_df: float = 0.0025, bias: float = -6.0, seed: int = 7) -> np.ndarray:
     """Sentence weights from document labels: P(document) = 1 - prod(1 - P(sentence)), by Adagrad on the log loss.
 
     bags: (feature numbers, offsets of the sentences among them). Features of less than that share (min_df) of the
