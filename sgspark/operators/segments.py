@@ -67,3 +67,36 @@ def interleaved(variants: DataFrame, markers: DataFrame) -> DataFrame:
 def distance_cells(pairs: DataFrame, width: int) -> DataFrame:
     """Mean r2 by distance cell: cell, pairs, mean_r2."""
     return pairs.groupBy(F.floor(F.abs(F.col("pi") - F.col("pj")) / width).alias("cell")).agg(F.count("*").alias("pairs"), F.avg("r2").alias("mean_r2"))
+
+
+def exponential_fit(curve: DataFrame, d: str, k: str, rates: list[float]) -> DataFrame:
+    """Least squares of k = a + h exp(-rate d) over a grid of rates, closed form for each rate: the row of the smallest
+    residual, ties by the smaller rate: rate, a, h, sse. Rates at which the curve is constant are left out."""
+    rows = curve.select(F.col(d).cast("double").alias("d"), F.col(k).alias("k")).withColumn("rate", F.explode(F.array(*map(F.lit, rates)))).withColumn("x", F.exp(-F.col("rate") * F.col("d")))
+    s = rows.groupBy("rate").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("k").alias("mk"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("k")).alias("xk"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    sxx, sxk, skk = (F.col(c) - F.col("n") * F.col(p) * F.col(q) for c, p, q in (("xx", "mx", "mx"), ("xk", "mx", "mk"), ("kk", "mk", "mk")))
+    s = s.withColumns({"sxx": sxx, "sxk": sxk, "skk": skk}).where("sxx > 1e-12").withColumn("h", F.col("sxk") / F.col("sxx"))
+    s = s.select("rate", (F.col("mk") - F.col("h") * F.col("mx")).alias("a"), "h", (F.col("skk") - F.col("h") * F.col("sxk")).alias("sse"))
+    best = s.agg(F.min(F.struct(F.round("sse", 15).alias("sse"), "rate", "a", "h")).alias("b"))
+    return best.select("b.rate", "b.a", "b.h", "b.sse")
+
+
+def ancestry_runs(lines: DataFrame) -> DataFrame:
+    """Segments of run-length ancestry lines (iid, line), a line being ``stop:ab stop:ab ...`` with rising stops and two
+    one-digit codes: iid, start, stop, anc0, anc1. A token of another form is an error."""
+    token = r"^\d+:\d\d$"
+    rows = lines.select("iid", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("i", "token"))
+    ok = F.when(F.col("token").rlike(token), F.col("token")).otherwise(F.raise_error(F.concat(F.lit("not a run: "), F.col("token"))))
+    rows = rows.withColumn("token", ok).withColumn("stop", F.split("token", ":")[0].cast("long")).withColumn("ab", F.split("token", ":")[1])
+    w = W.partitionBy("iid").orderBy("i")
+    rows = rows.withColumn("start", F.coalesce(F.lag("stop").over(w), F.lit(0)))
+    return rows.select("iid", "start", "stop", F.substring("ab", 1, 1).cast("int").alias("anc0"), F.substring("ab", 2, 1).cast("int").alias("anc1"))
+
+
+def ancestry_dosage(segments_: DataFrame, sites: DataFrame, code: int, width: int = 1 << 16) -> DataFrame:
+    """Copies (0, 1, 2) of an ancestry that each sample carries at the sites (site) of its segments: start <= site < stop.
+    A bucketed interval join: segments are dealt to the buckets of ``width`` sites that they reach into."""
+    copies = (F.col("anc0") == code).cast("int") + (F.col("anc1") == code).cast("int")
+    seg = segments_.where("stop > start").select("iid", "start", "stop", copies.alias("copies"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))).alias("b"))
+    at = sites.select("site", F.floor(F.col("site") / width).alias("b"))
+    return seg.join(at, "b").where("start <= site and site < stop").select("iid", "site", "copies")

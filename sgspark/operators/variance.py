@@ -133,3 +133,15 @@ def h2_delete_two(rows: DataFrame) -> DataFrame:
     left = F.col("m") + F.col("om")
     p = p.withColumns({"full": h2(tm, F.col("tay"), F.col("tal")), "x": h2(tm - left, F.col("tay") - F.col("ay") - F.col("oay"), F.col("tal") - F.col("al") - F.col("oal"))})
     return p.groupBy("trait").agg(F.count("*").alias("replicates"), F.max("full").alias("estimate"), F.sqrt(F.avg((tm - left) / left * (F.col("x") - F.col("full")) ** 2)).alias("se"))
+
+
+def overlap_intercept(rows: DataFrame) -> DataFrame:
+    """The noise covariance c of two traits, estimated with the genetic covariance held to its moment equation: with
+    x = l - 1 (a variant's own term taken off), alpha = sum y / sum x and delta = m / sum x,
+    c = sum w (1 - delta x)(y - alpha x) / sum w (1 - delta x)**2, weights 1 / max(l, 1). rows: y, l2_base."""
+    w, x = 1 / F.greatest(F.col("l2_base"), F.lit(1.0)), F.col("l2_base") - 1
+    s = rows.agg(F.count("*").alias("m"), F.sum(x).alias("s"), F.sum("y").alias("t"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * x * F.col("y")).alias("wxy"))
+    alpha, delta = F.col("t") / F.col("s"), F.col("m") / F.col("s")
+    top = F.col("wy") - delta * F.col("wxy") - alpha * F.col("wx") + alpha * delta * F.col("wxx")
+    bottom = F.col("w") - 2 * delta * F.col("wx") + delta * delta * F.col("wxx")
+    return s.select("m", (top / bottom).alias("c"))

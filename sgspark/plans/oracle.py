@@ -378,4 +378,18 @@ ORACLE_SQL |= {
         mf="SELECT idx, carriers, round(least(sg / (2.0 * n), 1 - sg / (2.0 * n)), 10) AS maf FROM vs CROSS JOIN n",
         **band(WIDTH),
     ),
+    "ld_decay_fit": sql(
+        "SELECT CAST(rate AS DOUBLE) AS rate, round(mk - h * mx, 9) AS a, round(h, 9) AS h FROM (SELECT *, sxk / sxx AS h, row_number() OVER (ORDER BY round(skk - sxk / sxx * sxk, 15), rate) AS i FROM xf WHERE sxx > 1e-12) WHERE i = 1",
+        cv="SELECT CAST(floor(abs(a.pos - b.pos) / 2) AS BIGINT) AS cell, round(avg(r2), 9) AS k FROM r2 JOIN v a ON a.idx = r2.i JOIN v b ON b.idx = r2.j WHERE i < j GROUP BY 1",
+        xr="SELECT g / 20.0::DOUBLE AS rate, k, exp(-(g / 20.0::DOUBLE) * cell) AS x FROM cv CROSS JOIN (SELECT unnest(range(1, 61)) AS g)",
+        xf="SELECT rate, avg(x) AS mx, avg(k) AS mk, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx, sum(x * k) - count(*) * avg(x) * avg(k) AS sxk, sum(k * k) - count(*) * avg(k) * avg(k) AS skk FROM xr GROUP BY rate",
+        **band(10),
+    ),
+    "rg_intercept": sql(
+        """SELECT m, round((wy - m / s * wxy - t / s * wx + t / s * m / s * wxx) / (w - 2 * m / s * wx + m / s * m / s * wxx), 7) AS c FROM (SELECT count(*) AS m, sum(x) AS s, sum(y) AS t, sum(w) AS w, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * y) AS wy,
+        sum(w * x * y) AS wxy FROM (SELECT a.z_star * b.z_star AS y, l2_base - 1 AS x, 1 / greatest(l2_base, 1.0) AS w FROM t1 a JOIN t2 b USING (idx) JOIN l2 USING (idx)))""",
+        t1="SELECT * FROM my WHERE trait = 'y1'",
+        t2="SELECT * FROM my WHERE trait = 'y2'",
+        **band(WIDTH),
+    ),
 }

@@ -498,6 +498,19 @@ def maf_ld_partition(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("bin").agg(F.count("*").alias("variants"), F.sum("carriers").alias("carriers"))
 
 
+@query
+def ld_decay_fit(spark: SparkSession, d: str) -> DataFrame:
+    """An exponential through the curve of mean r2 by distance."""
+    out = segments.exponential_fit(ld_curve_cells(spark, d), "cell", "mean_r2", [k / 20 for k in range(1, 61)])
+    return rounded(out, 9, "a", "h").select("rate", "a", "h")
+
+
+@query
+def rg_intercept(spark: SparkSession, d: str) -> DataFrame:
+    rows = variance.rg_rows(gwas.score_moments(_stats(spark, d)), "y1", "y2").join(_base_scores(spark, d), "idx")
+    return rounded(variance.overlap_intercept(rows.withColumn("y", F.col("z1") * F.col("z2"))), 7, "c")
+
+
 @query
 def pgs_solve(spark: SparkSession, d: str) -> DataFrame:
     """Best linear predictors of the first trait by conjugate gradients on the genetic kernel."""

@@ -169,3 +169,20 @@ def test_hc3_against_numpy(spark):
     e = (y - a @ b) / (1 - np.einsum("ij,jk,ik->i", a, inv, a))
     cov = inv @ (a.T * e**2) @ a @ inv
     assert math.isclose(got["slope"], b[1]) and math.isclose(got["se"], math.sqrt(cov[1, 1]))
+
+
+def test_ancestry_runs(spark):
+    lines = spark.createDataFrame([("s1", "3:01 10:11"), ("s2", "10:00")], "iid string, line string")
+    seg = segments.ancestry_runs(lines)
+    assert sorted(map(tuple, seg.collect())) == [("s1", 0, 3, 0, 1), ("s1", 3, 10, 1, 1), ("s2", 0, 10, 0, 0)]
+    sites = spark.createDataFrame([(0,), (2,), (3,), (9,)], "site long")
+    got = {(r["iid"], r["site"]): r["copies"] for r in segments.ancestry_dosage(seg, sites, 1).collect()}
+    assert got == {("s1", 0): 1, ("s1", 2): 1, ("s1", 3): 2, ("s1", 9): 2} | {("s2", k): 0 for k in (0, 2, 3, 9)}
+    with pytest.raises(Exception, match="not a run"):
+        segments.ancestry_runs(spark.createDataFrame([("s", "3:0x")], "iid string, line string")).collect()
+
+
+def test_exponential_fit(spark):
+    curve = spark.createDataFrame([(float(i), 0.1 + 0.5 * math.exp(-0.3 * i)) for i in range(20)], "d double, k double")
+    fit = segments.exponential_fit(curve, "d", "k", [0.1, 0.2, 0.3, 0.4]).first()
+    assert fit["rate"] == 0.3 and math.isclose(fit["a"], 0.1) and math.isclose(fit["h"], 0.5)
