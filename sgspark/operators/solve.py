@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +21,32 @@ def kernel_product(dosage: DataFrame, scale: DataFrame, v: DataFrame, m: int) ->
     return v.select("sid").join(back, "sid", "left").crossJoin(shift).select("sid", ((F.coalesce("part", F.lit(0.0)) - F.col("shift")) / m).alias("kv"))
 
 
-def conjugate_gradients(dosage: DataFrame, scale: DataFrame, y: DataFrame, ridge: float, rounds: int = 20, tolerance: float = 1e-8) -> DataFrame:
-    """u with (X X' / m + ridge) u = y for y (sid, y). Stops when the true residual is at most tolerance * |y|, or after
-    ``rounds``. The driver holds three numbers a round; vectors are checkpointed tables of one row a sample."""
-    checkpointed(dosage.sparkSession)
-    scale = scale.checkpoint()
+def _saved(df: DataFrame) -> DataFrame:
+    """df as a new table in the shared folder. A checkpoint would keep the plan's estimated size, and an estimate that is
+    multiplied in every round has millions of digits after some twenty."""
+    path = f"{checkpointed(df.sparkSession)}/solve-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def conjugate_gradients(dosage: DataFrame, scale: DataFrame, y: DataFrame, ridge: float, rounds: int = 500, tolerance: float = 1e-8) -> DataFrame:
+    """u with (X X' / m + ridge) u = y for y (sid, y). Runs until the recurrence's residual is at most tolerance * |y|; if
+    ``rounds`` don't reach it, that is an error. The driver holds three numbers a round; vectors are tables of one row a
+    sample in the shared folder."""
+    dosage, scale = _saved(dosage), _saved(scale)
     m = scale.count()
-    state = y.select("sid", F.lit(0.0).alias("u"), F.col("y").cast("double").alias("r"), F.col("y").cast("double").alias("p")).checkpoint()
+    state = _saved(y.select("sid", F.lit(0.0).alias("u"), F.col("y").cast("double").alias("r"), F.col("y").cast("double").alias("p")))
     rr = norm = state.agg(F.sum(F.col("r") ** 2)).first()[0] or 0.0
-    for _ in range(rounds):
-        if rr <= tolerance**2 * norm:
-            break
+    done = 0
+    while not rr <= tolerance**2 * norm:
+        if done == rounds:
+            raise RuntimeError(f"conjugate gradients: relative residual {(rr / norm) ** 0.5:.2g} after {rounds} rounds, not {tolerance:.2g}")
         ap = kernel_product(dosage, scale, state.select("sid", F.col("p").alias("v")), m)
-        step = state.join(ap, "sid").withColumn("ap", F.col("kv") + ridge * F.col("p")).drop("kv").checkpoint()
+        step = _saved(state.join(ap, "sid").withColumn("ap", F.col("kv") + ridge * F.col("p")).drop("kv"))
         alpha = rr / step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         moved = step.select("sid", (F.col("u") + alpha * F.col("p")).alias("u"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         new = moved.agg(F.sum(F.col("r") ** 2)).first()[0]
-        state = moved.withColumn("p", F.col("r") + new / rr * F.col("p")).checkpoint()
+        state = _saved(moved.withColumn("p", F.col("r") + new / rr * F.col("p")))
         rr = new
+        done += 1
     return state.select("sid", "u")

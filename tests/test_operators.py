@@ -159,6 +159,13 @@ def test_conjugate_gradients_against_numpy(spark):
     assert np.allclose(got.orderBy("sid").toPandas()["u"].to_numpy(), want, atol=1e-6)
 
 
+def test_conjugate_gradients_short_of_the_tolerance(spark):
+    dosage = spark.createDataFrame([(j, i, 1 + (i * j) % 2) for i in range(9) for j in range(12) if (i + j) % 3], "idx long, sid long, g long")
+    scale = traits.scale(gwas.variant_sums(dosage), spark.createDataFrame([(9,)], "n long"))
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        solve.conjugate_gradients(dosage, scale, spark.createDataFrame([(i, float(i * i)) for i in range(9)], "sid long, y double"), 0.5, 1)
+
+
 def test_hc3_against_numpy(spark):
     rng = np.random.default_rng(9)
     x, y = rng.normal(size=30), rng.normal(size=30)

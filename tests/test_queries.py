@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from compare import assert_same
@@ -14,6 +15,17 @@ def test_query(name, spark, sf_dir, duck):
     assert_same(QUERIES[name](spark, sf_dir).toPandas(), duck.execute(ORACLE_SQL[name]).df())
 
 
+def test_pgs_solve_against_numpy(spark, sf_dir, duck):
+    y = duck.execute("SELECT c_custkey AS sid, round(c_acctbal) AS y FROM customer ORDER BY 1").df()
+    pairs = duck.execute("SELECT l_partkey AS idx, o_custkey AS sid, least(2, count(*)) AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2").df()
+    g = pairs.pivot(index="sid", columns="idx", values="g").reindex(y["sid"]).fillna(0).to_numpy(dtype=float)
+    x = g[:, g.std(0) > 0]
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = np.linalg.solve(x @ x.T / x.shape[1] + np.eye(len(y)), (y["y"] - y["y"].mean()) / 1000)
+    got = QUERIES["pgs_solve"](spark, sf_dir).toPandas().sort_values("sid")
+    assert list(got["sid"]) == list(y["sid"]) and abs(got["u"] - want).max() < 6e-7
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
