@@ -4,9 +4,9 @@
    SHARD_BYTES of vectors; a task builds a shard's graph (batches of insertions against the graph so far, neighbours half
    by diversity and half by closeness).
 2. Every unit queries every shard, in blocks: the shard's graph meets each salt of the queries in a task of its own. The
-   beam starts narrow and doubles for queries whose whole beam is linked, and for the block as long as an audit of
-   AUDITED queries against all vectors of the shard finds less than ``recall`` of their links; beyond WIDEST
-   the exact scan of the shard takes over.
+   beam starts narrow and doubles for queries whose whole beam is linked, and for the block as long as an audit
+   finds less than ``recall`` of the links that AUDITED queries, or as many more as have LINKS links (all, if need be),
+   have among all vectors of the shard; beyond WIDEST the exact scan of the shard takes over.
 3. Every link found is verified by its cosine in double precision; a task gives a spanning forest of its links, and
    components are the forests' union.
 4. Members of a component are all compared with each other in double precision, in tiles of two blocks, so the number of
@@ -35,6 +35,8 @@ SHARD_BYTES = 16 << 20
 #: Neighbours of a node, share of nodes that the next layer keeps, beam while building, first and widest beam of a query.
 NEIGHBOURS, LAYER, BUILD_BEAM, BEAM, WIDEST = 24, 16, 48, 32, 512
 BLOCK, AUDITED, RECALL = 512, 32, 0.99
+#: Links that an audit judges at least: with fewer, RECALL can't be told from a lost link.
+LINKS = 100
 #: Queries that one task answers at most, about.
 SALT_ROWS = 16384
 #: Vectors of a block of a component.
@@ -178,14 +180,23 @@ class Graph:
 
 def hits(graph: Graph, x: np.ndarray, threshold: float, recall: float, seed: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (row of x, node) of similarity >= threshold by beams that widen until the audit passes; the last beam. Beams
-    wider than WIDEST, or than the shard, are exact scans, which cost less then. own: each row's own node, -1 for none; an
-    audit doesn't count it."""
+    wider than WIDEST, or than the shard, are exact scans, which cost less then. An audit takes AUDITED rows at a time until
+    they have LINKS true links; rows without any in the shard can't pass it for the others. own: each row's own node, -1
+    for none; an audit doesn't count it."""
     x = x.astype(np.float32)
-    audited = np.random.default_rng(seed).permutation(len(x))[:AUDITED]
-    truth = x[audited] @ graph.v.T >= threshold
-    if own is not None:
-        mine = np.flatnonzero(own[audited] >= 0)
-        truth[mine, own[audited][mine]] = False
+    dealt = np.random.default_rng(seed).permutation(len(x))
+    sought: list[np.ndarray] = []  # true links as row * graph.n + node
+    count, links = 0, 0
+    while count < len(x) and links < LINKS:
+        part = dealt[count : count + AUDITED]
+        r, c = np.nonzero(x[part] @ graph.v.T >= threshold)
+        r = part[r]
+        if own is not None:
+            r, c = r[own[r] != c], c[own[r] != c]
+        sought.append(r * graph.n + c)
+        count += len(part)
+        links += len(c)
+    truth = np.concatenate(sought) if sought else np.zeros(0, np.int64)
     rows, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
     beam, todo = BEAM, np.arange(len(x))
     while True:
@@ -199,9 +210,7 @@ def hits(graph: Graph, x: np.ndarray, threshold: float, recall: float, seed: int
         rows, nodes = np.concatenate([rows, todo[r]]), np.concatenate([nodes, ids[r, c]])
         todo = todo[full]
         if not len(todo):
-            found = np.zeros((len(x), graph.n), dtype=bool)
-            found[rows, nodes] = True
-            if found[audited][truth].sum() >= recall * truth.sum():
+            if np.isin(truth, rows * graph.n + nodes).sum() >= recall * len(truth):
                 return rows, nodes, beam
             todo, rows, nodes = np.arange(len(x)), rows[:0], nodes[:0]
         beam *= 2

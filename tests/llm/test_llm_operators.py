@@ -303,6 +303,26 @@ def test_graph_recall():
     assert (found & truth).sum() >= 0.95 * truth.sum()
 
 
+def test_audit_of_rare_links(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = embeddings.Graph(x)
+    queries = rng.normal(size=(512, 32))
+    lone = np.random.default_rng(0).permutation(512)[-3:]  # not among the first that are audited
+    queries[lone] = x[:3]
+    queries /= np.linalg.norm(queries, axis=1)[:, None]
+    search = graph.search
+
+    def lossy(q, beam):
+        ids, sims = search(q, beam)
+        return np.where(sims >= 0.9, -1, ids), np.where(sims >= 0.9, -np.inf, sims)
+
+    monkeypatch.setattr(graph, "search", lossy)
+    rows, nodes, _ = embeddings.hits(graph, queries, 0.9, 0.99, 0)
+    assert sorted(zip(rows.tolist(), graph.order[nodes].tolist())) == sorted((int(q), i) for i, q in enumerate(lone))
+
+
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>Head</h1><p><b>One &amp; two<br>three<p>Four</article><footer>&copy; x</footer></body></html>", "Head\nOne & two three\nFour"),
     (None, ""),
