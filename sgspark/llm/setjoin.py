@@ -11,8 +11,7 @@
    large as a task can hold. Texts of one group meet whatever the group's size, and no pair of texts is ever a row.
 4. A tile makes the exact intersections: shingles that few texts hold by counting, the others by products of 0/1
    matrices. It gives each text the number of its partners (counted with copies) and a spanning forest of the links.
-5. Audit. From the similarities of the links found, the expected share of links that the prefix length finds is
-   estimated (each link stands for 1 / P(found)); below ``recall``, prefixes are shortened by one and 2-4 run again.
+5. The prefix length is fixed by that formula; links that no prefix finds aren't looked for, so recall isn't audited.
 
 Texts of no shingle link with nothing, not even with their copies.
 """
@@ -265,9 +264,9 @@ def tile_links(shingles: np.ndarray, offsets: np.ndarray, left: np.ndarray, righ
     return left[i], right[j], inter[i, j] / both[i, j]
 
 
-def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth: int, trees: int) -> DataFrame:
+def verified(members: DataFrame, shingler: Callable, threshold: Fraction) -> DataFrame:
     """Rows (kind, a, b, w) of the tiles of ``members`` (gid, ti, tj, block, uid, mult, text): kind 0 unit a has w
-    partners, kind 1 units a and b are connected, kind 2 w links a (found) and b (expected) in thousandths."""
+    partners, kind 1 units a and b are connected."""
     names = ["kind", "a", "b", "w"]
 
     def tile(parts: list[pa.RecordBatch], small: bool) -> pa.RecordBatch | None:
@@ -281,10 +280,10 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
         every, offsets = np.concatenate(shingle), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         first, second = parts[0].column(1)[0].as_py(), parts[0].column(2)[0].as_py()
         if small:
-            i, j, sim = small_links(every, offsets, column(0), threshold)
+            i, j, _ = small_links(every, offsets, column(0), threshold)
         else:
             blocks = column(3)
-            i, j, sim = tile_links(every, offsets, np.flatnonzero(blocks == first), np.flatnonzero(blocks == second), threshold)
+            i, j, _ = tile_links(every, offsets, np.flatnonzero(blocks == first), np.flatnonzero(blocks == second), threshold)
         if not len(i):
             return None
         w = np.zeros(len(uid), dtype=np.int64)
@@ -293,13 +292,12 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction, depth:
             np.add.at(w, j, mult[i])
         has = np.flatnonzero(w)
         a, b = forest(uid[i], uid[j])
-        expected = 1 / found_share(sim, depth, trees)
         z = np.zeros(len(has), np.int64)
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([z, np.ones(len(a), np.int64), [2]]).astype(np.int32)),
-            pa.array(np.concatenate([uid[has], a, [len(i) * 1000]])),
-            pa.array(np.concatenate([z, b, [int(expected.sum() * 1000)]])),
-            pa.array(np.concatenate([w[has], np.zeros(len(a), np.int64), [len(i)]])),
+            pa.array(np.concatenate([z, np.ones(len(a), np.int64)]).astype(np.int32)),
+            pa.array(np.concatenate([uid[has], a])),
+            pa.array(np.concatenate([z, b])),
+            pa.array(np.concatenate([w[has], np.zeros(len(a), np.int64)])),
         ], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,26 +348,20 @@ def joined(rows: DataFrame, places: DataFrame, shingler: Callable, threshold: Fr
     smallest order of the text, nulls aside) and class_first (that of the component)."""
     table = units(rows, places, shingler, trees * deepest)
     depth = depth_for(float(threshold), trees, deepest, recall)
-    while True:
-        found = components(candidates(table, trees, deepest, depth))
-        groups = found.select(F.col("node").alias("uid"), F.col("root").alias("gid"))
-        groups = groups.union(groups.select(F.col("gid").alias("uid"), "gid").distinct())
-        mine = written(table.select("uid", "mult", "n").join(groups, "uid"), "members")
-        dropped(found)
-        blocks = mine.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-        # one row a text: copies have other ids; few candidates go to the texts, else both sides are shuffled
-        sought = F.broadcast(mine) if mine.count() <= BROADCAST_ROWS else mine
-        near = rows.select(F.col("id").alias("uid"), "text").join(sought, "uid").join(blocks, "gid")
-        block = F.when(F.col("nb") == 1, 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("nb"))).cast("int")
-        tiles = near.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        tiles = tiles.select("gid", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "uid", "mult", "text")
-        links = written(verified(tiles, shingler, threshold, depth, trees), "links")
-        seen = links.where("kind = 2").agg(F.sum("a"), F.sum("b")).first()
-        dropped(mine)
-        if depth == 1 or not seen[0] or seen[0] / seen[1] >= recall:
-            break
-        dropped(links)
-        depth -= 1
+    found = components(candidates(table, trees, deepest, depth))
+    groups = found.select(F.col("node").alias("uid"), F.col("root").alias("gid"))
+    groups = groups.union(groups.select(F.col("gid").alias("uid"), "gid").distinct())
+    mine = written(table.select("uid", "mult", "n").join(groups, "uid"), "members")
+    dropped(found)
+    blocks = mine.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    # one row a text: copies have other ids; few candidates go to the texts, else both sides are shuffled
+    sought = F.broadcast(mine) if mine.count() <= BROADCAST_ROWS else mine
+    near = rows.select(F.col("id").alias("uid"), "text").join(sought, "uid").join(blocks, "gid")
+    block = F.when(F.col("nb") == 1, 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("nb"))).cast("int")
+    tiles = near.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    tiles = tiles.select("gid", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "uid", "mult", "text")
+    links = written(verified(tiles, shingler, threshold), "links")
+    dropped(mine)
     roots = components(links.where("kind = 1").select("a", "b"))
     counts = links.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("w"))
     done = table.drop("sig").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(counts, "uid", "left")
