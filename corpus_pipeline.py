@@ -40,8 +40,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-length token sequences in training order."""
-    return tokens.materialised(docs)
+    """Fixed-length token sequences in training order, read from the shards."""
+    return tokens.stored(docs)
 
 
 STAGES = [

@@ -105,8 +105,8 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus as sequences in training order."""
-    return tokens.materialised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The whole corpus as sequences in training order, read from the shards."""
+    return tokens.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ input's partitions hold them, and the stream is cut into sequences of ``length``
 the slot feistel(k): a keyed permutation of [0, n) for any n, by a Feistel network on the next even number of bits, walked
 until the value is below n. Slots are dense, so a shard is ``per_shard`` slots in a row, and every slot's place follows
 by division: shard slot // per_shard, row slot % per_shard, length * 2 (or 4) bytes. A reader resumes at any slot.
+Shards are raw files (the last one ends with the last slot) in a folder that all executors have mounted.
 
 Tokens are written once to the shared folder, which fixes that order. Offsets are prefix sums in two levels: within a
 task while it tokenises, then over the tasks' totals. Pieces of documents then go straight to the range of their slot: one
@@ -17,6 +18,9 @@ vocabulary file is read by the driver and broadcast (its size is checked).
 from __future__ import annotations
 
 import base64
+import os
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.llm import textcore as tc
-from sgspark.llm.runtime import map_arrow, written
+from sgspark.llm.runtime import _tables, map_arrow, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's byte-level BPE cuts texts.
@@ -168,13 +172,99 @@ def materialised(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH,
 
 
 def write_shards(sequences: DataFrame, path: str) -> None:
-    """One file a shard, rows in the order of their slots, each of the same number of bytes."""
-    sequences.write.option("parquet.enable.dictionary", "false").partitionBy("shard").parquet(path)
+    """One raw little-endian file a shard in ``path``/shards, tokens in the order of their slots and nothing else, so that
+    slot s is at byte (s % per_shard) * stride of shard s // per_shard; the last shard ends with the last slot. The other
+    columns and the stride go to a table, ``path``/index. A shard is written under a name of its own and renamed, so a
+    repeated task replaces it. sequences: as materialised() deals them; ``path`` is mounted by all executors."""
+    folder = _local(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(f"{folder}/shards", exist_ok=True)
+        shard, temporary, out = None, "", None
+
+        def close() -> None:
+            out.close()
+            os.replace(temporary, _shard(folder, shard))
+
+        try:
+            for batch in batches:
+                at = 0
+                shards = batch.column(1).to_numpy()
+                while at < len(shards):
+                    if shards[at] != shard:
+                        if out is not None:
+                            close()
+                        shard = int(shards[at])
+                        temporary = f"{folder}/shards/.{shard}-{uuid.uuid4().hex}"
+                        out = open(temporary, "wb")  # noqa: SIM115
+                    end = at + int(np.searchsorted(shards[at:], shard, side="right"))
+                    for body in batch.column(6).slice(at, end - at):
+                        out.write(body.as_buffer())
+                    at = end
+                stride = pa.array([len(x.as_buffer()) for x in batch.column(6)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), stride], ["slot", "shard", "row", "sequence", "doc_ids", "starts", "stride"])
+            if out is not None:
+                close()
+                out = None
+        finally:
+            if out is not None and not out.closed:
+                out.close()
+                os.unlink(temporary)
+
+    rows = map_arrow(sequences.select("slot", "shard", "row", "sequence", "doc_ids", "starts", "tokens"), run, "slot long, shard int, row int, sequence long, doc_ids array<long>, starts array<int>, stride int")
+    rows.write.parquet(f"{path}/index")
+
+
+def _local(path: str) -> str:
+    """The folder as executors open it; raw files need a mounted one."""
+    folder = re.sub("^file:(//(?=/))?", "", path)
+    if not folder.startswith("/"):
+        raise ValueError(f"{path} isn't a mounted folder, which raw shards need")
+    return folder
+
+
+def _shard(folder: str, shard: int) -> str:
+    return f"{folder}/shards/{shard:06d}.bin"
+
+
+def _with_tokens(index: DataFrame, path: str) -> DataFrame:
+    """Rows of the index with the tokens of their slots, read from the shards."""
+    folder = _local(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards, rows, strides = (batch.column(k).to_pylist() for k in (1, 2, 6))
+            bodies: list[bytes] = []
+            opened, file = None, None
+            try:
+                for shard, row, stride in zip(shards, rows, strides, strict=True):
+                    if shard != opened:
+                        if file is not None:
+                            file.close()
+                        opened, file = shard, open(_shard(folder, shard), "rb")  # noqa: SIM115
+                    file.seek(row * stride)
+                    bodies.append(file.read(stride))
+                    if len(bodies[-1]) != stride:
+                        raise OSError(f"{_shard(folder, shard)} is shorter than its index")
+            finally:
+                if file is not None:
+                    file.close()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(bodies, pa.binary())], ["slot", "shard", "row", "sequence", "doc_ids", "starts", "tokens"])
+
+    return map_arrow(index, run, "slot long, shard int, row int, sequence long, doc_ids array<long>, starts array<int>, tokens binary")
+
+
+def stored(docs: DataFrame, **options) -> DataFrame:
+    """materialised(docs), written as shards to the shared folder and read from them."""
+    spark = docs.sparkSession
+    path = f"{_tables(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(materialised(docs, **options), path)
+    return _with_tokens(spark.read.parquet(f"{path}/index"), path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SHARD, until: int | None = None) -> DataFrame:
-    """Sequences from ``slot`` on (below ``until``), in order; earlier shards aren't opened, earlier row groups are skipped."""
-    rows = spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot))
+    """Sequences from ``slot`` on (below ``until``), in order; earlier shards aren't opened, other slots are skipped."""
+    rows = spark.read.parquet(f"{path}/index").where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot))
     if until is not None:
         rows = rows.where((F.col("shard") <= (until - 1) // per_shard) & (F.col("slot") < until))
-    return rows.orderBy("slot")
+    return _with_tokens(rows, path).orderBy("slot")

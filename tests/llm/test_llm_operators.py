@@ -258,6 +258,16 @@ def test_tokens_round_trip(spark, corpus, tmp_path):
     assert list(later["slot"]) == list(range(15, min(23, n)))
 
 
+def test_shards_are_raw_files_of_a_fixed_stride(spark, corpus, tmp_path):
+    docs = frame(spark, corpus)
+    tokens.write_shards(tokens.materialised(docs, length=64, per_shard=10), str(tmp_path / "out"))
+    want = tokens.stored(docs, length=64, per_shard=10).toPandas().sort_values("slot")
+    files = sorted((tmp_path / "out" / "shards").iterdir())
+    assert [f.name for f in files] == [f"{i:06d}.bin" for i in range(-(-len(want) // 10))]
+    assert {f.stat().st_size for f in files[:-1]} == {10 * 128}
+    assert b"".join(f.read_bytes() for f in files) == b"".join(want["tokens"])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     assert sorted(tokens.feistel(np.arange(n), n)) == list(range(n))
