@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,9 +21,12 @@ def builder(name: str = "sgspark") -> SparkSession.Builder:
 
 
 def checkpointed(spark: SparkSession) -> str:
-    """The shared folder (spark.checkpoint.dir) for checkpoint(); one of our own only where none is set."""
+    """The shared folder (spark.checkpoint.dir) for checkpoint(). Where none is set, a local master gets one of our own; a
+    cluster has to name one, as its machines share no temporary folder."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = at or tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at
