@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local master gets one of our
+    own; a cluster has to name one, as its machines share no temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -128,16 +132,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LOCAL_EDGES = 2_000_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def contracted(make):
+    """``make(batches)``, which yields arrays (a, b) of edges, as a function for map_arrow whose rows are a forest of them:
+    making and contracting share one worker."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _contract(pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema) for a, b in make(batches))
+
+    return run
+
+
+def components(edges: DataFrame, contract: bool = True) -> DataFrame:
     """Connected components of the long pairs (a, b) as rows (node, root), root being the smallest node; roots and lone nodes have no row.
 
     Edges are contracted to forests inside the partitions, then in rounds of large-star and small-star: a star is a join
     with the per-node minimum, which is a partial aggregate, so no task ever holds a neighbour list. Once at most
     LOCAL_EDGES are left, one task finishes them; with more, rounds go on until nothing changes. Every round is written to
-    the shared folder. Nulls and self-loops are ignored; no edges give no rows.
+    the shared folder. Nulls and self-loops are ignored; no edges give no rows. contract=False: the edges come from
+    contracted() and are free of both.
     """
-    edges = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    edges = written(map_arrow(edges, _contract, "a long, b long"), "edges")
+    if contract:
+        edges = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
+        edges = map_arrow(edges, _contract, "a long, b long")
+    edges = written(edges, "edges")
     before = None
     while True:
         state = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("b")).first())
@@ -164,6 +182,22 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows (some 30 bytes each) up to which a table that has been counted is broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Salts of a key in looked_up() beyond that.
+SALTS = 32
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, salted_by: str) -> DataFrame:
+    """rows left joined with facts (thin, at most one row a key), however many rows share a key: facts are broadcast if they
+    are few by count, else each key is split by a hash of ``salted_by`` over SALTS copies of its fact."""
+    if facts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), key, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salted_by), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 class Guarded:
     """A table whose columns go by names of their own (c0_, c1_, ...), so that no column that an operator adds can clash
     with them; of repeated names the first one counts. restored() gives the rows their names back."""

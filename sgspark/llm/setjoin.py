@@ -3,21 +3,26 @@
 1. Equal texts are one unit, with their number, the smallest id and the smallest ``order`` among them; a unit has a
    signature of trees x deepest minima. Only hashes of texts are grouped; texts themselves are fetched by id, later and
    for candidates only.
-2. Forest. Each tree is the sorted list of its part of the signatures. Texts that share a prefix become candidates; the
-   prefix is the longest for which a pair at the threshold is found with probability ``recall``:
-   1 - (1 - t**depth)**trees. Within a map task, texts of a prefix are chained and only one of them is sent on, so a
-   prefix that a third of all texts share is one row a task.
+2. Forest. Each tree is the sorted list of its part of the signatures. Texts that share a prefix become candidates. The
+   matched prefix starts at its full length and is shortened as long as a pair at the threshold would be found with
+   probability 1 - (1 - t**depth)**trees < ``recall``, and, with ``audit``, as long as the recall that an audit measures
+   is below it: while signatures are made, AUDITED texts (the smallest keys) meet every text exactly, and
+   each true link is counted under the longest prefix that its two texts share in any tree. Within a map task, texts of a
+   prefix are chained and only one of them is sent on, so a prefix that a third of all texts share is one row a task.
 3. Candidates that hang together make a group; a group is dealt out in blocks, and every two blocks meet in one tile, as
-   large as a task can hold. Texts of one group meet whatever the group's size, and no pair of texts is ever a row.
-4. A tile makes the exact intersections: shingles that few texts hold by counting, the others by products of 0/1
-   matrices. It gives each text the number of its partners (counted with copies) and a spanning forest of the links.
-5. The prefix length is fixed by that formula; links that no prefix finds aren't looked for, so recall isn't audited.
+   large as a task can hold. Texts of one group meet whatever the group's size, and no pair of texts is ever a row. Which
+   block a text is in is worked out on thin rows; texts go straight to their tiles.
+4. A tile makes the intersections: shingles that few texts hold by counting, the others by products of 0/1
+   matrices. Shingles are compared by 64-bit hashes, of which a tile uses all but the bits that number its texts (11 at
+   most), so two of a million different shingles of a tile are taken for one with probability 1e-4 or less. It gives each text the number of its
+   partners (counted with copies) and a spanning forest of the links.
 
 Texts of no shingle link with nothing, not even with their copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -27,16 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sgspark.llm import textcore as tc
-from sgspark.llm.runtime import appended, components, dropped, forest, map_arrow, partitions, written
+from sgspark.llm import runtime
+from sgspark.llm.runtime import appended, components, contracted, dropped, forest, looked_up, map_arrow, partitions, written
 
 #: A block of a group holds about so many texts or shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 250_000
 #: Shingles of at most so many texts of a tile are counted pair by pair; columns of a matrix product.
-RARE, COLUMNS = 8, 4096
+RARE, COLUMNS = 8, 2048
 #: Groups of at most so many texts are compared together, as many groups as make so many bytes.
 SMALL, SMALL_BYTES = 8, 500_000
-#: Candidates (some 30 bytes each) up to which they are broadcast to the texts.
-BROADCAST_ROWS = 1_000_000
+#: Texts that an audit compares with all others: the smallest keys among those of at most so many shingles.
+AUDITED, AUDIT_SHINGLES = 256, 8192
 
 
 def word_shingles(n: int) -> Callable:
@@ -109,27 +115,105 @@ def found_share(similarity: np.ndarray, depth: int, trees: int) -> np.ndarray:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold is found with probability ``recall``."""
-    return max([d for d in range(1, deepest + 1) if found_share(np.float64(threshold), d, trees) >= recall], default=1)
+def depth_for(threshold: float, trees: int, deepest: int, recall: float, met: np.ndarray) -> int:
+    """The longest prefix at which a pair at the threshold is found with probability ``recall``, and with which the audit
+    finds that share of its links; met: how many of them share no longer prefix than 0, 1, ... in any tree."""
+    depth = deepest
+    while depth > 1 and (found_share(np.float64(threshold), depth, trees) < recall or met[depth:].sum() < recall * met.sum()):
+        depth -= 1
+    return depth
+
+
+class Audit:
+    """A few texts by their shingles, to be compared exactly with every text of the join."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], trees: int, deepest: int):
+        """rows: digest, shingles and signature of each text."""
+        self.trees, self.deepest = trees, deepest
+        self.names = [r[0] for r in rows]
+        sets = [np.unique(np.frombuffer(r[1], np.uint64)) for r in rows]
+        self.size = np.array([len(x) for x in sets], dtype=np.int64)
+        self.sig = np.array([np.frombuffer(r[2], np.uint32) for r in rows], dtype=np.uint32).reshape(len(rows), trees, deepest)
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(every, kind="stable")
+        self.of = np.repeat(np.arange(len(rows)), self.size)[order]
+        self.known, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[self.known >> np.uint64(44)] = True
+
+    def met(self, s: tc.Slice, shingles: np.ndarray, offsets: np.ndarray, sig: np.ndarray, threshold: Fraction) -> list[list[int] | None]:
+        """For each text of a slice how many of its links with audited texts share at most 0, 1, ... minima in any tree."""
+        out: list[list[int] | None] = [None] * len(s)
+        at = np.flatnonzero(self.bits[shingles >> np.uint64(44)])
+        place = np.searchsorted(self.known, shingles[at]) if len(self.known) else at[:0]
+        same = self.known[np.minimum(place, len(self.known) - 1)] == shingles[at] if len(place) else np.zeros(0, bool)
+        text = np.searchsorted(offsets, at[: len(place)][same], side="right") - 1
+        code = np.unique(text * max(1, len(self.known)) + place[same])
+        text, place = code // max(1, len(self.known)), code % max(1, len(self.known))
+        group, rank = tc.spread(self.count[place])
+        pair, inter = np.unique(text[group] * max(1, len(self.size)) + self.of[self.first[place][group] + rank], return_counts=True)
+        text, audited = pair // max(1, len(self.size)), pair % max(1, len(self.size))
+        able = inter * threshold.denominator >= self.size[audited] * threshold.numerator
+        sizes: dict[int, int] = {}
+        for t, a, both in zip(text[able].tolist(), audited[able].tolist(), inter[able].tolist(), strict=True):
+            if t not in sizes:
+                sizes[t] = len(np.unique(shingles[offsets[t] : offsets[t + 1]]))
+            union = int(self.size[a]) + sizes[t] - both
+            if both * threshold.denominator < union * threshold.numerator or (both == union and _digest(s, t) == self.names[a]):
+                continue
+            prefix = np.cumprod(sig[t].reshape(self.trees, self.deepest) == self.sig[a], axis=1).sum(axis=1).max()
+            out[t] = out[t] or [0] * (self.deepest + 1)
+            out[t][int(prefix)] += 1
+        return out
+
+
+def _digest(s: tc.Slice, i: int) -> bytes:
+    return hashlib.blake2b(s.data[s.offsets[i] : s.offsets[i + 1]].tobytes(), digest_size=16).digest()
+
+
+def sample(rows: DataFrame, places: DataFrame, shingler: Callable, trees: int, deepest: int) -> Audit:
+    """The texts to audit. Longer ones than AUDIT_SHINGLES aren't sampled (they are audited as partners)."""
+    few = places.groupBy("key").agg(F.min("id").alias("id")).orderBy("key").limit(AUDITED).select("id")
+
+    def make(s: tc.Slice):
+        h, offsets = shingler(s)
+        sig = signatures(h, offsets, trees * deepest)
+        some = [0 < offsets[i + 1] - offsets[i] <= AUDIT_SHINGLES for i in range(len(s))]
+        return [
+            [_digest(s, i) if ok else None for i, ok in enumerate(some)],
+            [h[offsets[i] : offsets[i + 1]].tobytes() if ok else None for i, ok in enumerate(some)],
+            [sig[i].tobytes() if ok else None for i, ok in enumerate(some)],
+        ]
 
+    got = appended(rows.join(F.broadcast(few), "id").select("text"), "text", make, "name binary, shingles binary, sig binary").where("name is not null").select("name", "shingles", "sig")
+    return Audit([(bytes(r[0]), bytes(r[1]), bytes(r[2])) for r in got.collect()], trees, deepest)
 
-def units(rows: DataFrame, places: DataFrame, shingler: Callable, k: int) -> DataFrame:
-    """Written table of the distinct texts: uid (the smallest id of a row of the text), key, mult, first, n, sig."""
+
+def units(rows: DataFrame, places: DataFrame, shingler: Callable, trees: int, deepest: int, threshold: Fraction, audit: Audit | None = None) -> DataFrame:
+    """Written table of the distinct texts: uid (the smallest id of a row of the text), key, mult, first, n, sig, met."""
+    shared = rows.sparkSession.sparkContext.broadcast(audit) if audit else None
+    k = trees * deepest
 
     def make(s: tc.Slice):
         h, offsets = shingler(s)
         sig = signatures(h, offsets, k)
         flat = sig.tobytes()
-        return [np.diff(offsets), [flat[i * 4 * k : (i + 1) * 4 * k] for i in range(len(s))]]
+        met = shared.value.met(s, h, offsets, sig, threshold) if shared else [None] * len(s)
+        return [np.diff(offsets), [flat[i * 4 * k : (i + 1) * 4 * k] for i in range(len(s))], met]
 
-    signed = appended(rows.select("id", "text"), "text", make, "n long, sig binary").select(F.col("id").alias("uid"), "n", "sig")
+    signed = appended(rows.select("id", "text"), "text", make, "n long, sig binary, met array<int>").select(F.col("id").alias("uid"), "n", "sig", "met")
     texts = places.groupBy("key").agg(F.count("*").alias("mult"), F.min("order").alias("first"), F.min("id").alias("uid"))
     return written(texts.join(signed, "uid"), "units")
 
 
+def audited(table: DataFrame, deepest: int) -> np.ndarray:
+    """Links of the audited texts by the longest prefix that they share in any tree, over all units."""
+    sums = table.where("met is not null").agg(*[F.sum(F.col("met")[i].cast("long")) for i in range(deepest + 1)]).first()
+    return np.array([x or 0 for x in sums], dtype=np.int64)
+
+
 def candidates(table: DataFrame, trees: int, deepest: int, depth: int) -> DataFrame:
-    """Edges (a, b) that connect all units sharing a prefix of ``depth`` in any tree."""
+    """A forest of edges (a, b) that connects all units sharing a prefix of ``depth`` in any tree."""
     seeds = tc.keys(41, trees)
 
     def prefixes(sigs: pa.Array) -> np.ndarray:
@@ -149,7 +233,6 @@ def candidates(table: DataFrame, trees: int, deepest: int, depth: int) -> DataFr
 
     parts = partitions(table.sparkSession)
     bits = max(6, (4 * parts - 1).bit_length())
-    edges_of = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the units at hand, edges inside prefixes (bucket -1), and a packed row (prefix, first unit) a bucket."""
@@ -167,34 +250,32 @@ def candidates(table: DataFrame, trees: int, deepest: int, depth: int) -> DataFr
                 bodies.append(np.column_stack(forest(a, b)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held: list[np.ndarray] = []
         now = -1
 
-        def close() -> pa.RecordBatch | None:
+        def close() -> tuple[np.ndarray, np.ndarray]:
             both = np.concatenate(held)
-            a, b, _, _ = chained(both[:, 0], both[:, 1].astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=edges_of) if len(a) else None
+            return chained(both[:, 0], both[:, 1].astype(np.int64))[:2]
 
         for batch in batches:
             for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket == -1:
                     edges = np.frombuffer(body.as_buffer(), dtype=np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=edges_of)
+                    yield edges[:, 0], edges[:, 1]
                     continue
                 if bucket != now and held:
-                    if (made := close()) is not None:
-                        yield made
+                    yield close()
                     held = []
                 now = bucket
                 held.append(np.frombuffer(body.as_buffer(), dtype=np.uint64).reshape(-1, 2))
-        if held and (made := close()) is not None:
-            yield made
+        if held:
+            yield close()
 
     rows = map_arrow(table.where("n > 0").select("uid", "sig"), local, "bucket int, body binary")
     spot = F.when(F.col("bucket") < 0, F.xxhash64("body")).otherwise(F.col("bucket"))  # edges go anywhere
     dealt = rows.withColumn("spot", spot).repartition(parts, "spot").select("bucket", "body").sortWithinPartitions("bucket")
-    return map_arrow(dealt, across, "a long, b long")
+    return map_arrow(dealt, contracted(across), "a long, b long")
 
 
 def _held(shingles: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -341,33 +422,36 @@ def verified(members: DataFrame, shingler: Callable, threshold: Fraction) -> Dat
     return map_arrow(dealt, run, "kind int, a long, b long, w long")
 
 
-def joined(rows: DataFrame, places: DataFrame, shingler: Callable, threshold: Fraction = Fraction(4, 5), trees: int = 24, deepest: int = 6, recall: float = 0.999) -> DataFrame:
+def joined(rows: DataFrame, places: DataFrame, shingler: Callable, threshold: Fraction = Fraction(4, 5), trees: int = 24, deepest: int = 6, recall: float = 0.999, audit: bool = True) -> DataFrame:
     """The self-join of rows (id, text), of which places (id, key, order) is a written table: ids are unique and the same
-    from read to read, rows of equal key have equal text. A table of the distinct texts: key, mult, n, n_links (partners of
+    from read to read, rows of equal key have equal text. audit=False: prefixes of ``deepest``, shortened by the formula
+    alone. A table of the distinct texts: key, mult, n, n_links (partners of
     one such row, copies included), uid (its smallest id), root (the smallest uid of its connected component), first (the
     smallest order of the text, nulls aside) and class_first (that of the component)."""
-    table = units(rows, places, shingler, trees * deepest)
-    depth = depth_for(float(threshold), trees, deepest, recall)
-    found = components(candidates(table, trees, deepest, depth))
+    table = units(rows, places, shingler, trees, deepest, threshold, sample(rows, places, shingler, trees, deepest) if audit else None)
+    depth = depth_for(float(threshold), trees, deepest, recall, audited(table, deepest) if audit else np.zeros(deepest + 1))
+    found = components(candidates(table, trees, deepest, depth), contract=False)
     groups = found.select(F.col("node").alias("uid"), F.col("root").alias("gid"))
     groups = groups.union(groups.select(F.col("gid").alias("uid"), "gid").distinct())
     mine = written(table.select("uid", "mult", "n").join(groups, "uid"), "members")
     dropped(found)
-    blocks = mine.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    # one row a text: copies have other ids; few candidates go to the texts, else both sides are shuffled
-    sought = F.broadcast(mine) if mine.count() <= BROADCAST_ROWS else mine
-    near = rows.select(F.col("id").alias("uid"), "text").join(sought, "uid").join(blocks, "gid")
+    large = mine.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")).where("nb > 1")
+    placed = looked_up(mine, large, "gid", "uid").withColumn("nb", F.coalesce("nb", F.lit(1)))
     block = F.when(F.col("nb") == 1, 0).otherwise(F.pmod(F.xxhash64("uid"), F.col("nb"))).cast("int")
-    tiles = near.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = placed.select("uid", "gid", "mult", "nb", block.alias("block"))
+    # one row a text: copies have other ids; few candidates go to the texts, else both sides are shuffled
+    sought = F.broadcast(placed) if mine.count() <= runtime.BROADCAST_ROWS else placed
+    tiles = rows.select(F.col("id").alias("uid"), "text").join(sought, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tiles = tiles.select("gid", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "uid", "mult", "text")
     links = written(verified(tiles, shingler, threshold), "links")
     dropped(mine)
     roots = components(links.where("kind = 1").select("a", "b"))
     counts = links.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("w"))
-    done = table.drop("sig").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(counts, "uid", "left")
+    done = table.drop("sig", "met").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(counts, "uid", "left")
     done = done.withColumn("root", F.coalesce("root", "uid"))
-    least = done.groupBy("root").agg(F.min("first").alias("class_first"))
-    done = done.join(least, "root")
+    # classes of one text are their own
+    least = done.groupBy("root").agg(F.count("*").alias("_k"), F.min("first").alias("_least")).where("_k > 1").drop("_k")
+    done = looked_up(done, least.withColumn("_met", F.lit(True)), "root", "uid").withColumn("class_first", F.when(F.col("_met"), F.col("_least")).otherwise(F.col("first")))
     links_of = F.when(F.col("n") > 0, F.col("mult") - 1 + F.coalesce("w", F.lit(0))).otherwise(0)
     out = written(done.select("key", "mult", "n", links_of.cast("long").alias("n_links"), "uid", "root", "first", "class_first"), "classes")
     for x in (table, links, roots):

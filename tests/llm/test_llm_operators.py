@@ -392,3 +392,56 @@ def test_pipeline(spark, sf_dir):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert {i for x in sequences["doc_ids"] for i in x} == ids
     assert corpus_pipeline.run(spark, sf_dir).count() == len(sequences)
+
+
+def test_an_audit_shortens_the_prefix(spark, monkeypatch):
+    """With two trees of eight minima and no formula, whole prefixes miss links of 0.8; the audit says so."""
+    from fractions import Fraction
+
+    from sgspark.llm import setjoin
+
+    monkeypatch.setattr(setjoin, "found_share", lambda *a: 1.0)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        base = [f"v{i}x{j}" for j in range(84)]
+        for c in range(2):
+            w = list(base)
+            w[int(rng.integers(20, 60))] = f"changed{c}"
+            rows.append((2 * i + c, " ".join(w)))
+    docs = frame(spark, rows)
+    near = written(docs.selectExpr("monotonically_increasing_id() id", "unhex(md5(text)) key", "doc_id `order`", "text"), "near")
+    make, share = setjoin.word_shingles(5), Fraction(4, 5)
+    table = setjoin.units(near, near, make, 2, 8, share, setjoin.sample(near, near, make, 2, 8))
+    met = setjoin.audited(table, 8)
+    assert met.sum() == 2 * sum(k for _, _, k in near_truth(rows)) / 2 and met[8] < met.sum()
+    depth = setjoin.depth_for(0.8, 2, 8, 0.999, met)
+    assert depth < 8 and met[depth:].sum() >= 0.999 * met.sum()
+    got = setjoin.joined(near.select("id", "text"), near, make, share, 2, 8, 0.999)
+    assert got.agg({"n_links": "sum"}).first()[0] == sum(k for _, _, k in near_truth(rows))
+    assert setjoin.joined(near.select("id", "text"), near, make, share, 2, 8, 0.999, audit=False).agg({"n_links": "sum"}).first()[0] < met.sum()
+
+
+def test_hot_keys_without_a_broadcast(spark, monkeypatch):
+    from sgspark.llm import runtime, setjoin
+
+    monkeypatch.setattr(setjoin, "BLOCK_TEXTS", 16)
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(40)] + [(90, "alone here"), (91, base[0])]
+    got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in near_documents.classes(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(near_truth(rows))
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sgspark.llm.runtime import shared_dir
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda at: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None, set=lambda k, v: None), sparkContext=context)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("local[4]"))
