@@ -357,6 +357,61 @@ def test_html_without_containers():
     assert html_extract.main_text(page) == f"Title\n{long_one.strip()}\n{long_two.strip()}"
 
 
+KEPT = [
+    ('<div class="social-science"><article><p>Body text.</p></article></div>', "Body text."),
+    ('<div class="social"><article><h1>T</h1><p>Body text.</p></article></div>', "T\nBody text."),
+    ('<div class="header-image content"><p>Body text.</p></div>', "Body text."),
+    ('<article><p>One.</p><section class="tags-explained"><p>Two.</p></section></article>', "One.\nTwo."),
+    ('<article><p>An <span class="alert">important</span> word.</p></article>', "An important word."),
+    ('<article><p>One.</p><p><a href="x">only a link</a></p><p>Two.</p></article>', "One.\nonly a link\nTwo."),
+    ("<article><p>Let <math><mi>x</mi></math> be.</p></article>", "Let x be."),
+    (f"<h2>T</h2><p>{'long text ' * 20}</p><ul><li><a>a</a></li><li><a>b</a></li><li><a>c</a></li></ul><p>The closing words.</p>", f"T\n{('long text ' * 20).strip()}\nThe closing words."),
+    ('<form id="aspnetForm"><div><h1>T</h1><p>The whole page stands in a form.</p></div></form>', "T\nThe whole page stands in a form."),
+    ('<article><p>One.</p><form><p>a</p><p>b</p><p>c</p></form><p>2.</p></article>', "One.\n2."),
+    ('<article>Short.</article><section class="comments"><article class="comment"><p>' + "first! " * 60 + "</p></article></section>", "Short."),
+    ('<div class="site-footer"><p>Imprint and more of it</p></div>' + "<p>text of the page</p>" * 5, "\n".join(["text of the page"] * 5)),
+    ("<article>a</article><div>An unmarked line beside the article</div>", "a"),
+]
+
+
+@pytest.mark.parametrize("page,text", KEPT)
+def test_html_evidence_is_no_veto(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_surges_and_dives_against_brute_force():
+    """A line stays if it weighs something and some window that surges is joined to it by windows that don't dive."""
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 25))
+        weight = rng.choice([0, 0, 0, 5, 30, 90], n).astype(float)
+        sums = [weight[i : i + html_extract.WINDOW].sum() for i in range(n)]
+        keep = set()
+        for i in range(n):
+            if weight[i] >= 1 and any(sums[j] >= html_extract.SURGE and all(sums[k] >= 1 for k in range(min(i, j), max(i, j) + 1)) for j in range(n)):
+                keep.add(i)
+        got = {i for a, b in html_extract.stretches(weight.tolist(), [False] * n) for i in range(a, b) if weight[i] >= 1}
+        if max(sums) >= html_extract.SURGE:
+            assert got == keep
+        else:
+            assert bool(got) == bool(weight.any())
+
+
+def test_the_step_decides_where_nothing_is_marked(sf_dir):
+    """Pages without any tag, role or class of evidence: menus of links dive, articles stay whole."""
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet")["html"].dropna()
+    decided = 0
+    for page in pages:
+        bare = re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer|main)\b[^>]*>", r"<\1div>", page))
+        text = html_extract.main_text(bare)
+        menu = set(re.findall(r"<li><a[^>]*>([^<]*)</a></li>", bare))
+        assert html_extract.main_text(page) in text and not menu & set(text.split("\n"))
+        decided += text != "\n".join(x.text for x in html_extract.parsed(bare).lines)
+    assert decided == len(pages)
+
+
 @pytest.mark.parametrize("name,column,least", [("op1_toxicity", "toxic", 0.85), ("op8_quality", "quality", 0.9)])
 def test_classifiers_on_held_out_rows(name, column, least, spark):
     sf_dir = "/root/testdata/sf0.1"
