@@ -38,11 +38,11 @@ def cleanup(spark: SparkSession) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

@@ -9,9 +9,13 @@ Shards are raw files (the last one ends with the last slot) in a folder that all
 
 Tokens are written once to the shared folder, which fixes that order. Offsets are prefix sums in two levels: within a
 task while it tokenises, then over the tasks' totals. Pieces of documents then go straight to the range of their slot: one
-shuffle of the token bytes, into equal shards whatever the sizes of documents or sources. The driver holds two numbers.
+shuffle of the token bytes, into equal shards whatever the sizes of documents or sources. A task packs the pieces of some
+megabytes of tokens by their ranges and compresses each pack; a range is PART slots, which is what the writer of a shard
+holds at a time. The driver holds two numbers. A shard is one partition: choose ``per_shard`` so that there are not too
+many of them.
 
-Null texts and texts without tokens are in no sequence. Repeated rows are in the stream as often as they occur. The
+Null texts and texts without tokens are in no sequence. Repeated rows are in the stream as often as they occur, and no
+rows give no sequence. A null id is a null in doc_ids. The
 vocabulary file is read by the driver and broadcast (its size is checked).
 """
 
@@ -37,8 +41,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY_MB = 64
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 16384, 20240607, 8
-#: Texts that a task tokenises at once.
-BATCH = 256
+#: Texts that a task tokenises at once; slots that a writer holds; bytes of tokens that are packed together.
+BATCH, PART, PACK_BYTES = 256, 16384, 16 << 20
+_CODEC = "zstd"
 
 _encoders: dict[int, object] = {}
 
@@ -104,11 +109,27 @@ def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, task int, local long, tokens binary, n long")
 
 
-def materialised(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """The corpus in training order, a row a sequence: slot, shard, row, sequence, doc_ids and the tokens (starts) at which
-    each one's piece begins, and tokens, always ``length`` ids. Partition p holds shard p, sorted by slot."""
+def _packed(slot: np.ndarray, seq: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, known: np.ndarray, tokens: np.ndarray) -> bytes:
+    """Pieces of sequences as one compressed body."""
+    raw = b"".join([np.array([len(slot)], "<i8").tobytes(), slot.astype("<i8").tobytes(), seq.astype("<i8").tobytes(), doc.astype("<i8").tobytes(), start.astype("<i4").tobytes(), size.astype("<i4").tobytes(), known.astype("u1").tobytes(), tokens.tobytes()])
+    return len(raw).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=3).compress(raw, asbytes=True)
+
+
+def _unpacked(body: bytes, kind: np.dtype) -> tuple[np.ndarray, ...]:
+    raw = pa.Codec(_CODEC).decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)
+    n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for name, count in (("<i8", n), ("<i8", n), ("<i8", n), ("<i4", n), ("<i4", n), ("u1", n), (kind, -1)):
+        out.append(np.frombuffer(raw, name, count, at))
+        at += out[-1].nbytes
+    slot, seq, doc, start, size, known, tokens = out
+    return slot, seq, start, size, doc, known.astype(bool), tokens
+
+
+def _dealt(docs: DataFrame, path: str, length: int, per_shard: int, key: int) -> tuple[DataFrame, int, np.dtype, int]:
+    """Packs (shard, part, body) of pieces, partition p holding shard p in the order of its parts; the number of sequences,
+    the kind of ids, and the end mark."""
     spark = docs.sparkSession
-    rows = written(tokenised(docs, path), "tokens")
+    rows = written(tokenised(docs, path), "tokens", compression="zstd")
     _, end = encoder(vocabulary(path))
     kind = np.dtype("<u2" if end < 1 << 16 else "<u4")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -118,101 +139,134 @@ def materialised(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH,
     # one row a task that has written tokens, as many as the input has partitions
     starts = rows.groupBy("task").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("m")
     rows = rows.join(F.broadcast(starts), "task").select("doc_id", (F.col("before") + F.col("local")).alias("at"), "tokens", "n")
-    size = kind.itemsize
+
+    def packs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        at, m = (np.concatenate([x.column(i).to_numpy() for x in parts]) for i in (1, 3))
+        known = np.concatenate([x.column(0).is_valid().to_numpy(zero_copy_only=False) for x in parts])
+        ids = np.concatenate([x.column(0).fill_null(0).to_numpy() for x in parts])
+        flat = np.concatenate([s.data for x in parts for s in tc.slices(x.column(2), 1 << 62)]).view(kind)
+        base = np.cumsum(m) - m
+        first = at // length
+        doc, rank = tc.spread((at + m - 1) // length - first + 1)
+        seq = first[doc] + rank
+        a = np.maximum(seq * length, at[doc])
+        size = np.minimum((seq + 1) * length, (at + m)[doc]) - a
+        source = base[doc] + a - at[doc]
+        slot = feistel(seq, n, key)
+        shard, part = slot // per_shard, slot % per_shard // PART
+        order = np.lexsort([part, shard])
+        shard, part = shard[order], part[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])]))
+        bodies = []
+        for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            o = order[x:y]
+            group, rank = tc.spread(size[o])
+            bodies.append(_packed(slot[o], seq[o], a[o] - seq[o] * length, size[o], ids[doc[o]], known[doc[o]], flat[source[o][group] + rank]))
+        return pa.RecordBatch.from_arrays([pa.array(shard[cuts], pa.int32()), pa.array(part[cuts], pa.int32()), pa.array(bodies, pa.binary())], ["shard", "part", "body"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                part = batch.slice(k, BATCH)
-                at, m = part.column(1).to_numpy(), part.column(3).to_numpy()
-                first = at // length
-                doc, rank = tc.spread((at + m - 1) // length - first + 1)
-                seq = first[doc] + rank
-                a = np.maximum(seq * length, at[doc])
-                b = np.minimum((seq + 1) * length, (at + m)[doc])
-                texts = part.column(2)
-                bodies = [texts[int(d)].as_buffer() for d in range(part.num_rows)]
-                pieces = [bodies[d].slice(int(x) * size, int(y) * size).to_pybytes() for d, x, y in zip(doc, a - at[doc], b - a, strict=True)]
-                slot = feistel(seq, n, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard, pa.int32()), pa.array(seq), pa.array(a - seq * length, pa.int32()), part.column(0).take(pa.array(doc)), pa.array(pieces, pa.binary())], ["slot", "shard", "sequence", "start", "doc_id", "piece"])
-
-    cuts = map_arrow(rows, cut, "slot long, shard int, sequence long, start int, doc_id long, piece binary")
-    ordered = cuts.repartitionById(shards, "shard").sortWithinPartitions("slot", "start")
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "shard", "row", "sequence", "doc_ids", "starts", "tokens"]
-        held: list[tuple] = []
-        out: list[tuple] = []
-        last = np.array([end], dtype=kind).tobytes()
-
-        def close() -> None:
-            body = b"".join(h[5] for h in held)
-            out.append((held[0][0], held[0][1], held[0][0] % per_shard, held[0][2], [h[4] for h in held], [h[3] for h in held], body + last * (length - len(body) // size)))
-            held.clear()
-
-        def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-            out.clear()
-            return made
-
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and held[0][0] != r[0]:
-                    close()
-                held.append(r)
-            if len(out) >= 1024:
-                yield batch()
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield packs(held)
+                held, size = [], 0
         if held:
-            close()
-        if out:
-            yield batch()
+            yield packs(held)
+
+    dealt = map_arrow(rows, cut, "shard int, part int, body binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "part")
+    return dealt, n, kind, end
+
+
+def _parts(batches: Iterator[pa.RecordBatch], n: int, kind: np.dtype, end: int, length: int, per_shard: int, slots: int) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+    """For each part (of so many ``slots``) of a shard its number, the tokens of its slots, a row each, and their index."""
+
+    def closed(now: tuple[int, int], bodies: list[bytes]) -> tuple[int, np.ndarray, pa.RecordBatch]:
+        first = now[0] * per_shard + now[1] * slots
+        count = min(n, (now[0] + 1) * per_shard, first + slots) - first
+        out = np.full(count * length, end, dtype=kind)
+        fields: list[tuple] = []
+        for body in bodies:
+            slot, seq, start, size, doc, known, tokens = _unpacked(body, kind)
+            group, rank = tc.spread(size)
+            out[((slot - first) * length + start)[group] + rank] = tokens
+            fields.append((slot, seq, start, doc, known))
+        slot, seq, start, doc, known = (np.concatenate(x) for x in zip(*fields, strict=True))
+        order = np.lexsort([start, slot])
+        slot, seq, start, doc, known = (x[order] for x in (slot, seq, start, doc, known))
+        heads = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        if len(heads) != count:
+            raise RuntimeError(f"shard {now[0]} lacks {count - len(heads)} of its sequences")
+        offsets = pa.array(np.append(heads, len(slot)), pa.int32())
+        index = [
+            pa.array(slot[heads]), pa.array(np.full(count, now[0], np.int32)), pa.array((slot[heads] - now[0] * per_shard).astype(np.int32)), pa.array(seq[heads]),
+            pa.ListArray.from_arrays(offsets, pa.array(doc, pa.int64(), mask=~known)), pa.ListArray.from_arrays(offsets, pa.array(start, pa.int32())),
+        ]
+        return now[0], out.reshape(count, length), pa.RecordBatch.from_arrays(index, ["slot", "shard", "row", "sequence", "doc_ids", "starts"])
+
+    now, held = None, []
+    for batch in batches:
+        for shard, part, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held and (shard, part) != now:
+                yield closed(now, held)
+                held = []
+            now = (shard, part)
+            held.append(body)
+    if held:
+        yield closed(now, held)
+
+
+_INDEX = "slot long, shard int, row int, sequence long, doc_ids array<long>, starts array<int>"
+
 
-    return map_arrow(ordered, joined, "slot long, shard int, row int, sequence long, doc_ids array<long>, starts array<int>, tokens binary")
+def materialised(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+    """The corpus in training order, a row a sequence: slot, shard, row, sequence, doc_ids and the tokens (starts) at which
+    each one's piece begins, and tokens, always ``length`` ids. Partition p holds shard p, sorted by slot."""
+    dealt, n, kind, end = _dealt(docs, path, length, per_shard, key)
+    slots = PART
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, index in _parts(batches, n, kind, end, length, per_shard, slots):
+            for k in range(0, len(rows), 1024):
+                some = index.slice(k, 1024)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([r.tobytes() for r in rows[k : k + 1024]], pa.binary())], [*index.schema.names, "tokens"])
+
+    return map_arrow(dealt, run, f"{_INDEX}, tokens binary")
 
-def write_shards(sequences: DataFrame, path: str) -> None:
-    """One raw little-endian file a shard in ``path``/shards, tokens in the order of their slots and nothing else, so that
-    slot s is at byte (s % per_shard) * stride of shard s // per_shard; the last shard ends with the last slot. The other
-    columns and the stride go to a table, ``path``/index. A shard is written under a name of its own and renamed, so a
-    repeated task replaces it. sequences: as materialised() deals them; ``path`` is mounted by all executors."""
-    folder = _local(path)
+
+def write_shards(docs: DataFrame, to: str, path: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> None:
+    """One raw little-endian file a shard in ``to``/shards, tokens in the order of their slots and nothing else, so that
+    slot s is at byte (s % per_shard) * stride of shard s // per_shard; the last shard ends with the last slot. What
+    materialised() gives beside them goes with the stride to a table, ``to``/index. A shard is written under a name of its
+    own and renamed, so a repeated task replaces it. ``to`` is mounted by all executors."""
+    dealt, n, kind, end = _dealt(docs, path, length, per_shard, key)
+    folder, stride, slots = _local(to), length * kind.itemsize, PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(f"{folder}/shards", exist_ok=True)
         shard, temporary, out = None, "", None
-
-        def close() -> None:
-            out.close()
-            os.replace(temporary, _shard(folder, shard))
-
         try:
-            for batch in batches:
-                at = 0
-                shards = batch.column(1).to_numpy()
-                while at < len(shards):
-                    if shards[at] != shard:
-                        if out is not None:
-                            close()
-                        shard = int(shards[at])
-                        temporary = f"{folder}/shards/.{shard}-{uuid.uuid4().hex}"
-                        out = open(temporary, "wb")  # noqa: SIM115
-                    end = at + int(np.searchsorted(shards[at:], shard, side="right"))
-                    for body in batch.column(6).slice(at, end - at):
-                        out.write(body.as_buffer())
-                    at = end
-                stride = pa.array([len(x.as_buffer()) for x in batch.column(6)], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), stride], ["slot", "shard", "row", "sequence", "doc_ids", "starts", "stride"])
+            for number, rows, index in _parts(batches, n, kind, end, length, per_shard, slots):
+                if number != shard:
+                    if out is not None:
+                        out.close()
+                        os.replace(temporary, _shard(folder, shard))
+                    shard, temporary = number, f"{folder}/shards/.{number}-{uuid.uuid4().hex}"
+                    out = open(temporary, "wb")  # noqa: SIM115
+                out.write(rows.data)
+                yield pa.RecordBatch.from_arrays([*index.columns, pa.array(np.full(len(rows), stride, np.int32))], [*index.schema.names, "stride"])
             if out is not None:
-                close()
+                out.close()
+                os.replace(temporary, _shard(folder, shard))
                 out = None
         finally:
-            if out is not None and not out.closed:
+            if out is not None:
                 out.close()
                 os.unlink(temporary)
 
-    rows = map_arrow(sequences.select("slot", "shard", "row", "sequence", "doc_ids", "starts", "tokens"), run, "slot long, shard int, row int, sequence long, doc_ids array<long>, starts array<int>, stride int")
-    rows.write.parquet(f"{path}/index")
+    map_arrow(dealt, run, f"{_INDEX}, stride int").write.parquet(f"{to}/index")
 
 
 def _local(path: str) -> str:
@@ -258,7 +312,7 @@ def stored(docs: DataFrame, **options) -> DataFrame:
     """materialised(docs), written as shards to the shared folder and read from them."""
     spark = docs.sparkSession
     path = f"{_tables(spark)}/shards-{uuid.uuid4().hex}"
-    write_shards(materialised(docs, **options), path)
+    write_shards(docs, path, **options)
     return _with_tokens(spark.read.parquet(f"{path}/index"), path)
 
 

@@ -235,9 +235,8 @@ def test_lines_at_the_threshold(spark):
 
 def test_tokens_round_trip(spark, corpus, tmp_path):
     docs = frame(spark, corpus)
-    rows = tokens.materialised(docs, length=64, per_shard=10)
     encoding, end = tokens.encoder(tokens.vocabulary())
-    tokens.write_shards(rows, str(tmp_path / "shards"))
+    tokens.write_shards(docs, str(tmp_path / "shards"), length=64, per_shard=10)
     back = tokens.read_from(spark, str(tmp_path / "shards"), 0, 10).toPandas()
     n = len(back)
     assert list(back["slot"]) == list(range(n)) and {len(t) for t in back["tokens"]} == {128}
@@ -258,14 +257,26 @@ def test_tokens_round_trip(spark, corpus, tmp_path):
     assert list(later["slot"]) == list(range(15, min(23, n)))
 
 
-def test_shards_are_raw_files_of_a_fixed_stride(spark, corpus, tmp_path):
+@pytest.mark.parametrize("part,pack", [(16384, 1 << 24), (3, 5000)])
+def test_shards_are_raw_files_of_a_fixed_stride(spark, corpus, tmp_path, monkeypatch, part, pack):
+    monkeypatch.setattr(tokens, "PART", part)
+    monkeypatch.setattr(tokens, "PACK_BYTES", pack)
     docs = frame(spark, corpus)
-    tokens.write_shards(tokens.materialised(docs, length=64, per_shard=10), str(tmp_path / "out"))
+    tokens.write_shards(docs, str(tmp_path / "out"), length=64, per_shard=10)
     want = tokens.stored(docs, length=64, per_shard=10).toPandas().sort_values("slot")
     files = sorted((tmp_path / "out" / "shards").iterdir())
     assert [f.name for f in files] == [f"{i:06d}.bin" for i in range(-(-len(want) // 10))]
     assert {f.stat().st_size for f in files[:-1]} == {10 * 128}
     assert b"".join(f.read_bytes() for f in files) == b"".join(want["tokens"])
+    whole = tokens.materialised(docs, length=64, per_shard=10).toPandas().sort_values("slot")
+    assert list(whole["tokens"]) == list(want["tokens"]) and list(whole["row"]) == [i % 10 for i in range(len(want))]
+    encoding, end = tokens.encoder(tokens.vocabulary())
+    texts = {(r[0], t) for r in corpus if r[1] for t in [r[1]]}
+    for r in whole.itertuples():  # a document that starts in a sequence starts with its text's first token
+        body = np.frombuffer(r.tokens, np.uint16)
+        for d, at in zip(r.doc_ids, r.starts):
+            if at and body[at - 1] == end:
+                assert any(i is None and np.isnan(d) if d != d else i == d and encoding.encode_ordinary(t)[0] == body[at] for i, t in texts)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
