@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,15 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes this application's tables in the shared folder; for when all results that read them have been written."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    removed(spark, _tables(spark))
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -52,9 +58,27 @@ def dropped(df: DataFrame) -> None:
     """Deletes a table that written() made and that nothing reads any more."""
     path = getattr(df, "_shared_path", None)
     if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        removed(df.sparkSession, path)
+
+
+def _file(at: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(at) if at.startswith("file:") or "://" in at else (pa.fs.LocalFileSystem(), at)
+
+
+def put(at: str, data: bytes) -> None:
+    """Writes a file of the shared folder from a task; a repeated task replaces it whole."""
+    files, path = _file(at)
+    files.create_dir(path.rsplit("/", 1)[0])
+    mine = f"{path}-{uuid.uuid4().hex}"
+    with files.open_output_stream(mine) as f:
+        f.write(data)
+    files.move(mine, path)
+
+
+def got(at: str) -> bytes:
+    files, path = _file(at)
+    with files.open_input_stream(path) as f:
+        return f.read()
 
 
 #: Bytes of a batch of rows on its way to a worker.
