@@ -1,18 +1,20 @@
 """Near-duplicate embeddings: hierarchical navigable small-world graphs per shard, exact cosines, components.
 
 1. Equal vectors are one unit, with their number and smallest id. Units are dealt by hash into shards of about
-   SHARD_BYTES of vectors; a task builds a shard's graph (batches of insertions against the graph so far, neighbours half
-   by diversity and half by closeness).
-2. Every unit queries every shard, in blocks: the shard's graph meets each salt of the queries in a task of its own. The
-   beam starts narrow and doubles for queries whose whole beam is linked, and for the block as long as an audit
+   SHARD_BYTES of vectors, or SHARD_NODES of them; a task builds a shard's graph (batches of insertions against the graph
+   so far, neighbours half by diversity and half by closeness) and writes it to the shared folder.
+2. Every unit queries every shard, in blocks: a task holds some thousand queries and loads one graph after the other, so
+   vectors are shuffled once and graphs not at all. The beam starts narrow and doubles for queries whose whole beam is linked, and for the block as long as an audit
    finds less than ``recall`` of the links that AUDITED queries, or as many more as have LINKS links (all, if need be),
    have among all vectors of the shard; beyond WIDEST the exact scan of the shard takes over.
 3. Every link found is verified by its cosine in double precision; a task gives a spanning forest of its links, and
    components are the forests' union.
 4. Members of a component are all compared with each other in double precision, in tiles of two blocks, so the number of
-   links (with copies) doesn't depend on which side of a link was found. No pair is ever a row.
+   links (with copies) doesn't depend on which side of a link was found. Which tiles a vector goes to is worked out on
+   thin rows. No pair is ever a row.
 
-Vectors that are null, zero, empty or hold null or non-finite components link with nothing; vectors of different
+Vectors are scaled by their largest component before anything is squared, so tiny and huge ones link by their cosine
+too. Vectors that are null, zero, empty or hold null or non-finite components link with nothing; vectors of different
 lengths don't link with each other. Rows that share a vec_id are separate vectors; a null vec_id is a component's id only
 if it has no other. No rows give no rows.
 """
@@ -20,6 +22,7 @@ if it has no other. No rows give no rows.
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sgspark.llm.runtime import components, forest, map_arrow, partitions, written
+from sgspark.llm.runtime import _tables, components, contracted, dropped, forest, got, looked_up, map_arrow, partitions, put, removed, written
 from sgspark.llm.textcore import spread
 
 THRESHOLD = 0.9
-SHARD_BYTES = 16 << 20
+SHARD_BYTES, SHARD_NODES = 16 << 20, 32768
 #: Neighbours of a node, share of nodes that the next layer keeps, beam while building, first and widest beam of a query.
 NEIGHBOURS, LAYER, BUILD_BEAM, BEAM, WIDEST = 24, 16, 48, 32, 512
 BLOCK, AUDITED, RECALL = 512, 32, 0.99
 #: Links that an audit judges at least: with fewer, RECALL can't be told from a lost link.
 LINKS = 100
-#: Queries that one task answers at most, about.
-SALT_ROWS = 16384
+#: Queries that a task holds at most while it loads the graphs, and that make a task of its own at least.
+HELD_ROWS, TASK_ROWS = 16384, 2048
 #: Vectors of a block of a component.
 TILE = 2048
 #: Float32 similarities this far below the threshold are still verified.
@@ -244,8 +247,19 @@ def _tile(uid: np.ndarray, mult: np.ndarray, vec: np.ndarray, block: np.ndarray,
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    """Vectors of one length, each scaled so that its largest component is 1 or -1."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return flat / np.abs(flat).max(axis=1)[:, None]
+
+
+def _loaded(at: str) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """A shard's graph, its vectors and their units."""
+    with np.load(io.BytesIO(got(at))) as z:
+        graph, exact = Graph.__new__(Graph), z["exact"]
+        graph.n, graph.order, graph.near = len(exact), z["order"], z["near"]
+        graph.layers = [z[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in z.files))]
+        graph.v = np.ascontiguousarray((exact / np.linalg.norm(exact, axis=1)[:, None])[graph.order], dtype=np.float32)
+        return graph, exact, z["uid"]
 
 
 def classes(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -254,66 +268,59 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
     parts = partitions(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    valid = F.coalesce(finite & (square > 0) & (square < F.lit(float("inf"))), F.lit(False))
+    valid = F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = rows.withColumns({"valid": valid, "h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
     units = rows.where("valid").groupBy("h1", "h2", "vec").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first"))
     units = written(units.withColumns({"uid": F.monotonically_increasing_id(), "dim": F.size("vec")}), "vectors")
     most = units.agg(F.count("*"), F.max("dim")).first()
     n, dim = most[0], most[1] or 1
-    shards = max(1, -(-n // max(1024, SHARD_BYTES // (8 * dim))))
-    salts = max(1, -(-n // SALT_ROWS))
+    shards = max(1, -(-n // min(SHARD_NODES, max(1024, SHARD_BYTES // (8 * dim)))))
     shard = F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(shards)).cast("int")
-    salt = F.pmod(F.xxhash64("uid", F.lit(8)), F.lit(salts)).cast("int")
+    folder = f"{_tables(spark)}/graphs-{uuid.uuid4().hex}"
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         exact = _matrix(table["vec"].combine_chunks() if isinstance(table["vec"], pa.ChunkedArray) else table["vec"])
         order = np.argsort(table["uid"].to_numpy())
-        exact, uid, mult = exact[order], table["uid"].to_numpy()[order], table["mult"].to_numpy()[order]
+        exact, uid = exact[order], table["uid"].to_numpy()[order]
         graph = Graph(exact / np.linalg.norm(exact, axis=1)[:, None])
         out = io.BytesIO()
-        np.savez(out, exact=exact, uid=uid, mult=mult, order=graph.order, near=graph.near, **{f"layer{i}": x for i, x in enumerate(graph.layers)})
-        return pa.table({"dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1), "graph": pa.array([out.getvalue()], pa.binary())})
-
-    graphs = written(units.withColumn("shard", shard).select("dim", "shard", "uid", "mult", "vec").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
-    ask = units.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), salt.alias("salt"), F.lit(1).alias("kind"), "uid", "vec", F.lit(None).cast("binary").alias("graph"))
-    have = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("uid"), F.lit(None).cast("array<double>").alias("vec"), "graph")
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, key, loaded = None, None, None
+        np.savez(out, exact=exact, uid=uid, order=graph.order, near=graph.near, **{f"layer{i}": x for i, x in enumerate(graph.layers)})
+        put(f"{folder}/{table['dim'][0].as_py()}-{table['shard'][0].as_py()}", out.getvalue())
+        return pa.table({"dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1)})
+
+    made = units.withColumn("shard", shard).select("dim", "shard", "uid", "vec").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int")
+    graphs = sorted((r["dim"], r["shard"]) for r in made.collect())  # two numbers a shard
+
+    def linked(uid: np.ndarray, vec: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sizes = np.diff(vec.offsets.to_numpy())
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            q, q_uid = _matrix(vec.take(pa.array(at))), uid[at]
+            for _, number in (g for g in graphs if g[0] == size):
+                graph, exact, its = _loaded(f"{folder}/{size}-{number}")
+                for k in range(0, len(q), BLOCK):
+                    yield _block_links(graph, exact, its, q[k : k + BLOCK], q_uid[k : k + BLOCK], threshold, int(q_uid[k]) & 0xFFFF)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        uid, vec, held = [], [], 0
         for batch in batches:
-            kinds = batch.column(3).to_numpy()
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            at = 0
-            while at < len(kinds):
-                if kinds[at] == 0:
-                    loaded = np.load(io.BytesIO(batch.column(6)[at].as_py()))
-                    loaded = {k: loaded[k] for k in loaded.files}
-                    graph, key = Graph.__new__(Graph), keys[at]
-                    exact = loaded["exact"]
-                    graph.n, graph.order, graph.near = len(exact), loaded["order"], loaded["near"]
-                    graph.v = np.ascontiguousarray((exact / np.linalg.norm(exact, axis=1)[:, None])[graph.order], dtype=np.float32)
-                    graph.layers = [loaded[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in loaded))]
-                    at += 1
-                    continue
-                end = at
-                while end < len(kinds) and kinds[end] == 1 and keys[end] == keys[at] and end - at < BLOCK:
-                    end += 1
-                if keys[at] == key:
-                    q_uid = batch.column(4).slice(at, end - at).to_numpy()
-                    a, b = _block_links(graph, loaded["exact"], loaded["uid"], _matrix(batch.column(5).slice(at, end - at)), q_uid, threshold, int(q_uid[0]) & 0xFFFF)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                at = end
-
-    both = have.unionAll(ask).repartition(max(parts, min(shards * salts, 4 * parts)), "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "kind", "uid")
-    roots = components(map_arrow(both, answer, "a long, b long")).select(F.col("node").alias("uid"), "root")
+            uid.append(batch.column(0).to_numpy())
+            vec.append(batch.column(1))
+            held += batch.num_rows
+            if held >= HELD_ROWS:
+                yield from linked(np.concatenate(uid), pa.concat_arrays(vec))
+                uid, vec, held = [], [], 0
+        if held:
+            yield from linked(np.concatenate(uid), pa.concat_arrays(vec))
+
+    asked = units.select("uid", "vec").repartition(max(1, min(2 * parts, -(-n // TASK_ROWS)), -(-n // HELD_ROWS)), "uid").sortWithinPartitions("uid")
+    roots = components(map_arrow(asked, contracted(answer), "a long, b long"), contract=False).select(F.col("node").alias("uid"), "root")
     roots = written(roots.union(roots.select(F.col("root").alias("uid"), "root").distinct()), "roots")
-    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb"))
-    member = units.join(roots, "uid").join(blocks, "root")
+    large = roots.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb")).where("nb > 1")
+    placed = looked_up(roots, large, "root", "uid").withColumn("nb", F.coalesce("nb", F.lit(1)))
     block = F.when(F.col("nb") == 1, 0).otherwise(F.pmod(F.xxhash64("uid", F.lit(9)), F.col("nb"))).cast("int")
-    tiles = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    tiles = units.select("uid", "mult", "vec").join(placed.withColumn("block", block), "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tiles = tiles.select("root", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "uid", "mult", "vec")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +355,13 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec
     counts = map_arrow(tiles.repartition(parts, "root", "ti", "tj").sortWithinPartitions("root", "ti", "tj"), count, "a long, w long")
     counts = counts.groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("w"))
     slim = units.drop("vec").join(roots, "uid", "left").join(counts, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    least = slim.groupBy("root").agg(F.min("first").alias("component"))
-    slim = slim.join(least, "root").select("h1", "h2", "component", (F.col("mult") - 1 + F.coalesce("w", F.lit(0))).alias("links"), F.lit(True).alias("valid"))
+    least = slim.groupBy("root").agg(F.count("*").alias("_k"), F.min("first").alias("least")).where("_k > 1").drop("_k").withColumn("met", F.lit(True))
+    slim = looked_up(slim, least, "root", "uid").withColumn("component", F.when(F.col("met"), F.col("least")).otherwise(F.col("first")))
+    slim = written(slim.select("h1", "h2", "component", (F.col("mult") - 1 + F.coalesce("w", F.lit(0))).alias("links"), F.lit(True).alias("valid")), "classes")
+    for x in (units, roots):
+        dropped(x)
+    removed(spark, folder)
+    # copies of one vector are counted, and thin, but may be many: the plan splits such a key
     out = rows.select("vec_id", "h1", "h2", "valid").join(slim, ["h1", "h2", "valid"], "left")
     component = F.when(F.col("valid"), F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
