@@ -1,9 +1,14 @@
 """Hashed linear text classifiers: FTRL logistic regression over n-grams, and noisy-or multiple-instance learning.
 
-Training takes a bounded sample of the labelled rows (``max_rows``, the smallest by a hash of the id; the bound is the
-only reason that a labelled row is not used). Its features are hashed on the executors and fitted in one task, so
-memory there is bounded by max_rows times the distinct features of a text. The model is a vector of fixed size,
-which is what the driver and the broadcast hold. Scoring is one pass over the texts without a shuffle.
+Training takes a bounded sample of the labelled rows: the smallest by a hash of the id, at most ``max_rows`` of them and
+at most as many as have MAX_FEATURES features together (the bounds are the only reason that a labelled row is not used).
+Features are hashed on the executors and fitted in one task, so memory there is bounded by 4 bytes times MAX_FEATURES,
+whatever the length of the texts. The model is a vector of fixed size, which is what the driver and the broadcast hold.
+Scoring is one pass over the whole texts without a shuffle; texts of any length are scored in slices of whole texts.
+
+Null and empty texts count as texts without words. Equal texts get equal scores; repeated labelled rows are examples as
+often as they occur, and an id with two labels is one of each. Empty tables: no documents give no rows, no labels a model
+without weights.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 from sgspark.llm import textcore as tc
 from sgspark.llm.runtime import appended, map_arrow
 
+#: Features (an occurrence of a word or n-gram) that a fit holds at most.
+MAX_FEATURES = 60_000_000
 #: Kinds of bytes for n-gram tokens: 1 letters, digits and bytes of other scripts, 2 other marks, 0 white space and controls.
 KINDS = np.full(256, 2, dtype=np.uint8)
 KINDS[:0x21] = 0
@@ -206,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, kind: str, take, bits:
     """Weights fitted to labels.<column> of the documents; kind 'ngram' (FTRL) or 'noisy-or'. No usable rows: a model
     without weights, whose bias stands for 'unlikely' (-6)."""
     rows = F.broadcast(train_rows(labels, column, take, max_rows))
+    most = MAX_FEATURES
     joined = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(rows, "_id").select("_id", "_y", "_text")
 
     def features(s: tc.Slice):
@@ -218,18 +226,23 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, kind: str, take, bits:
     feats = appended(joined, "_text", features, "_f binary").select("_id", "_y", "_f")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, bags = [], []
+        rows, held = [], 0
         for batch in batches:
-            y += batch.column(1).to_pylist()
-            for body in batch.column(2):
+            for i, label, body in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if held > most:
+                    break
                 x = np.load(io.BytesIO(body.as_py()))
-                bags.append(_ngram_example(x["ids"], bits) if kind == "ngram" else (x["ids"], x["offsets"]))
+                held += len(x["ids"])
+                if held <= most or not rows:
+                    rows.append((i.as_py(), label.as_py(), _ngram_example(x["ids"], bits) if kind == "ngram" else (x["ids"], x["offsets"])))
+        rows.sort(key=lambda r: r[:2])
+        y, bags = [r[1] for r in rows], [r[2] for r in rows]
         if bags:
             fitted = (fit_ftrl if kind == "ngram" else fit_noisy_or)(bags, np.array(y, dtype=float), bits)
             yield pa.RecordBatch.from_arrays([pa.array([fitted.tobytes()], pa.binary())], ["w"])
 
-    # at most max_rows rows, in an order of their own
-    got = map_arrow(feats.repartition(1).sortWithinPartitions("_id", "_y", "_f"), train, "w binary").collect()
+    # at most max_rows rows, in the order in which the sample takes them
+    got = map_arrow(feats.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_y", "_f"), train, "w binary").collect()
     if not got:
         return np.append(np.zeros(1 << bits, np.float32), np.float32(-6.0))
     return np.frombuffer(got[0]["w"], dtype=np.float32)
