@@ -109,13 +109,21 @@ def position(offset: Column, schedules=SCHEDULES) -> Column:
 
 
 def mixture(docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken and first_at, the position of its first copy (null
-    if the mix takes none of it)."""
+    """Per document: doc_id, source, size, source_size, target, taken and first_at, second_at, ... (``most`` columns): the
+    training positions of its copies, null for a copy of which the mix takes nothing. Range-sorted by the first position;
+    documents that the mix doesn't take come last."""
     own = docs.select("doc_id", "text", "source")
     slim = written(sizes(own).select("doc_id", "_name", "_source", "_size", "_key"), "sizes")
     rows = placed(slim, targets(slim, share, most, weights), slim).withColumn("taken", taken(most).cast("long"))
-    first = F.when(F.col("taken") > 0, position(F.col("_at").cast("double"), schedules))
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "taken", F.round(first, 6).alias("first_at"))
+    until = F.floor("_target")
+    at = [F.col("_at") + e * F.col("_source_size") for e in range(most)]
+    copies = [F.round(F.when(overlap(x, F.col("_size"), until) > 0, position(x.cast("double"), schedules)), 6).alias(name) for x, name in zip(at, _places(most), strict=True)]
+    out = rows.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "taken", *copies)
+    return out.orderBy(F.col("first_at").asc_nulls_last(), "doc_id")
+
+
+def _places(most: int) -> list[str]:
+    return [*("first_at", "second_at", "third_at")[:most], *(f"at_{e + 1}" for e in range(3, most))]
 
 
 def materialised(docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:

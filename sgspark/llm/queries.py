@@ -69,7 +69,7 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN its USING (rid)
 """
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents, with each one's training position."""
+    """The mix of all documents, with the training position of each copy, in the order of the first."""
     return mixing.mixture(table(spark, sf_dir, "documents")).drop("source")
 
 
@@ -86,16 +86,17 @@ s4 AS (SELECT *, (total - before) / rest AS level FROM s3),
 op AS (SELECT min(place) AS p FROM s4 WHERE cap > w * level),
 lv AS (SELECT level AS l FROM s4 WHERE place = (SELECT p FROM op)),
 s5 AS (SELECT *, CASE WHEN (SELECT p FROM op) IS NULL OR place < (SELECT p FROM op) THEN cap ELSE w * (SELECT l FROM lv) END AS target FROM s4),
-e AS (SELECT d.doc_id, d.size, s5.source_size, s5.target, s5.r,
+e AS (SELECT row_number() OVER () AS k, d.doc_id, d.size, s5.source_size, s5.target, s5.r,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
-f AS (SELECT *, greatest(0, least(size, floor(target) - a)) + greatest(0, least(size, floor(target) - a - source_size)) AS taken, a / target AS u FROM e)
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-  CASE WHEN taken > 0 THEN round(CASE r % 3
+f AS (SELECT *, greatest(0, least(size, floor(target) - a)) AS t1, greatest(0, least(size, floor(target) - a - source_size)) AS t2, a / target AS u1, (a + source_size) / target AS u2 FROM e),
+g AS (SELECT doc_id, size, source_size, target, t1, t2, r, unnest([1, 2]) AS copy, unnest([t1, t2]) AS words, unnest([u1, u2]) AS u, k AS row FROM f),
+h AS (SELECT *, CASE WHEN words > 0 THEN round(CASE r % 3
     WHEN 0 THEN 2.0 * u / (1.5 + sqrt(greatest(0.0, 2.25 - 2.0 * u)))
     WHEN 1 THEN 2.0 * u / (1.0 + sqrt(1.0))
-    ELSE 2.0 * u / (0.5 + sqrt(greatest(0.0, 0.25 + 2.0 * u))) END, 6) END AS first_at
-FROM f
+    ELSE 2.0 * u / (0.5 + sqrt(greatest(0.0, 0.25 + 2.0 * u))) END, 6) END AS place FROM g)
+SELECT doc_id, size, source_size, target, CAST(t1 + t2 AS BIGINT) AS taken, max(place) FILTER (copy = 1) AS first_at, max(place) FILTER (copy = 2) AS second_at
+FROM h GROUP BY row, doc_id, size, source_size, target, t1, t2
 """
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

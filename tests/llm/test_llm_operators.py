@@ -2,13 +2,14 @@
 
 import collections
 import hashlib
+import os
 import re
 
 import numpy as np
 import pytest
 
 from compare import assert_same
-from sgspark.llm import decontaminate, embeddings, html_extract, lines, mixing, near_documents, queries, substrings, tokens
+from sgspark.llm import classifiers, decontaminate, embeddings, html_extract, lines, mixing, near_documents, queries, substrings, tokens
 from sgspark.llm.runtime import components, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, uid string, removed int, _key string"
@@ -174,7 +175,7 @@ def test_decontamination_in_blocks(spark, corpus, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(words(corpus[i][1])[3:18])) for i in range(8)], "item_id long, text string")
     whole = decontaminate.report(decontaminate.matched(frame(spark, corpus), bench)).toPandas()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
-    assert len(list(decontaminate.blocks_of(bench, 10))) > 2
+    assert decontaminate.blocks_of(bench, 10).count > 2
     assert_same(whole, decontaminate.report(decontaminate.matched(frame(spark, corpus), bench)).toPandas())
 
 
@@ -202,9 +203,14 @@ def test_mixed_rows(spark, corpus):
 
 def test_mixing_positions_follow_the_schedule(spark):
     rows = [(i, "w " * 10, "abc"[i % 3]) for i in range(600)]
-    out = mixing.mixture(frame(spark, rows)).toPandas().dropna()
+    every = mixing.mixture(frame(spark, rows)).toPandas()
+    assert every["first_at"].dropna().is_monotonic_increasing and every["first_at"].notna().equals(every["taken"] > 0)
+    assert every["second_at"].notna().equals((every["taken"] > every["size"]))
+    out = every[every["taken"] > 0]
     early = out.groupby("source")["first_at"].median()
     assert early["a"] < early["c"] and out["first_at"].between(0, 1).all()
+    twice = out.dropna(subset=["second_at"])
+    assert len(twice) and (twice["second_at"] >= twice["first_at"]).all()
 
 
 def test_lines(spark):
@@ -311,6 +317,20 @@ def test_embeddings(spark, monkeypatch):
     assert (out.loc[100:159, "component_id"] == 100).all() and out.loc[300, "component_id"] == 200
 
 
+def test_embeddings_of_any_size(spark, monkeypatch):
+    """Squares of these under- and overflow; beams are so narrow that every shard is scanned, and tiles are tiny."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 8))
+    rows = [(10 * i + k, [float(x) for x in v * scale]) for i, v in enumerate(base) for k, scale in enumerate((1.0, 1e-200, 1e200, 5e-310))]
+    monkeypatch.setattr(embeddings, "SHARD_NODES", 16)
+    monkeypatch.setattr(embeddings, "TILE", 2)
+    got = embeddings.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    link = unit @ unit.T >= 0.9
+    assert {r["vec_id"]: r["n_links"] for r in got} == {10 * i + k: 4 * int(link[i].sum()) - 1 for i in range(20) for k in range(4)}
+    assert all(r["component_id"] <= 10 * (r["vec_id"] // 10) for r in got)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 32))
@@ -425,7 +445,7 @@ def test_the_step_decides_where_nothing_is_marked(sf_dir):
 
 @pytest.mark.parametrize("name,column,least", [("op1_toxicity", "toxic", 0.85), ("op8_quality", "quality", 0.9)])
 def test_classifiers_on_held_out_rows(name, column, least, spark):
-    sf_dir = "/root/testdata/sf0.1"
+    sf_dir = os.environ.get("TEST_HELD_OUT_DIR", "/root/testdata/sf0.1")
     scored = queries.QUERIES[name](spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = scored.join(labels, "doc_id").where("held_out").select("predicted", column, "score").toPandas()
@@ -433,6 +453,49 @@ def test_classifiers_on_held_out_rows(name, column, least, spark):
     assert rows["score"].between(0, 1).all()
 
 
+@pytest.mark.parametrize("docs,labels", [([], [(1, 1, 1)]), ([(1, "a b")], []), ([], [])])
+def test_classifiers_on_empty_tables(spark, tmp_path, docs, labels):
+    frame(spark, docs or [(0, "x")]).limit(len(docs)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op1_toxicity", "op8_quality"):
+        out = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(out) == len(docs) and all(r["predicted"] == 0 for r in out)
+
+
+def test_a_fit_holds_a_bounded_number_of_features(spark, monkeypatch):
+    """Of long texts fewer are sampled; the model is that of the first ones in the sample's order."""
+    rows = [(i, ("vile " if i % 2 else "kind ") * 50) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    take = lambda i: i.isNotNull()
+    monkeypatch.setattr(classifiers, "MAX_FEATURES", 20 * 150)
+    few = classifiers.fit(frame(spark, rows), labels, "toxic", "noisy-or", take, 12, 40)
+    first = [r["_id"] for r in classifiers.train_rows(labels, "toxic", take, 20).collect()]
+    same = classifiers.fit(frame(spark, [r for r in rows if r[0] in first]), labels, "toxic", "noisy-or", take, 12, 40)
+    assert (few == same).all()
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, body, None), (2, body, "a"), (2, body, "a"), (None, body, "a"), (3, None, "a"), (4, "", "b"), (5, "own " * 30_000, "b"), (6, "zero one two three four five six seven eight nine ten eleven", "b")]
+    for some in (rows, []):
+        docs = frame(spark, some or rows).limit(len(some))
+        kept = []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, str(tmp_path)), "stage")
+            assert docs.columns == frame(spark, rows).columns
+            kept.append(sorted((r["doc_id"] for r in docs.collect()), key=lambda i: (i is None, i)))
+        sequences = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+        if some:
+            assert kept[0] == [1, 2, 2, 3, 4, 5, 6, None] and kept[1] == [1, 3, 4, 5, 6] and kept[2] == [1, 3, 4, 5]
+            assert set(kept[3]) == {1, 5} and {i for x in sequences["doc_ids"] for i in x} == {1, 5}
+        else:
+            assert kept == [[], [], [], []] and len(sequences) == 0
+
+
 def test_classifier_edge_cases(spark, tmp_path):
     docs = frame(spark, [(None, "a b"), (1, None), (2, ""), (3, "z" * 100_000), (3, "again")])
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -87,3 +87,48 @@ def test_ftrl_separates():
     w = classifiers.fit_ftrl(rows, y.astype(float), bits)
     p = np.concatenate([classifiers.ngram_scores(s, w, bits) for s in tc.slices(pa.array([*texts, ""]))])
     assert ((p[:-1] > 0.5) == (y == 1)).all() and 0 < p[-1] < 1
+
+
+ODD = ["", "Vile words here! And kind ones.\nno stop at the end", "a", " ... !!! ", "one one one two\ttwo", "Ünïcode wörds: 12 of 30?", "x" * 5000]
+
+
+def _hash(word: str) -> int:
+    return int(tc.word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word.encode())]))[0])
+
+
+def test_noisy_or_scores_against_brute_force():
+    bits = 10
+    weights = np.random.default_rng(4).normal(size=(1 << bits) + 1).astype(np.float32)
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = []
+    for text in ODD:
+        none = 1.0
+        for sentence in re.split(r"(?<=[\n!.?])", text.translate(fold)):
+            z, found = float(weights[-1]), False
+            for word in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence):
+                found = True
+                z += float(weights[_hash(word) >> (64 - bits)])
+                for k, size in enumerate(classifiers.PREFIXES, 1):
+                    part = word.encode()[:size]
+                    h = tc.word_hashes(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]))
+                    z += float(weights[int(tc.mix(h + np.uint64(k))[0]) >> (64 - bits)])
+            if found:
+                none *= 1 - 1 / (1 + np.exp(-z))
+        want.append(1 - none)
+    got = np.concatenate([classifiers.noisy_or_scores(s, weights, bits, 0.5)[0] for s in tc.slices(pa.array(ODD), 60)])
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_ngram_scores_against_brute_force():
+    bits = 10
+    weights = np.random.default_rng(4).normal(size=(1 << bits) + 1).astype(np.float32)
+    want = []
+    for text in ODD:
+        words = re.findall(r"[0-9A-Za-z\u0080-\U0010FFFF]+|[^0-9A-Za-z\u0080-\U0010FFFF\x00-\x20\x7F]+", text)
+        h = [_hash(w) for w in words]
+        ids = [x >> (64 - bits) for x in h]
+        ids += [int(classifiers.REPEAT if x == y else tc.ngram_hashes(np.array([x, y], np.uint64), 2)[0]) >> (64 - bits) for x, y in zip(h, h[1:])]
+        z = classifiers.NGRAM_SCALE * sum(float(weights[i]) for i in ids) / max(1, len(ids)) + float(weights[-1])
+        want.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+    got = np.concatenate([classifiers.ngram_scores(s, weights, bits) for s in tc.slices(pa.array(ODD), 60)])
+    assert np.allclose(got, want, atol=1e-9)
