@@ -2,6 +2,12 @@
 
 Toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark windows go, sources
 are mixed to their target weights in curriculum order, and the mixture is tokenised into training order.
+
+Every stage takes any columns beside doc_id, text and source, under any names, and returns them. A null or empty text is
+not toxic, a duplicate of nothing and free of benchmark windows; it has no words, so the mixture leaves it out. Null ids
+stay (of a class of near copies, an id before none). Null sources are a source of their own. Repeated rows are copies:
+the second stage keeps one. Texts of any length go through whole, ties are broken by content, and empty tables give empty
+results at every stage.
 """
 
 from __future__ import annotations
