@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sgspark.functions.linear import solve
+
 
 def variant_sums(dosage: DataFrame) -> DataFrame:
     """Per variant: sg, sg2 and carriers."""
@@ -26,6 +28,57 @@ def ols(dosage: DataFrame, phenotypes: DataFrame) -> DataFrame:
     return rows.select("trait", "idx", "n", "beta", se.alias("se"))
 
 
+def adjusted(dosage: DataFrame, phenotypes: DataFrame, covariates: DataFrame, names: list[str], columns: list[str] = ("g",)) -> DataFrame:
+    """Per trait and variant least squares on an intercept, covariates (sid, ...) and one or more columns of the sparse
+    table ``dosage`` (idx, sid, ...; absent rows are 0), together: trait, idx, n, and beta_<c> and se_<c> for each column.
+    The covariates' cross-products are one row a trait; a variant adds its own sums, and its equations are solved where
+    they are. Variants of which a column has no variance beyond the others are left out."""
+    base = phenotypes.join(covariates, "sid").withColumn("one", F.lit(1.0))
+    z = ["one", *names]
+    shared = base.groupBy("trait").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).cast("double").alias("yy"), *[F.sum(F.col(a) * F.col(b)).cast("double").alias(f"{a}_{b}") for i, a in enumerate(z) for b in z[i:]], *[F.sum(F.col(a) * F.col("y")).cast("double").alias(f"{a}_y") for a in z])
+    met = dosage.join(base, "sid")
+    cells = [F.sum(F.col(c) * F.col(a)).cast("double").alias(f"{c}__{a}") for c in columns for a in [*z, "y"]]
+    cells += [F.sum(F.col(c) * F.col(e)).cast("double").alias(f"{c}__{e}") for i, c in enumerate(columns) for e in columns[i:]]
+    rows = met.groupBy("trait", "idx").agg(*cells).join(F.broadcast(shared), "trait")
+    whole = [*z, *columns]
+
+    def cell(a: str, b: str) -> Column:
+        i, j = sorted((whole.index(a), whole.index(b)))
+        a, b = whole[i], whole[j]
+        if j < len(z):
+            return F.col(f"{a}_{b}")
+        return F.col(f"{b}__{a}") if i < len(z) else F.col(f"{a}__{b}")
+
+    gram = [[cell(a, b) for b in whole] for a in whole]
+    right = [F.col(f"{a}_y") for a in z] + [F.col(f"{c}__y") for c in columns]
+    k = len(whole)
+    unit = lambda i: [F.lit(1.0 if j == i else 0.0) for j in range(k)]
+    rows = rows.withColumn("_b", solve(gram, right)).withColumns({f"_i{c}": solve(gram, unit(len(z) + i))[len(z) + i] for i, c in enumerate(columns)})
+    rss = F.col("yy") - sum((F.col("_b")[i] * right[i] for i in range(k)), F.lit(0.0))
+    rows = rows.withColumn("_v", F.greatest(rss, F.lit(0.0)) / (F.col("n") - k))
+    for c in columns:
+        # what the others leave of the column's sum of squares is the inverse of its diagonal cell
+        rows = rows.where((F.col(f"_i{c}") > 0) & (1 / F.col(f"_i{c}") > 1e-9 * F.col(f"{c}__{c}")))
+    return rows.select("trait", "idx", "n", *[F.col("_b")[len(z) + i].alias(f"beta_{c}") for i, c in enumerate(columns)], *[F.sqrt(F.col("_v") * F.col(f"_i{c}")).alias(f"se_{c}") for c in columns])
+
+
+def strand_check(rows: DataFrame, least: float = 0.2, margin: float = 0.05, variants: int = 50) -> DataFrame:
+    """One row that tells whether ambiguous variants look strand-flipped against a reference of two ancestries. rows: freq,
+    base, delta (the ancestries' difference) and ambiguous. The mean ancestry is fitted on the others that differ by
+    ``least``; a variant is discordant if its frequency is closer, by ``margin``, to the flipped expectation; expectations
+    near one half don't count. Columns: ancestry, and snps, discordant by kind, and fails: the ambiguous ones' rate
+    exceeds 5% and three times the others' plus 1%."""
+    fine = rows.where("freq is not null and base is not null").where(F.abs("delta") >= least)
+    fit = fine.where("not ambiguous").agg(F.count("*").alias("_n"), (F.sum(F.col("delta") * (F.col("freq") - F.col("base"))) / F.sum(F.col("delta") * F.col("delta"))).alias("ancestry"))
+    each = fine.crossJoin(F.broadcast(fit.where(F.col("_n") >= variants)))
+    expected = F.least(F.greatest(F.col("base") + F.col("delta") * F.col("ancestry"), F.lit(0.0)), F.lit(1.0))
+    each = each.withColumn("_e", expected).where(F.abs(2 * F.col("_e") - 1) > 0.2)
+    wrong = (F.abs(F.col("freq") - (1 - F.col("_e"))) + margin < F.abs(F.col("freq") - F.col("_e"))).cast("double")
+    out = each.groupBy("ancestry").agg(*[x for name, kind in (("ambiguous", F.col("ambiguous")), ("other", ~F.col("ambiguous"))) for x in (F.sum(kind.cast("long")).alias(f"{name}_snps"), F.avg(F.when(kind, wrong)).alias(f"{name}_discordant"))])
+    rate = F.greatest(F.lit(0.05), 3 * F.coalesce("other_discordant", F.lit(0.0)) + 0.01)
+    return out.withColumn("fails", F.coalesce((F.col("ambiguous_snps") >= variants) & (F.col("ambiguous_discordant") > rate), F.lit(False)))
+
+
 def qc(stats: DataFrame, key: str = "snp") -> DataFrame:
     """Drops rows with a null, non-finite or non-positive n or se or a non-finite beta; of repeated keys the row of the
     largest n stays, ties by ``line``; adds z = beta / se * sqrt(n / max n)."""

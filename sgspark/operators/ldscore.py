@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sgspark.functions.linear import solve
+
 
 def band_pairs(axis: DataFrame, width: int, place: str = "pos") -> DataFrame:
     """All ordered pairs (i, j), i = j included, of one chromosome with |place_i - place_j| <= width.
@@ -160,3 +162,18 @@ def residual_variance(dosage: DataFrame, covariate: DataFrame) -> DataFrame:
     xc = (F.col("n") * F.col("sgc") - F.col("sg") * F.col("sc")).cast("double")
     r2 = F.when((xx > 0) & (cc > 0), xc * xc / (xx * cc)).otherwise(0.0)
     return rows.withColumn("r2", r2).withColumn("v", F.when(xx > 0, (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 2)).otherwise(0.0)).select("idx", "r2", "v")
+
+
+def residual_variance_of(dosage: DataFrame, covariates: DataFrame, names: list[str]) -> DataFrame:
+    """residual_variance() for several covariates (sid, ...) with an intercept: r2 = c' S^-1 c / xx for each variant, S the
+    covariates' own products, and v = (1 - r2)(n - 1) / (n - p - 1)."""
+    p = len(names)
+    own = covariates.agg(F.count("*").alias("n"), *[F.sum(c).cast("double").alias(f"s_{c}") for c in names], *[F.sum(F.col(a) * F.col(b)).cast("double").alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]])
+    rows = dosage.join(covariates, "sid").groupBy("idx").agg(F.sum("g").cast("double").alias("sg"), F.sum(F.col("g") * F.col("g")).cast("double").alias("sg2"), *[F.sum(F.col("g") * F.col(c)).cast("double").alias(f"g_{c}") for c in names]).crossJoin(F.broadcast(own))
+    n = F.col("n")
+    cross = [F.col(f"g_{c}") - F.col("sg") * F.col(f"s_{c}") / n for c in names]
+    cell = lambda i, j: F.col(f"{names[min(i, j)]}_{names[max(i, j)]}") - F.col(f"s_{names[i]}") * F.col(f"s_{names[j]}") / n
+    rows = rows.withColumn("_b", solve([[cell(i, j) for j in range(p)] for i in range(p)], cross)).withColumn("_xx", F.col("sg2") - F.col("sg") ** 2 / n)
+    explained = sum((F.col("_b")[i] * cross[i] for i in range(p)), F.lit(0.0))
+    rows = rows.withColumn("r2", F.when(F.col("_xx") > 0, explained / F.col("_xx")).otherwise(0.0))
+    return rows.select("idx", "r2", F.when(F.col("_xx") > 0, (1 - F.col("r2")) * (n - 1) / (n - p - 1)).otherwise(0.0).alias("v"))

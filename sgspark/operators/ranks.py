@@ -45,3 +45,15 @@ def rank_bins(rows: DataFrame, value: str, strata: list[str], bins: int) -> Data
     edges = rows.groupBy(*strata).agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, points)))).alias("_edges"))
     out = rows.join(F.broadcast(edges) if not strata else edges, strata) if strata else rows.crossJoin(F.broadcast(edges))
     return out.withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
+
+
+def auc_contrasts(strata: DataFrame, order: str) -> DataFrame:
+    """Over strata with an order, auc and se (a row each): the difference between the first and the last, its z, and the
+    trend by inverse-variance weights with its z. Fewer than two strata give no row."""
+    s = strata.select(F.col(order).cast("double").alias("o"), "auc", "se").withColumn("w", 1 / F.col("se") ** 2)
+    t = s.agg(F.count("*").alias("strata"), F.min(F.struct("o", "auc", "se")).alias("a"), F.max(F.struct("o", "auc", "se")).alias("b"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("o")).alias("wo"), F.sum(F.col("w") * F.col("auc")).alias("wa"), F.sum(F.col("w") * F.col("o") * F.col("o")).alias("woo"), F.sum(F.col("w") * F.col("o") * F.col("auc")).alias("woa"))
+    spread = F.col("woo") - F.col("wo") ** 2 / F.col("w")
+    trend = (F.col("woa") - F.col("wo") * F.col("wa") / F.col("w")) / spread
+    diff = F.col("a.auc") - F.col("b.auc")
+    out = t.where("strata > 1").select("strata", diff.alias("diff"), (diff / F.sqrt(F.col("a.se") ** 2 + F.col("b.se") ** 2)).alias("diff_z"), trend.alias("trend"), (trend * F.sqrt(spread)).alias("trend_z"))
+    return out

@@ -69,6 +69,21 @@ def distance_cells(pairs: DataFrame, width: int) -> DataFrame:
     return pairs.groupBy(F.floor(F.abs(F.col("pi") - F.col("pj")) / width).alias("cell")).agg(F.count("*").alias("pairs"), F.avg("r2").alias("mean_r2"))
 
 
+def smoothed(curve: DataFrame, owner: str, d: str, k: str, half_width: float = 0.75, rel_width: float = 0.1) -> DataFrame:
+    """Adds smooth, the mean of k over the owner's points with |d' - d| <= max(half_width, rel_width d). Prefix sums looked
+    up at both ends of each point's window: points and ends are ordered together, no point meets another."""
+    w = F.greatest(F.lit(float(half_width)), F.lit(float(rel_width)) * F.col(d))
+    along = W.partitionBy(owner).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    point = curve.select(owner, F.col(d).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.col(k).cast("double").alias("_k"), F.lit(1).alias("_n"), F.lit(None).cast("double").alias("_d"))
+    none = [F.lit(0.0).alias("_k"), F.lit(0).alias("_n")]
+    low = curve.select(owner, (F.col(d) - w).cast("double").alias("_at"), F.lit(0).alias("_kind"), *none, F.col(d).cast("double").alias("_d"))
+    high = curve.select(owner, (F.col(d) + w).cast("double").alias("_at"), F.lit(2).alias("_kind"), *none, F.col(d).cast("double").alias("_d"))
+    run = point.union(low).union(high).withColumns({"_s": F.sum("_k").over(along), "_c": F.sum("_n").over(along)}).where("_kind <> 1")
+    sign = F.when(F.col("_kind") == 2, 1).otherwise(-1)
+    ends = run.groupBy(owner, "_d").agg((F.sum(sign * F.col("_s")) / F.sum(sign * F.col("_c"))).alias("smooth"))
+    return curve.withColumn("_d", F.col(d).cast("double")).join(ends, [owner, "_d"]).drop("_d")
+
+
 def exponential_fit(curve: DataFrame, d: str, k: str, rates: list[float]) -> DataFrame:
     """Least squares of k = a + h exp(-rate d) over a grid of rates, closed form for each rate: the row of the smallest
     residual, ties by the smaller rate: rate, a, h, sse. Rates at which the curve is constant are left out."""

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,6 +179,27 @@ def bed(spark: SparkSession, path: str, samples: int) -> DataFrame:
     return files.mapInArrow(run, "path string, idx long, calls array<tinyint>")
 
 
+def write_bed(rows: DataFrame, path: str) -> None:
+    """Writes dosages (idx, calls: counts of the first allele, -1 for missing) as one two-bit file in the order of idx, by
+    one task and a batch at a time. ``path`` is one that executors can write to."""
+    code = np.array([3, 2, 0, 1], dtype=np.uint8)  # of 0, 1, 2 and, last, missing
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, place = pa.fs.FileSystem.from_uri(path) if path.startswith("file:") or "://" in path else (pa.fs.LocalFileSystem(), path)
+        at.create_dir(place.rsplit("/", 1)[0])
+        with at.open_output_stream(place) as f:
+            f.write(bytes([0x6C, 0x1B, 0x01]))
+            for batch in batches:
+                if batch.num_rows:
+                    calls = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.int64)
+                    two = np.zeros((len(calls), -(-calls.shape[1] // 4) * 4), dtype=np.uint8)
+                    two[:, : calls.shape[1]] = code[calls]
+                    f.write((two.reshape(len(calls), -1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=2, dtype=np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([1])], ["done"])
+
+    rows.select("idx", "calls").repartition(1).sortWithinPartitions("idx").mapInArrow(run, "done long").collect()
+
+
 def pairs(spark: SparkSession, path: str, least: float | None = None) -> DataFrame:
     """Related pairs (iid1, iid2, kinship), unordered and distinct, without self-pairs, of at least a kinship if given."""
     raw = table(spark, path)

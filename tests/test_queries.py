@@ -2,8 +2,7 @@ import numpy as np
 import pytest
 
 from compare import assert_same
-from sgspark.plans.oracle import ORACLE_SQL
-from sgspark.plans.queries import QUERIES
+from sgspark.plans.registry import ORACLE_SQL, QUERIES
 
 
 def test_every_query_has_sql():
