@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +64,8 @@ def dense_moments(panel: DataFrame) -> DataFrame:
     return rows.withColumn("nsxx", F.col("n") * F.col("q") - F.col("s") * F.col("s")).where("nsxx > 0").drop("q")
 
 
-#: Samples up to which the samples' product matrix (32 MB then) travels as one.
-DENSE_SAMPLES = 2048
+#: Samples by samples of a tile of their product matrix, and numbers of a matrix that tasks sum (32 MB).
+TILE, CELLS = 2048, 1 << 22
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -77,54 +78,59 @@ def _standardised(batch: pa.RecordBatch) -> np.ndarray:
     return (n * _matrix(batch.column(4)) - s) / np.sqrt(n * nsxx)
 
 
-def gram_scores(panel: DataFrame) -> DataFrame:
-    """Exact LD scores against all variants of a dense panel, without a pair of variants ever being a row.
-
-    sum_j r_ij**2 = x_i' (sum_j x_j x_j') x_i for standardised rows x: the samples' product matrix is one sum over
-    variants, samples being the short axis, and each variant is then a quadratic form. Two passes over the panel whatever
-    the number of variants. Up to DENSE_SAMPLES samples the matrix is summed by partition and broadcast; with more, its
-    cells are a table that is joined by row."""
-    samples = panel.agg(F.max(F.size("e"))).first()[0] or 0
-    return _gram_dense(panel) if samples <= DENSE_SAMPLES else gram_cells(panel)
-
+def _summed(rows: DataFrame, lines: int, width: int, make: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of the matrices (lines, width) that ``make`` gives, at most CELLS numbers: summed within each
+    task first, then line by line."""
 
-def _gram_dense(panel: DataFrame) -> DataFrame:
-    rows = dense_moments(panel).select("vid", "n", "s", "nsxx", "e")
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((lines, width))
         for batch in batches:
             if batch.num_rows:
-                z = _standardised(batch)
-                total = z.T @ z if total is None else total + z.T @ z
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["k"])
+                total += make(batch)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(total[some]), pa.list_(pa.float64()))], ["line", "x"])
 
-    cells = rows.mapInArrow(products, "k array<double>").select(F.posexplode("k").alias("cell", "x")).groupBy("cell").agg(F.sum("x").alias("x"))
-    flat = np.array([r["x"] for r in cells.orderBy("cell").collect()])  # samples x samples numbers
-    shared = panel.sparkSession.sparkContext.broadcast(flat.reshape(int(len(flat) ** 0.5), int(len(flat) ** 0.5)))
+    cells = rows.mapInArrow(run, "line long, x array<double>").select("line", F.posexplode("x").alias("cell", "v")).groupBy("line", "cell").agg(F.sum("v").alias("v"))
+    out = np.zeros((lines, width))
+    for r in cells.where("v <> 0").toLocalIterator():
+        out[r["line"], r["cell"]] = r["v"]
+    return out
 
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+
+def gram_scores(panel: DataFrame) -> DataFrame:
+    """Exact LD scores against all variants of a dense panel, without a pair of variants ever being a row.
+
+    sum_j r_ij**2 = x_i' (sum_j x_j x_j') x_i for standardised rows x: the samples' product matrix is a sum over variants,
+    samples being the short axis, and each variant is then a quadratic form. The matrix is made tile by tile (TILE samples
+    a side, two passes over the panel for each tile on or above the diagonal), so that neither tasks nor the driver hold
+    more than a tile, whatever the number of samples."""
+    rows = dense_moments(panel).select("vid", "n", "s", "nsxx", "e")
+    samples = panel.agg(F.max(F.size("e"))).first()[0] or 0
+    starts = range(0, max(samples, 1), TILE)
+    return_type = "vid long, raw double, n long"
+    parts = []
+    for a in starts:
+        for b in starts:
+            if b < a:
+                continue
+            left, right = slice(a, min(a + TILE, samples)), slice(b, min(b + TILE, samples))
+
+            def products(batch: pa.RecordBatch, left=left, right=right) -> np.ndarray:
                 z = _standardised(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.einsum("ij,ij->i", z @ shared.value, z)), batch.column(1)], ["vid", "raw", "n"])
+                return z[:, left].T @ z[:, right]
 
-    return rows.mapInArrow(forms, "vid long, raw double, n long")
+            shared = panel.sparkSession.sparkContext.broadcast(_summed(rows, left.stop - left.start, right.stop - right.start, products))
 
+            def forms(batches: Iterator[pa.RecordBatch], left=left, right=right, shared=shared, times=1 if a == b else 2) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        z = _standardised(batch)
+                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(times * np.einsum("ij,ij->i", z[:, left] @ shared.value, z[:, right])), batch.column(1)], ["vid", "raw", "n"])
 
-def gram_cells(panel: DataFrame) -> DataFrame:
-    """gram_scores with the samples' product matrix as a table of cells."""
-    rows = dense_moments(panel)
-    z = F.transform("e", lambda v: (F.col("n") * v - F.col("s")) / F.sqrt(F.col("n") * F.col("nsxx")))
-    rows = rows.select("vid", "n", z.alias("z"))
-    cells = rows.select(F.posexplode("z").alias("a", "za"), "z").select("a", "za", F.posexplode("z").alias("b", "zb"))
-    gram = cells.groupBy("a", "b").agg(F.sum(F.col("za") * F.col("zb")).alias("k"))
-    long = rows.select("vid", "n", F.posexplode("z").alias("a", "za"))
-    # the matrix has samples x samples cells; it is joined by its row, not broadcast, as its size follows the cohort
-    half = long.join(gram, "a").groupBy("vid", "n", "b").agg(F.sum(F.col("za") * F.col("k")).alias("h"))
-    full = half.join(long.select("vid", F.col("a").alias("b"), F.col("za").alias("zb")), ["vid", "b"])
-    return full.groupBy("vid").agg(F.sum(F.col("h") * F.col("zb")).alias("raw"), F.max("n").alias("n"))
+            parts.append(rows.mapInArrow(forms, return_type))
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionAll, parts).groupBy("vid").agg(F.sum("raw").alias("raw"), F.max("n").alias("n"))
 
 
 def probe_sign(variant: Column, probe: Column) -> Column:
@@ -133,17 +139,32 @@ def probe_sign(variant: Column, probe: Column) -> Column:
 
 
 def sketch(panel: DataFrame, probes: int) -> DataFrame:
-    """Probe values (vid, probe, y): y = (x_i' sum_j x_j sign_jv)**2 with whole-number rows x = n e - s, unscaled. Two
-    aggregates: variants to (probe, sample), and back to (variant, probe)."""
-    rows = dense_moments(panel)
-    x = F.transform("e", lambda v: F.col("n") * v - F.col("s"))
-    long = rows.select("vid", "nsxx", "n", F.posexplode(x).alias("a", "x"))
-    signs = F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda p: probe_sign(F.col("vid"), p))
-    spread = long.withColumn("signs", signs).select("a", "x", F.posexplode("signs").alias("probe", "sign"))
-    total = spread.groupBy("probe", "a").agg(F.sum(F.col("x") * F.col("sign")).alias("t"))
-    back = long.join(total, "a").groupBy("vid", "probe").agg(F.sum((F.col("x") * F.col("t")).cast("decimal(38,0)")).alias("p"), F.max("nsxx").alias("nsxx"), F.max("n").alias("n"))
-    # scaled by the variant's own norm; the probe's side keeps its raw scale
-    return back.withColumn("y", F.pow(F.col("p").cast("double") / F.sqrt(F.col("nsxx").cast("double") * F.col("n")), 2))
+    """Probe values (vid, probe, y): y = (x_i' sum_j x_j sign_jv)**2 with whole-number rows x = n e - s, scaled by the
+    variant's own norm. Two passes of block products for each group of probes: variants to (sample, probe), a matrix of at
+    most CELLS numbers, and back."""
+    rows = dense_moments(panel).select("vid", "n", "s", "nsxx", "e")
+    samples = panel.agg(F.max(F.size("e"))).first()[0] or 0
+    group = max(1, min(probes, CELLS // max(samples, 1)))
+    parts = []
+    for first in range(0, probes, group):
+        some = range(first, min(first + group, probes))
+        signs = F.array(*[probe_sign(F.col("vid"), F.lit(p)) for p in some])
+
+        def whole(batch: pa.RecordBatch) -> np.ndarray:
+            n, s = (batch.column(i).to_numpy().astype(np.float64)[:, None] for i in (1, 2))
+            return n * _matrix(batch.column(4)) - s
+
+        shared = panel.sparkSession.sparkContext.broadcast(_summed(rows.withColumn("signs", signs), samples, len(some), lambda batch: whole(batch).T @ _matrix(batch.column(5))))
+
+        def back(batches: Iterator[pa.RecordBatch], shared=shared, some=some) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    n, nsxx = (batch.column(i).to_numpy().astype(np.float64)[:, None] for i in (1, 3))
+                    y = (whole(batch) @ shared.value / np.sqrt(nsxx * n)) ** 2
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(some))), pa.array(np.tile(np.arange(some.start, some.stop), len(y)), pa.int32()), pa.array(y.ravel())], ["vid", "probe", "y"])
+
+        parts.append(rows.mapInArrow(back, "vid long, probe int, y double"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def probe_variance(values: DataFrame) -> DataFrame:

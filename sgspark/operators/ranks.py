@@ -30,8 +30,9 @@ def auc(rows: DataFrame, value: str, case: str, strata: list[str]) -> DataFrame:
     all rows and within cases and controls. Strata without both kinds are left out."""
     all_ranks = average_ranks(rows, value, strata).withColumnRenamed("rank", "r").drop("n")
     own = average_ranks(all_ranks, value, [*strata, case]).withColumnRenamed("n", "n_own")
-    w = W.partitionBy(*strata)
-    own = own.withColumns({"n1": F.sum(case).over(w), "n0": F.sum(1 - F.col(case)).over(w)}).where("n1 > 1 and n0 > 1")
+    # one row a stratum, joined back: no stratum is held by a task
+    sizes = rows.groupBy(*strata).agg(F.sum(case).alias("n1"), F.sum(1 - F.col(case)).alias("n0")).where("n1 > 1 and n0 > 1")
+    own = own.join(sizes, strata)
     place = F.when(F.col(case) == 1, (F.col("r") - F.col("rank")) / F.col("n0")).otherwise(1 - (F.col("r") - F.col("rank")) / F.col("n1"))
     own = own.withColumn("v", place)
     mean1, var1 = F.avg(F.when(F.col(case) == 1, F.col("v"))), F.var_samp(F.when(F.col(case) == 1, F.col("v")))

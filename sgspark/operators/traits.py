@@ -154,10 +154,10 @@ def combined_pairs(cohorts: DataFrame) -> DataFrame:
 def hc3(rows: DataFrame, x: str, y: str, strata: list[str]) -> DataFrame:
     """By stratum: least-squares slope of y on x with an intercept, its HC3 standard error, and z. Rows of leverage 1 add
     nothing; strata in which x doesn't vary are left out."""
-    w = W.partitionBy(*strata)
-    n, mx, my = F.count("*").over(w), F.avg(x).over(w), F.avg(y).over(w)
-    rows = rows.withColumns({"_n": n, "_x": F.col(x) - mx, "_y": F.col(y) - my})
-    rows = rows.withColumns({"_xx": F.sum(F.col("_x") ** 2).over(w), "_xy": F.sum(F.col("_x") * F.col("_y")).over(w)}).where("_xx > 0")
+    first = rows.groupBy(*strata).agg(F.count("*").alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    rows = rows.join(first, strata).withColumns({"_x": F.col(x) - F.col("_mx"), "_y": F.col(y) - F.col("_my")})
+    second = rows.groupBy(*strata).agg(F.sum(F.col("_x") ** 2).alias("_xx"), F.sum(F.col("_x") * F.col("_y")).alias("_xy")).where("_xx > 0")
+    rows = rows.join(second, strata)
     rows = rows.withColumn("_b", F.col("_xy") / F.col("_xx")).withColumn("_h", 1 / F.col("_n") + F.col("_x") ** 2 / F.col("_xx"))
     part = F.when(F.col("_h") < 1, (F.col("_x") * (F.col("_y") - F.col("_b") * F.col("_x")) / (1 - F.col("_h"))) ** 2).otherwise(0.0)
     out = rows.groupBy(*strata).agg(F.max("_n").alias("n"), F.max("_b").alias("slope"), (F.sqrt(F.sum(part)) / F.max("_xx")).alias("se"))

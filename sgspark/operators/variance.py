@@ -85,17 +85,16 @@ def overlap_covariance(samples: DataFrame, one: str, two: str) -> DataFrame:
 
 def ldsc(rows: DataFrame, rounds: int = 3) -> DataFrame:
     """LD-score regression with a fixed intercept, reweighted ``rounds`` times: regress y - 1 on n l / M by trait with
-    weights 1 / (2 (1 + clip(h, 0, 1) n / M max(l, 1))**2 max(l, 1)). Each round is an aggregate; the estimate travels as a
-    window over the trait, nothing is collected. Returns trait, m, h2."""
-    w = W.partitionBy("trait")
-    rows = rows.withColumns({"_M": F.count("*").over(w).cast("double"), "_q": F.col("y") - 1})
-    rows = rows.withColumns({"_x": F.col("n_star") * F.col("l2_base") / F.col("_M"), "_l": F.greatest(F.col("l2_base"), F.lit(1.0))})
-    rows = rows.withColumn("_h", F.col("_M") * F.sum("_q").over(w) / (F.col("n_star") * F.sum("l2_base").over(w)))
+    weights 1 / (2 (1 + clip(h, 0, 1) n / M max(l, 1))**2 max(l, 1)). Each round is one aggregate over the variants, of
+    which a row a trait goes back to them by a broadcast; nothing is collected. Returns trait, m, h2."""
+    n, q, ld = F.col("n_star"), F.col("y") - 1, F.col("l2_base")
+    state = rows.groupBy("trait").agg(F.count("*").cast("double").alias("_M"), (F.count("*") * F.sum(q) / (F.max("n_star") * F.sum(ld))).alias("_h"))
+    floor = F.greatest(ld, F.lit(1.0))
     for _ in range(rounds):
-        mean = 1 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_h"))) * F.col("n_star") / F.col("_M") * F.col("_l")
-        rows = rows.withColumn("_w", 1 / (2 * F.greatest(mean, F.lit(1e-3)) ** 2 * F.col("_l")))
-        rows = rows.withColumn("_h", F.sum(F.col("_w") * F.col("_x") * F.col("_q")).over(w) / F.sum(F.col("_w") * F.col("_x") * F.col("_x")).over(w))
-    return rows.groupBy("trait").agg(F.count("*").alias("m"), F.max("_h").alias("h2"))
+        mean = 1 + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_h"))) * n / F.col("_M") * floor
+        w, x = 1 / (2 * F.greatest(mean, F.lit(1e-3)) ** 2 * floor), n * ld / F.col("_M")
+        state = rows.join(F.broadcast(state), "trait").groupBy("trait", "_M").agg((F.sum(w * x * q) / F.sum(w * x * x)).alias("_h"))
+    return state.select("trait", F.col("_M").cast("long").alias("m"), F.col("_h").alias("h2"))
 
 
 def h2_tau(rows: DataFrame, one: str, two: str) -> DataFrame:

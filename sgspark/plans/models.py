@@ -195,7 +195,7 @@ def box_cox(spark: SparkSession, d: str) -> DataFrame:
     """The transform of the order totals and its derivatives by the power, at 1/2."""
     rows = tables.read(spark, d, "orders").select("o_orderkey", (F.log("o_totalprice") - 10).alias("t"))
     values = transforms.box_cox_derivatives(F.col("t"), 0.5, 2)
-    return rows.select("o_orderkey", *[F.round(v, 8).alias(f"b{k}") for k, v in enumerate(values)])
+    return rows.select("o_orderkey", *[(F.round(v, 8) + 0.0).alias(f"b{k}") for k, v in enumerate(values)])
 
 
 @query
@@ -273,10 +273,10 @@ def read_bed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def read_ld_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = base.ld_score_window(spark, d).join(tables.variants(spark, d).select("idx", "chr", "snp", "bp"), "idx")
+    rows = tables.variants(spark, d).withColumns({"l2_base": F.col("price") / 1000, "l2_low": F.col("idx") % 8 / 8})
     path = f"{checkpointed(spark).rstrip('/')}/texts/ld-{uuid.uuid4().hex}"
     files.write_ld_scores(rows.select("chr", "snp", "bp", "l2_base", "l2_low"), path)
-    return rounded(files.ld_scores(spark, path), 4, "l2_base", "l2_low")
+    return rounded(files.ld_scores(spark, path), 3, "l2_base", "l2_low")
 
 
 @query

@@ -264,7 +264,7 @@ ORACLE_SQL = {
     ),
     "ld_curve_smooth": sql("SELECT a.cell, round(avg(b.mean_r2), 9) AS smooth FROM lc a JOIN lc b ON abs(a.cell - b.cell) <= greatest(1.5, 0.1 * a.cell) GROUP BY a.cell", lc=f"SELECT * FROM ({FIRST['ld_curve_cells']})"),
     "box_cox": sql(
-        "SELECT o_orderkey, round(t * i0, 8) AS b0, round(power(t, 2) * i1, 8) AS b1, round(power(t, 3) * i2, 8) AS b2 FROM b3",
+        "SELECT o_orderkey, round(t * i0, 8) + 0.0 AS b0, round(power(t, 2) * i1, 8) + 0.0 AS b1, round(power(t, 3) * i2, 8) + 0.0 AS b2 FROM b3",
         b0="SELECT o_orderkey, ln(o_totalprice) - 10 AS t, (ln(o_totalprice) - 10) * 0.5 AS x FROM orders",
         b1=f"SELECT *, {_I0} AS i0 FROM b0",
         b2=f"SELECT *, CASE WHEN abs(x) <= 0.5 THEN {_SERIES(1)} ELSE (exp(x) - i0) / x END AS i1 FROM b1",
@@ -278,7 +278,7 @@ ORACLE_SQL = {
     "read_psam": sql("SELECT 'f' || nation AS fid, 'i' || sid AS iid FROM s"),
     "read_pairs": sql("SELECT least('i' || a, 'i' || b) AS iid1, greatest('i' || a, 'i' || b) AS iid2, (a % 50) / 100.0::DOUBLE AS kinship FROM pair WHERE a % 50 >= 5"),
     "read_bed": sql("SELECT row_number() OVER (ORDER BY vid) - 1 AS idx, CAST(sum(((x % 4) + 4) % 4 - 1) AS BIGINT) AS total, CAST(count(*) FILTER (((x % 4) + 4) % 4 = 0) AS INTEGER) AS missing FROM e GROUP BY vid"),
-    "read_ld_scores": sql("SELECT CAST(chr AS INTEGER) AS chr, snp, bp, round(round(round(l2_base, 8), 6), 4) AS l2_base, round(round(round(l2_low, 8), 6), 4) AS l2_low FROM l2 JOIN v USING (idx)", **band(WIDTH)),
+    "read_ld_scores": sql("SELECT CAST(chr AS INTEGER) AS chr, snp, bp, round(price / 1000.0::DOUBLE, 3) AS l2_base, round((idx % 8) / 8.0::DOUBLE, 3) AS l2_low FROM v"),
     "read_sumstats": sql("SELECT trait, 'rs' || idx AS snp, CAST(n AS DOUBLE) AS n, round(beta, 6) AS beta, CASE WHEN idx % 13 > 0 THEN round(se, 6) END AS se FROM gw WHERE trait = 'y1'"),
     "read_phenotypes": sql("SELECT 'f' || nation AS fid, 'i' || sid AS iid, 'a' AS trait, CAST(y1 AS DOUBLE) AS y FROM s WHERE sid % 7 > 0 AND y1 <> -9 UNION ALL SELECT 'f' || nation, 'i' || sid, 'b', CAST(y2 AS DOUBLE) FROM s WHERE sid % 5 > 0 AND y2 <> -9"),
     "read_covariates": sql(

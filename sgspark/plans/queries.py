@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.operators import axes, gwas, ldscore, ranks, relatives, segments, solve, traits, variance
@@ -542,7 +541,8 @@ def rollup_annotations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def trait_order(spark: SparkSession, d: str) -> DataFrame:
     """Samples on one axis for all traits, and how many of each trait's values rank above the trait's median."""
-    rows = tables.phenotypes(spark, d).withColumn("above", F.col("y") > F.percentile("y", F.lit(0.5)).over(W.partitionBy("trait")))
+    middle = tables.phenotypes(spark, d).groupBy("trait").agg(F.percentile("y", F.lit(0.5)).alias("middle"))
+    rows = tables.phenotypes(spark, d).join(F.broadcast(middle), "trait").withColumn("above", F.col("y") > F.col("middle"))
     return rows.groupBy("trait").agg(F.count("*").alias("n"), F.sum(F.col("above").cast("long")).alias("above"), F.min("sid").alias("first"))
 
 
