@@ -63,10 +63,11 @@ def replicate_sums(unit_sums: DataFrame, columns: list[str], keys: list[str] = (
 
 def jackknife(replicates: DataFrame, value: str, full: str, size: str, keys: list[str]) -> DataFrame:
     """Delete-one SE for units of unequal size: pseudovalues ((M*full - (M-m)*value) / m), weights w = m/M,
-    variance sum(w**2/(1-w) * (pv - centre)**2) about the weighted centre. Units of size 0 don't count."""
+    variance sum(w**2/(1-w) * (pv - centre)**2) about the weighted centre. Units of size 0 don't count; of one unit there is
+    no error (null)."""
     w = W.partitionBy(*keys)
     rows = replicates.where(F.col(size) > 0).withColumn("_M", F.sum(size).over(w).cast("double"))
     rows = rows.withColumn("_w", F.col(size) / F.col("_M")).withColumn("_pv", (F.col("_M") * F.col(full) - (F.col("_M") - F.col(size)) * F.col(value)) / F.col(size))
     rows = rows.withColumn("_c", F.sum(F.col("_w") * F.col("_pv")).over(w))
-    variance = F.sum(F.col("_w") * F.col("_w") / (1 - F.col("_w")) * (F.col("_pv") - F.col("_c")) ** 2)
+    variance = F.sum(F.try_divide(F.col("_w") * F.col("_w"), 1 - F.col("_w")) * (F.col("_pv") - F.col("_c")) ** 2)
     return rows.groupBy(*keys).agg(F.count("*").alias("n_units"), F.max(full).alias("estimate"), F.sqrt(variance).alias("se"))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -66,14 +67,20 @@ def test_window_scores_against_numpy(spark):
     assert np.allclose(got, (adjusted * near).sum(1))
 
 
-def test_dense_scores_against_numpy(spark):
+@pytest.mark.parametrize("tile,cells", [(2048, 1 << 22), (3, 20)])
+def test_dense_scores_against_numpy(spark, monkeypatch, tile, cells):
+    monkeypatch.setattr(ldscore, "TILE", tile)
+    monkeypatch.setattr(ldscore, "CELLS", cells)
     rng = np.random.default_rng(3)
     x = rng.integers(-50, 50, (30, 8))
     panel = spark.createDataFrame([(i, 0, [int(v) for v in row]) for i, row in enumerate(x)], "vid long, label int, e array<long>")
     got = ldscore.gram_scores(panel).orderBy("vid").toPandas()["raw"].to_numpy()
     assert np.allclose(got, (np.corrcoef(x) ** 2).sum(1))
-    cells = ldscore.gram_cells(panel).orderBy("vid").toPandas()["raw"].to_numpy()
-    assert np.allclose(cells, got) and ldscore.gram_scores(panel.limit(0)).count() == 0
+    assert ldscore.gram_scores(panel.limit(0)).count() == 0
+    values = ldscore.sketch(panel, 5).toPandas().pivot(index="vid", columns="probe", values="y").to_numpy()
+    signs = np.array([[1 if hashlib.md5(f"{i}:{p}".encode()).hexdigest()[0] < "8" else -1 for p in range(5)] for i in range(30)])
+    centred = 8 * x - x.sum(1, keepdims=True)
+    assert np.allclose(values, (centred @ (centred.T @ signs)) ** 2 / (centred**2).sum(1, keepdims=True))
 
 
 def test_h2_recovers_planted_signal(spark):
