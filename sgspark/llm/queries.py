@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.llm import classifiers, decontaminate, embeddings, html_extract, lines, mixing, near_documents, substrings, tokens
+from sgspark.llm import classifiers, decontaminate, embeddings, html_extract, lines, mixing, near_documents, pieces, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,21 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def piece_model() -> str:
+    """The public merge-type model's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, with an end id, and what they decode to."""
+    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()
+    coded = pieces.decoded(pieces.encoded(docs, model).select("doc_id", "ids"), model)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of every document that repeat in the corpus."""
     cut = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -191,6 +206,6 @@ SELECT v.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, c.component_id, v.
 """
 
 
-QUERIES = {"op6_embeddings": op6_embeddings, "op10_lines": op10_lines, "op2_ngram_join": op2_ngram_join, "op7_substrings": op7_substrings, "op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality}
+QUERIES = {"op6_embeddings": op6_embeddings, "op10_lines": op10_lines, "op2_ngram_join": op2_ngram_join, "op7_substrings": op7_substrings, "op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality, "op11_sentencepiece": op11_sentencepiece}
 
 ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op10_lines": OP10_SQL, "op7_substrings": OP7_SQL, "op9_decontaminate": OP9_SQL}
