@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.llm import classifiers, decontaminate, embeddings, html_extract, lines, mixing, near_documents, pieces, substrings, tokens
+from sgspark.llm import classifiers, decontaminate, divergence, embeddings, html_extract, lines, mixing, near_documents, negatives, pieces, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,55 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ from each other, and each one's terms."""
+    return divergence.audited(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, rid, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+vs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+ns AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (coalesce(ns.n, 0) + vs.v) AS HUGEINT) AS p,
+  CAST(1 + 1000000000::HUGEINT * (k.total + 1) // (vs.n + vs.v) AS HUGEINT) AS q
+  FROM g JOIN kept k USING (lang) JOIN vs USING (lang) LEFT JOIN ns ON ns.lang = g.lang AND ns.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+tm AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pr UNION ALL FROM tm))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives among all vectors."""
+    vectors, moved = table(spark, sf_dir, "embeddings"), (F.col("label") + 1) % 10
+    vectors = vectors.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")).alias("label"))
+    return negatives.mined(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * CAST(x AS DOUBLE)))) = 0),
+s AS (SELECT a.rid AS a, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid AS b, b.vec_id AS id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rid <> b.rid AND len(a.q) = len(b.q)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id, s.b) AS INTEGER) AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of every document that repeat in the corpus."""
     cut = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -206,6 +255,6 @@ SELECT v.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, c.component_id, v.
 """
 
 
-QUERIES = {"op6_embeddings": op6_embeddings, "op10_lines": op10_lines, "op2_ngram_join": op2_ngram_join, "op7_substrings": op7_substrings, "op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality, "op11_sentencepiece": op11_sentencepiece}
+QUERIES = {"op6_embeddings": op6_embeddings, "op10_lines": op10_lines, "op2_ngram_join": op2_ngram_join, "op7_substrings": op7_substrings, "op3_tokens": op3_tokens, "op5_html": op5_html, "op4_mixing": op4_mixing, "op9_decontaminate": op9_decontaminate, "op1_toxicity": op1_toxicity, "op8_quality": op8_quality, "op11_sentencepiece": op11_sentencepiece, "op12_divergence": op12_divergence, "op13_negatives": op13_negatives}
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op10_lines": OP10_SQL, "op7_substrings": OP7_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op10_lines": OP10_SQL, "op7_substrings": OP7_SQL, "op9_decontaminate": OP9_SQL, "op12_divergence": OP12_SQL, "op13_negatives": OP13_SQL}
