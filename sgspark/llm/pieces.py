@@ -11,9 +11,8 @@ their joined text anew must give the two back. So a text is walked from its star
    a place are the only ones that can stand there, so a failed place fails for good, and the walk is linear.
 
 Pieces that merging never makes (their own text merges to something else) are left out. Characters without a piece
-become their bytes, or the unknown id where the vocabulary has no byte pieces. Two neighbours that occur side by side in
-no piece are never merged across, so texts are cut there, first before runs of space marks; short cuts are remembered by a
-worker.
+become their bytes, or the unknown id where the vocabulary has no byte pieces. Characters that no chain of pieces connects
+are never merged, so texts are cut between them and before runs of space marks; short cuts are remembered by a worker.
 
 Null and empty texts encode to the end id alone and decode to an empty text. Texts of any length are encoded whole; a
 row, with its ids, has to fit a worker. Repeated rows are repeated, no rows give no rows, and columns of the input that
@@ -25,8 +24,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -40,6 +39,29 @@ CUTS, PAIRS, CUT_LENGTH = 400_000, 1_000_000, 32
 BATCH = 64
 
 
+def _cuts(joins: set[str]) -> str:
+    """A pattern of parts of a text that are never merged with each other: space marks, then characters of one component
+    of the graph of those that stand side by side (joins) in a piece. Where pieces have marks elsewhere than at their start,
+    these are all characters of joins."""
+    if any(x[1] == MARK != x[0] for x in joins):
+        return f"[{re.escape(''.join(sorted({c for x in joins for c in x})))}]+|."
+    root: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for a, b in joins:
+        if a != MARK:
+            root[top(a)] = top(b)
+    kinds: dict[str, list[str]] = {}
+    for c in sorted(root):
+        kinds.setdefault(top(c), []).append(c)
+    of_kind = [f"[{re.escape(''.join(x))}]+" for x in sorted(kinds.values(), key=len, reverse=True)]
+    return f"{MARK}*+(?:{'|'.join([*of_kind, f'[^{MARK}]'])})|{MARK}+"
+
+
 class Pieces:
     """The pieces of a model and what encoding has found out about them so far."""
 
@@ -62,19 +84,18 @@ class Pieces:
             self.id[c] = len(self.text)
             self.text.append(c)
         self.size = [len(t) for t in self.text]
-        self.joins = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id.items():
             if len(piece) > 1:
                 self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         self.plain = self.score.keys() >= self.id.keys()
-        inner = any(x[1] == MARK != x[0] for x in self.joins)
-        self.cuts = re.compile("(?s:.+)" if inner else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.cuts = re.compile(_cuts({p[k : k + 2] for p in self.score for k in range(len(p) - 1)}), re.DOTALL)
         self._next: dict[int, int] = {}
         self._pairs: dict[int, bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._end = array("i", [self.end]).tobytes()
 
     def merged(self, text: str) -> list[str]:
         """The text's characters merged by score, as the definition says; for short texts."""
@@ -139,46 +160,45 @@ class Pieces:
             before = out[-1] if out else -1
             i = self.shorter(i)
 
-    def _part(self, text: str) -> tuple[int, ...]:
-        """Ids of a text within which each two neighbours occur in some piece."""
-        if len(text) == 1 and text not in self.id:
-            return self._bytes(text)
-        made = tuple(self.walked(text))
-        if self.plain:
-            return made
-        return tuple(x for i in made for x in ([i] if self.text[i] in self.score else self._bytes(self.text[i])))
-
-    def _bytes(self, text: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in text.encode()) if self.fallback else (self.unknown,)
+    def _plain(self, text: str) -> bytes:
+        """A character that isn't a piece."""
+        return np.array([self.bytes[b] for b in text.encode()] if self.fallback else [self.unknown], "<i4").tobytes()
 
-    def ids(self, text: str) -> tuple[int, ...]:
-        """Ids of a cut of a normalised text."""
+    def _ids(self, text: str) -> bytes:
+        """Ids of a cut of a normalised text, 4 bytes each."""
         found = self._older.get(text)
         if found is None:
-            joins = self.joins
-            cuts = [k for k, join in enumerate(map(add, text, text[1:]), 1) if join not in joins]
-            if cuts:
-                known, found, start = self._known, (), 0
-                for k in (*cuts, len(text)):
-                    part, start = text[start:k], k
-                    found += known.get(part) or self.ids(part)
+            own = len(text) if text[-1] in self.id else len(text) - 1  # a character in no piece ends its cut
+            made = self.walked(text[:own]) if own else []
+            if self.plain:
+                found = array("i", made).tobytes()
             else:
-                found = self._part(text)
+                found = b"".join(array("i", [i]).tobytes() if self.text[i] in self.score else self._plain(self.text[i]) for i in made)
+            if own < len(text):
+                found += self._plain(text[-1])
         if len(text) <= CUT_LENGTH:
             if len(self._known) >= CUTS:
                 self._known, self._older = {}, self._known
             self._known[text] = found
         return found
 
-    def encoded(self, text: str) -> list[int]:
+    def encoded(self, text: str) -> np.ndarray:
         """Ids of a text, with the end id."""
-        ids: list[int] = []
-        for cut in self.cuts.findall(self.model.normalize(text)):
-            ids += self._known.get(cut) or self.ids(cut)
-        if not self.fallback and self.unknown in ids:  # characters without a piece in a row are one unknown
-            ids = [x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x]
-        ids.append(self.end)
-        return ids
+        cuts = self.cuts.findall(self.model.normalize(text))
+        ids = list(map(self._known.get, cuts))
+        if None in ids:
+            for k, found in enumerate(ids):
+                if found is None:
+                    ids[k] = self._known.get(cuts[k]) or self._ids(cuts[k])
+        ids.append(self._end)
+        out = np.frombuffer(b"".join(ids), "<i4")
+        if not self.fallback:  # characters without a piece in a row are one unknown
+            unknown = out == self.unknown
+            out = out[~(unknown & np.concatenate([[False], unknown[:-1]]))]
+        return out
+
+    def decoded(self, ids: np.ndarray) -> str:
+        return self.model.decode(ids.tolist()) or ""
 
 
 _loaded: dict[int, Pieces] = {}
@@ -192,42 +212,46 @@ def loaded(model: bytes) -> Pieces:
     return _loaded[at]
 
 
-def _schema(df: DataFrame, column: str, kind: str):
+def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the column ``ids`` (array<int>) of their texts' ids and an end id, and, if named, a column of what these
+    decode to, in the same pass."""
     from pyspark.sql.types import StructType
 
-    kept = [i for i, c in enumerate(df.columns) if c != column]
-    return kept, StructType([df.schema[i] for i in kept] + StructType.fromDDL(f"{column} {kind}").fields)
-
-
-def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the column ``ids`` (array<int>) of their texts' ids and an end id."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     at = docs.columns.index(text)
-    kept, schema = _schema(docs, ids, "array<int>")
+    kept = [i for i, c in enumerate(docs.columns) if c not in (ids, decoded)]
+    schema = StructType([docs.schema[i] for i in kept] + StructType.fromDDL(f"{ids} array<int>" + (f", {decoded} string" if decoded else "")).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
-                made = pa.array([array("i", pieces.encoded(t.as_py() or "")) for t in part.column(at)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), made], schema.names)
+                made = [pieces.encoded(t.as_py() or "") for t in part.column(at)]
+                offsets = np.cumsum([0, *map(len, made)], dtype=np.int32)
+                columns = [*(part.column(i) for i in kept), pa.ListArray.from_arrays(offsets, np.concatenate(made))]
+                if decoded:
+                    columns.append(pa.array([pieces.decoded(x) for x in made], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return map_arrow(docs, run, schema)
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the column ``text`` of what their ids say; null ids say nothing."""
+    from pyspark.sql.types import StructType
+
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary(path))
     at = rows.columns.index(ids)
-    kept, schema = _schema(rows, text, "string")
+    kept = [i for i, c in enumerate(rows.columns) if c != text]
+    schema = StructType([rows.schema[i] for i in kept] + StructType.fromDDL(f"{text} string").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = loaded(shared.value).model
+        pieces = loaded(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
-                made = pa.array([model.decode(x.as_py() or []) or "" for x in part.column(at)], pa.string())
+                made = pa.array([pieces.decoded(np.asarray(x.as_py() or [], "<i4")) for x in part.column(at)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), made], schema.names)
 
     return map_arrow(rows, run, schema)

@@ -120,7 +120,7 @@ def piece_model() -> str:
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, with an end id, and what they decode to."""
     docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()
-    coded = pieces.decoded(pieces.encoded(docs, model).select("doc_id", "ids"), model)
+    coded = pieces.encoded(docs, model, decoded="decoded")
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
