@@ -171,9 +171,10 @@ def same_person(diagonals: DataFrame) -> DataFrame:
     return left.join(diagonals.select("sid", F.col("p").alias("s"), F.col("value").alias("_y")), "sid").groupBy("p", "s").agg(F.sum(F.col("_x") * F.col("_y")).alias("value"))
 
 
-def transferred(gram: DataFrame, same: DataFrame, reference_n: int, study_n: int, study_same: DataFrame | None = None, correction: DataFrame | None = None) -> DataFrame:
+def transferred(gram: DataFrame, same: DataFrame, reference_n: int | Column, study_n: int | Column, study_same: DataFrame | None = None, correction: DataFrame | None = None) -> DataFrame:
     """A reference's Gram (p, s, value) carried to a study: D_S + f (T_R - D_R) + correction with
-    f = n_S (n_S - 1) / (n_R (n_R - 1)); without the study's own D_S the reference's scaled by n_S / n_R."""
+    f = n_S (n_S - 1) / (n_R (n_R - 1)); without the study's own D_S the reference's scaled by n_S / n_R. The sizes are
+    numbers or columns of gram."""
     f = study_n * (study_n - 1) / (reference_n * (reference_n - 1))
     rows = gram.join(same.withColumnRenamed("value", "_d"), ["p", "s"])
     own = F.col("_d") * (study_n / reference_n)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sgspark.functions.linear import solve
+from sgspark.operators import blocks
 
 
 def band_pairs(axis: DataFrame, width: int, place: str = "pos") -> DataFrame:
@@ -64,107 +60,21 @@ def dense_moments(panel: DataFrame) -> DataFrame:
     return rows.withColumn("nsxx", F.col("n") * F.col("q") - F.col("s") * F.col("s")).where("nsxx > 0").drop("q")
 
 
-#: Samples by samples of a tile of their product matrix, and numbers of a matrix that tasks sum (32 MB).
-TILE, CELLS = 2048, 1 << 22
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _standardised(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows (n e - s) / sqrt(n nsxx) of a batch vid, n, s, nsxx, e."""
-    n, s, nsxx = (batch.column(i).to_numpy().astype(np.float64)[:, None] for i in (1, 2, 3))
-    return (n * _matrix(batch.column(4)) - s) / np.sqrt(n * nsxx)
-
-
-def _summed(rows: DataFrame, lines: int, width: int, make: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum over all batches of the matrices (lines, width) that ``make`` gives, at most CELLS numbers: summed within each
-    task first, then line by line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((lines, width))
-        for batch in batches:
-            if batch.num_rows:
-                total += make(batch)
-        some = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(total[some]), pa.list_(pa.float64()))], ["line", "x"])
-
-    cells = rows.mapInArrow(run, "line long, x array<double>").select("line", F.posexplode("x").alias("cell", "v")).groupBy("line", "cell").agg(F.sum("v").alias("v"))
-    out = np.zeros((lines, width))
-    for r in cells.where("v <> 0").toLocalIterator():
-        out[r["line"], r["cell"]] = r["v"]
-    return out
+#: Samples of a block of samples, and numbers of a matrix that a task sums at once.
+TILE, CELLS = blocks.SAMPLES, blocks.SAMPLES * blocks.COLUMNS
 
 
 def gram_scores(panel: DataFrame) -> DataFrame:
-    """Exact LD scores against all variants of a dense panel, without a pair of variants ever being a row.
-
-    sum_j r_ij**2 = x_i' (sum_j x_j x_j') x_i for standardised rows x: the samples' product matrix is a sum over variants,
-    samples being the short axis, and each variant is then a quadratic form. The matrix is made tile by tile (TILE samples
-    a side, two passes over the panel for each tile on or above the diagonal), so that neither tasks nor the driver hold
-    more than a tile, whatever the number of samples."""
-    rows = dense_moments(panel).select("vid", "n", "s", "nsxx", "e")
-    samples = panel.agg(F.max(F.size("e"))).first()[0] or 0
-    starts = range(0, max(samples, 1), TILE)
-    return_type = "vid long, raw double, n long"
-    parts = []
-    for a in starts:
-        for b in starts:
-            if b < a:
-                continue
-            left, right = slice(a, min(a + TILE, samples)), slice(b, min(b + TILE, samples))
-
-            def products(batch: pa.RecordBatch, left=left, right=right) -> np.ndarray:
-                z = _standardised(batch)
-                return z[:, left].T @ z[:, right]
-
-            shared = panel.sparkSession.sparkContext.broadcast(_summed(rows, left.stop - left.start, right.stop - right.start, products))
-
-            def forms(batches: Iterator[pa.RecordBatch], left=left, right=right, shared=shared, times=1 if a == b else 2) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if batch.num_rows:
-                        z = _standardised(batch)
-                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(times * np.einsum("ij,ij->i", z[:, left] @ shared.value, z[:, right])), batch.column(1)], ["vid", "raw", "n"])
-
-            parts.append(rows.mapInArrow(forms, return_type))
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionAll, parts).groupBy("vid").agg(F.sum("raw").alias("raw"), F.max("n").alias("n"))
-
-
-def probe_sign(variant: Column, probe: Column) -> Column:
-    """A sign that depends on the variant's and the probe's number only, the same on every machine."""
-    return F.when(F.substring(F.md5(F.concat(variant, F.lit(":"), probe).cast("binary")), 1, 1) < "8", 1).otherwise(-1).cast("long")
+    """(vid, raw, n): exact LD scores against all variants of a dense panel; see blocks.exact."""
+    rows = dense_moments(panel).select("vid", "e", "n")
+    return blocks.exact(rows, side=TILE).join(rows.select("vid", "n"), "vid")
 
 
 def sketch(panel: DataFrame, probes: int) -> DataFrame:
-    """Probe values (vid, probe, y): y = (x_i' sum_j x_j sign_jv)**2 with whole-number rows x = n e - s, scaled by the
-    variant's own norm. Two passes of block products for each group of probes: variants to (sample, probe), a matrix of at
-    most CELLS numbers, and back."""
-    rows = dense_moments(panel).select("vid", "n", "s", "nsxx", "e")
-    samples = panel.agg(F.max(F.size("e"))).first()[0] or 0
-    group = max(1, min(probes, CELLS // max(samples, 1)))
-    parts = []
-    for first in range(0, probes, group):
-        some = range(first, min(first + group, probes))
-        signs = F.array(*[probe_sign(F.col("vid"), F.lit(p)) for p in some])
-
-        def whole(batch: pa.RecordBatch) -> np.ndarray:
-            n, s = (batch.column(i).to_numpy().astype(np.float64)[:, None] for i in (1, 2))
-            return n * _matrix(batch.column(4)) - s
-
-        shared = panel.sparkSession.sparkContext.broadcast(_summed(rows.withColumn("signs", signs), samples, len(some), lambda batch: whole(batch).T @ _matrix(batch.column(5))))
-
-        def back(batches: Iterator[pa.RecordBatch], shared=shared, some=some) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    n, nsxx = (batch.column(i).to_numpy().astype(np.float64)[:, None] for i in (1, 3))
-                    y = (whole(batch) @ shared.value / np.sqrt(nsxx * n)) ** 2
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(some))), pa.array(np.tile(np.arange(some.start, some.stop), len(y)), pa.int32()), pa.array(y.ravel())], ["vid", "probe", "y"])
-
-        parts.append(rows.mapInArrow(back, "vid long, probe int, y double"))
-    return reduce(DataFrame.unionAll, parts)
+    """Probe values (vid, probe, y): y = (x_i' sum_j x_j sign_jv)**2 with rows x = n e - s, scaled by the variant's own
+    norm, so that partners weigh by their own. See blocks."""
+    rows = dense_moments(panel).withColumn("weight", (F.col("n") * F.col("nsxx")).cast("double"))
+    return blocks.probe_values(rows, probes, "weight", TILE, max(1, CELLS // TILE))
 
 
 def probe_variance(values: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sgspark.functions import transforms
-from sgspark.operators import axes, components, contexts, gwas, ldsc, ldscore, ranks, segments, variance
+from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, ranks, segments, variance
 from sgspark.plans import queries as base
 from sgspark.plans.queries import BLOCKS, WIDTH, query, rounded
 from sgspark.session import checkpointed
@@ -130,10 +130,46 @@ def context_exposure(spark: SparkSession, d: str) -> DataFrame:
 def context_transfer(spark: SparkSession, d: str) -> DataFrame:
     """The exposure's Gram carried from all samples to half as many, with the smaller cohort's own same-person part."""
     own = contexts.fourth_moments(_basis(spark, d).where("sid % 2 = 0"), BASIS)
-    out = contexts.transferred(context_exposure(spark, d), context_fourth(spark, d), 1000, 500, study_same=own)
+    sizes = F.broadcast(_basis(spark, d).agg(F.count("*").alias("all"), F.count_if(F.col("sid") % 2 == 0).alias("half")))  # one row
+    out = contexts.transferred(context_exposure(spark, d).crossJoin(sizes), context_fourth(spark, d), F.col("all"), F.col("half"), study_same=own)
     return rounded(out, 4, "value")
 
 
+def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All variants' dosages in all samples as dense rows, with annotations, and the samples' covariates by number."""
+    people = tables.samples(spark, d).select(F.col("sid").cast("int").alias("k"), "nation", "y2", (2 * F.col("nation") - F.col("y2")).alias("both"))
+    axis = tables.variants(spark, d).select(F.col("idx").alias("vid"), F.lit(1).alias("base"), "low", "promo")
+    calls = tables.dosage(spark, d).select(F.col("idx").alias("vid"), F.col("sid").cast("int").alias("k"), "g")
+    return blocks.densified(calls, people.agg(F.max("k")).first()[0] + 1).join(axis, "vid"), people
+
+
+def _genomewide(spark: SparkSession, d: str) -> blocks.Scores:
+    panel, people = _panel(spark, d)
+    c = basis.orthonormal(people, ["nation", "y2", "both"])
+    return blocks.genomewide(panel, ["base", "low", "promo"], 8, c.rows, c.rank, weighted=True)
+
+
+@query
+def ld_genomewide(spark: SparkSession, d: str) -> DataFrame:
+    """LD scores of all pairs of variants in all samples by probes: covariates out, three overlapping annotations, partners
+    weighed by their share of variance."""
+    out = _genomewide(spark, d).scores
+    return rounded(out.select("vid", "v", "l2_base", "l2_low", "l2_promo", "var_base"), 7, "v", "l2_base", "l2_low", "l2_promo", "var_base")
+
+
+@query
+def ld_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """What the same scores say of each pair of annotations."""
+    return rounded(_genomewide(spark, d).corrections, 8, "r2", "mu22", "rho2", "bias", "delta")
+
+
+@query
+def covariate_leverage(spark: SparkSession, d: str) -> DataFrame:
+    """Leverages of the samples over three covariates, one of them a combination of the others, and the constant."""
+    c = basis.orthonormal(_panel(spark, d)[1], ["nation", "y2", "both"])
+    return c.rows.select("k", F.lit(c.rank).alias("rank"), F.round(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x), 10).alias("leverage"))
+
+
 @query
 def context_same_person(spark: SparkSession, d: str) -> DataFrame:
     """Same-person sums of three kernels' diagonals, given by sample."""

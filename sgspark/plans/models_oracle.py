@@ -161,11 +161,49 @@ def _feature(p: int) -> str:
     return f"{1 if a == b else 2} * {_BASIS[a]} * {_BASIS[b]}"
 
 
-_SECOND = " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, CAST(sum({_BASIS[a]} * {_BASIS[b]}) AS DOUBLE) AS value FROM s" for a in range(3) for b in range(3))
-_FOURTH = lambda where="": " UNION ALL ".join(f"SELECT {p} AS p, {q} AS s, CAST(sum({_feature(p)} * {_feature(q)}) AS DOUBLE) AS value FROM s{where}" for p in range(6) for q in range(6))
+
+
+def _unpivoted(first: str, second: str, cells: dict[tuple[int, int], str], source: str) -> str:
+    """One aggregate of all cells, as rows (first, second, value)."""
+    names = {k: f"c{k[0]}_{k[1]}" for k in cells}
+    made = ", ".join(f"CAST(sum({x}) AS DOUBLE) AS {names[k]}" for k, x in cells.items())
+    rows = [", ".join(map(str, x)) for x in ([k[0] for k in cells], [k[1] for k in cells], names.values())]
+    return f"SELECT unnest([{rows[0]}]) AS {first}, unnest([{rows[1]}]) AS {second}, unnest([{rows[2]}]) AS value FROM (SELECT {made} FROM {source})"
+
+
+_SECOND = _unpivoted("a", "b", {(a, b): f"{_BASIS[a]} * {_BASIS[b]}" for a in range(3) for b in range(3)}, "s")
+_FOURTH = lambda where="": _unpivoted("p", "s", {(p, q): f"{_feature(p)} * {_feature(q)}" for p in range(6) for q in range(6)}, f"s{where}")
 _TURNS = ", ".join(f"({p}, {x}, {y})" for p, (a, b) in enumerate(_PAIRS) for x, y in {(a, b), (b, a)})
-_EXPOSURE = f"""SELECT o.p, i.p AS s, sum(x.value * y.value) - max(f4.value) AS value FROM (VALUES {_TURNS}) o(p, a, b), (VALUES {_TURNS}) i(p, c, d) JOIN m2 x ON true JOIN m2 y ON true JOIN f4 ON true
-  WHERE x.a = o.a AND x.b = i.c AND y.a = o.b AND y.b = i.d AND f4.p = o.p AND f4.s = i.p GROUP BY 1, 2"""
+_EXPOSURE = f"""SELECT o.p, i.p AS s, sum(x.value * y.value) - max(f4.value) AS value FROM (VALUES {_TURNS}) o(p, a, b) CROSS JOIN (VALUES {_TURNS}) i(p, c, d)
+  JOIN m2 x ON x.a = o.a AND x.b = i.c JOIN m2 y ON y.a = o.b AND y.b = i.d JOIN f4 ON f4.p = o.p AND f4.s = i.p GROUP BY 1, 2"""
+
+# The panel of all variants and samples: covariates are taken out by one orthonormal vector after the other.
+_WIDE = {
+    "k0": "SELECT sid AS k, CAST(nation AS DOUBLE) AS c1, CAST(y2 AS DOUBLE) AS c2, 1 / sqrt(count(*) OVER ()) AS q0 FROM s",
+    "k1": "SELECT k, q0, c1 - avg(c1) OVER () AS d1, c2 - avg(c2) OVER () AS d2 FROM k0",
+    "k2": "SELECT k, q0, d1 / sqrt(sum(d1 * d1) OVER ()) AS q1, d2 FROM k1",
+    "k3": "SELECT k, q0, q1, d2 - q1 * sum(q1 * d2) OVER () AS e2 FROM k2",
+    "kq": "SELECT k, q0, q1, e2 / sqrt(sum(e2 * e2) OVER ()) AS q2 FROM k3",
+}
+_PROBED = _WIDE | {
+    "w0": "SELECT idx, sum(g * q0) AS w0, sum(g * q1) AS w1, sum(g * q2) AS w2, CAST(sum(g * g) AS DOUBLE) AS gg FROM d JOIN kq ON kq.k = d.sid GROUP BY idx",
+    "w1": "SELECT *, gg - w0 * w0 AS raw, gg - w0 * w0 - w1 * w1 - w2 * w2 AS rest FROM w0",
+    "nn": "SELECT CAST(count(*) AS DOUBLE) AS n FROM s",
+    "w": "SELECT w1.idx, w0, w1, w2, CASE WHEN rest > 1e-10 * raw THEN 1 / sqrt(rest) ELSE 0.0 END AS sc, CASE WHEN rest > 1e-10 * raw THEN least(1.0, rest / raw) ELSE 0.0 END * (n - 1) / (n - 3) AS v FROM w1 CROSS JOIN (SELECT n FROM nn)",
+    "an": "SELECT w.idx, w.v, unnest(['base', 'low', 'promo']) AS a, unnest([1, low, promo]) AS x FROM w JOIN v USING (idx)",
+    "u": "SELECT w.idx, kq.k, (coalesce(d.g, 0) - w0 * q0 - w1 * q1 - w2 * q2) * sc AS u FROM w CROSS JOIN kq LEFT JOIN d ON d.idx = w.idx AND d.sid = kq.k",
+    "z": "SELECT idx, p, CASE WHEN substr(md5(CAST(idx AS VARCHAR) || ':' || CAST(p AS VARCHAR)), 1, 1) < '8' THEN 1 ELSE -1 END AS z FROM (SELECT idx, unnest(range(8)) AS p FROM w)",
+    "sk": "SELECT a, p, k, sum(sqrt(x * v) * z * u) AS t FROM an JOIN z USING (idx) JOIN u USING (idx) WHERE x > 0 GROUP BY 1, 2, 3",
+    "y": "SELECT idx, a, p, power(sum(u * t), 2) AS y FROM u JOIN sk USING (k) GROUP BY 1, 2, 3",
+    "ms": "SELECT idx, a, avg(y) AS raw, var_samp(y) / 8 AS mc FROM y GROUP BY 1, 2",
+    "mm": "SELECT a, sum(x * v) AS m, CAST(sum(x) AS DOUBLE) AS c FROM an GROUP BY a",
+}
+_CORRECTED = _PROBED | {
+    "sq": "SELECT a, k, n * sum(x * v * u * u) / max(m) AS q FROM an JOIN u USING (idx) JOIN mm USING (a) CROSS JOIN nn GROUP BY a, k, n",
+    "mu": "SELECT i.a, j.a AS b, avg(i.q * j.q) AS mu22 FROM sq i JOIN sq j USING (k) GROUP BY 1, 2",
+    "ss": "SELECT an.a, ms.a AS b, sum(raw) AS s FROM an JOIN ms USING (idx) WHERE x > 0 GROUP BY 1, 2",
+    "co": "SELECT ss.a, ss.b, i.c AS m_a, j.c AS m_b, s, s / (i.c * j.c) AS r2, mu22, (power(n - 2, 2) * s / (i.c * j.c) - n * mu22) / (n * (n - 1)) AS rho2 FROM ss JOIN mm i ON i.a = ss.a JOIN mm j ON j.a = ss.b JOIN mu ON mu.a = ss.a AND mu.b = ss.b CROSS JOIN nn",
+}
 
 _GXE = {
     "px": "SELECT vid, k, z * sqrt(n - 1) AS x, CAST(k % 7 - 3 AS DOUBLE) AS e FROM ez",
@@ -225,9 +263,17 @@ ORACLE_SQL = {
     "context_fourth": sql("SELECT p, s, value FROM f4", f4=_FOURTH()),
     "context_exposure": sql("SELECT p, s, value FROM ex", m2=_SECOND, f4=_FOURTH(), ex=_EXPOSURE),
     "context_transfer": sql(
-        "SELECT p, s, round(o.value + 500 * 499 / (1000 * 999.0::DOUBLE) * (ex.value - f4.value), 4) AS value FROM ex JOIN f4 USING (p, s) JOIN fo o USING (p, s)",
+        "SELECT p, s, round(o.value + h * (h - 1) / (n * (n - 1)) * (ex.value - f4.value), 4) AS value FROM ex JOIN f4 USING (p, s) JOIN fo o USING (p, s) CROSS JOIN nh",
+        nh="SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (sid % 2 = 0) AS DOUBLE) AS h FROM s",
         m2=_SECOND, f4=_FOURTH(), fo=_FOURTH(" WHERE sid % 2 = 0"), ex=_EXPOSURE,
     ),
+    "ld_genomewide": sql(
+        """SELECT idx AS vid, round(v, 7) AS v, round(max(l2) FILTER (a = 'base'), 7) AS l2_base, round(max(l2) FILTER (a = 'low'), 7) AS l2_low, round(max(l2) FILTER (a = 'promo'), 7) AS l2_promo, round(max(mc) FILTER (a = 'base'), 7) AS var_base
+        FROM (SELECT ms.idx, w.v, ms.a, raw - m / (n - 3) AS l2, mc FROM ms JOIN w USING (idx) JOIN mm USING (a) CROSS JOIN nn) GROUP BY idx, v""",
+        **_PROBED,
+    ),
+    "ld_corrections": sql("SELECT a, b, m_a, m_b, round(r2, 8) AS r2, round(mu22, 8) AS mu22, round(rho2, 8) AS rho2, round(s - m_a * m_b * rho2, 8) AS bias, round(mu22 - 1 - 2 * rho2, 8) AS delta FROM co", **_CORRECTED),
+    "covariate_leverage": sql("SELECT CAST(k AS INTEGER) AS k, 3 AS rank, round(q0 * q0 + q1 * q1 + q2 * q2, 10) AS leverage FROM kq", **_WIDE),
     "context_same_person": sql(
         "SELECT a.p, b.p AS s, sum(a.x * b.x) AS value FROM dg a JOIN dg b USING (sid) GROUP BY 1, 2",
         dg="SELECT sid, unnest([0, 1, 2]) AS p, unnest([1.0::DOUBLE, CAST(env AS DOUBLE), CAST(\"case\" + 1 AS DOUBLE)]) AS x FROM s",
