@@ -12,7 +12,7 @@ from sgspark.operators import axes, basis, blocks, components, contexts, gwas, l
 from sgspark.plans import queries as base
 from sgspark.plans.queries import BLOCKS, WIDTH, query, rounded
 from sgspark.session import checkpointed
-from sgspark.sources import files, inputs, tables
+from sgspark.sources import files, genotypes, inputs, tables
 
 
 def _moments(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
@@ -307,6 +307,17 @@ def read_bed(spark: SparkSession, d: str) -> DataFrame:
     return got.select("idx", F.aggregate("calls", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size(F.filter("calls", lambda x: x < 0)).alias("missing"))
 
 
+@query
+def read_pgen(spark: SparkSession, d: str) -> DataFrame:
+    """Dosages written as a variable-width file; every second sample is read again, in blocks of variants."""
+    value = lambda x: F.when(F.pmod(x, F.lit(5)) == 0, F.lit(None)).when(F.pmod(x, F.lit(5)) < 4, F.pmod(x, F.lit(3)).cast("double")).otherwise(F.pmod(x, F.lit(257)) / 128)
+    rows = tables.dense(spark, d).select(F.col("vid").alias("idx"), F.transform("e", value).alias("dosages"))
+    path = f"{checkpointed(spark).rstrip('/')}/texts/pgen-{uuid.uuid4().hex}.pgen"
+    genotypes.write_pgen(rows, path)
+    got = genotypes.read(spark, path, samples=list(range(0, 64, 2)), block=64).where("idx >= 10")
+    return got.select("idx", F.aggregate("dosages", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("total"), F.size(F.filter("dosages", lambda x: x.isNull())).alias("missing"))
+
+
 @query
 def read_ld_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.variants(spark, d).withColumns({"l2_base": F.col("price") / 1000, "l2_low": F.col("idx") % 8 / 8})

@@ -324,6 +324,10 @@ ORACLE_SQL = {
     "read_psam": sql("SELECT 'f' || nation AS fid, 'i' || sid AS iid FROM s"),
     "read_pairs": sql("SELECT least('i' || a, 'i' || b) AS iid1, greatest('i' || a, 'i' || b) AS iid2, (a % 50) / 100.0::DOUBLE AS kinship FROM pair WHERE a % 50 >= 5"),
     "read_bed": sql("SELECT row_number() OVER (ORDER BY vid) - 1 AS idx, CAST(sum(((x % 4) + 4) % 4 - 1) AS BIGINT) AS total, CAST(count(*) FILTER (((x % 4) + 4) % 4 = 0) AS INTEGER) AS missing FROM e GROUP BY vid"),
+    "read_pgen": sql(
+        "SELECT idx, sum(coalesce(x, 0.0)) AS total, CAST(count(*) FILTER (x IS NULL) AS INTEGER) AS missing FROM pg WHERE k % 2 = 1 AND idx >= 10 GROUP BY idx",
+        pg="SELECT dense_rank() OVER (ORDER BY vid) - 1 AS idx, k, CASE WHEN x % 5 = 0 THEN NULL WHEN ((x % 5) + 5) % 5 < 4 THEN CAST(((x % 3) + 3) % 3 AS DOUBLE) ELSE (((x % 257) + 257) % 257) / 128.0::DOUBLE END AS x FROM e",
+    ),
     "read_ld_scores": sql("SELECT CAST(chr AS INTEGER) AS chr, snp, bp, round(price / 1000.0::DOUBLE, 3) AS l2_base, round((idx % 8) / 8.0::DOUBLE, 3) AS l2_low FROM v"),
     "read_sumstats": sql("SELECT trait, 'rs' || idx AS snp, CAST(n AS DOUBLE) AS n, round(beta, 6) AS beta, CASE WHEN idx % 13 > 0 THEN round(se, 6) END AS se FROM gw WHERE trait = 'y1'"),
     "read_phenotypes": sql("SELECT 'f' || nation AS fid, 'i' || sid AS iid, 'a' AS trait, CAST(y1 AS DOUBLE) AS y FROM s WHERE sid % 7 > 0 AND y1 <> -9 UNION ALL SELECT 'f' || nation, 'i' || sid, 'b', CAST(y2 AS DOUBLE) FROM s WHERE sid % 5 > 0 AND y2 <> -9"),

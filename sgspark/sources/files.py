@@ -8,6 +8,7 @@ stands for the chromosomes 1 to 22. Everything is read as strings and cast colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sgspark.sources import genotypes
+
 #: Names that a column may go by, in order of preference.
 ALIASES = {
     "snp": ("SNP", "ID", "RSID", "MARKERNAME"),
@@ -156,27 +159,11 @@ def psam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bed(spark: SparkSession, path: str, samples: int) -> DataFrame:
-    """Dosages (idx, calls) of a two-bit genotype file in variant-major order: counts of the first allele, -1 for missing.
-    A file is one task; cohorts are kept in files by chromosome."""
-    stride = -(-samples // 4)
-    decode = np.array([2, -1, 1, 0], dtype=np.int8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = np.frombuffer(body.as_buffer(), dtype=np.uint8)
-                if raw[:3].tolist() != [0x6C, 0x1B, 0x01] or (len(raw) - 3) % stride:
-                    raise ValueError(f"{name} isn't a variant-major genotype file of {samples} samples")
-                rows = raw[3:].reshape(-1, stride)
-                for k in range(0, len(rows), 1024):
-                    part = rows[k : k + 1024]
-                    two = (part[:, :, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3
-                    calls = decode[two.reshape(len(part), -1)[:, :samples]]
-                    flat = pa.array(calls.ravel().astype(np.int8))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(k, k + len(part))), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * samples, pa.int32()), flat)], ["path", "idx", "calls"])
-
-    files = spark.read.format("binaryFile").load(paths(path)).select("path", "content")
-    return files.mapInArrow(run, "path string, idx long, calls array<tinyint>")
+    """Dosages (path, idx, calls) of two-bit genotype files in variant-major order: counts of the first allele, -1 for
+    missing. A partition is a block of variants; see genotypes."""
+    rows = [genotypes.read(spark, p, samples) for p in paths(path)]
+    calls = F.transform("dosages", lambda x: F.coalesce(x.cast("tinyint"), F.lit(-1).cast("tinyint")))
+    return reduce(DataFrame.unionAll, rows).select("path", "idx", calls.alias("calls"))
 
 
 def write_bed(rows: DataFrame, path: str) -> None:
