@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.functions import transforms
-from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, ranks, segments, variance
+from sgspark.functions import quadratic, transforms
+from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, ranks, robust, segments, variance
 from sgspark.plans import queries as base
 from sgspark.plans.queries import BLOCKS, WIDTH, query, rounded
 from sgspark.session import checkpointed
@@ -135,6 +135,25 @@ def context_transfer(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, 4, "value")
 
 
+@query
+def quadratic_tails(spark: SparkSession, d: str) -> DataFrame:
+    """Tails of three weighted chi-squares of two degrees of freedom for each sample."""
+    a = 1 + F.col("nation") / 10
+    rows = tables.samples(spark, d).select("sid", (F.abs("y1") / 500.0).alias("q"), F.array(a, a + 1, a + 3).alias("w"), F.array(*[F.lit(2.0)] * 3).alias("df"))
+    return rounded(quadratic.with_tails(rows, "q", "w", "df").select("sid", "p"), 10, "p")
+
+
+@query
+def robust_interactions(spark: SparkSession, d: str) -> DataFrame:
+    """Two features' effects on the first trait with the second taken out: single, joint, kernel and burden tests that allow
+    for unequal variances."""
+    names = ["env", "case"]
+    out = robust.tests(robust.scores(tables.samples(spark, d), names, ["y1"], ["y2"]), names)
+    flat = [F.col(c)[i].alias(f"{c}_{n}") for c in ("beta", "se") for i, n in enumerate(names)]
+    out = out.select("trait", "n", *flat, "joint_wald", "joint_df", "joint_p", "kernel_p", "burden_z", "burden_p")
+    return rounded(out, 7, "beta_env", "beta_case", "se_env", "se_case", "joint_wald", "joint_p", "kernel_p", "burden_z", "burden_p")
+
+
 def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All variants' dosages in all samples as dense rows, with annotations, and the samples' covariates by number."""
     people = tables.samples(spark, d).select(F.col("sid").cast("int").alias("k"), "nation", "y2", (2 * F.col("nation") - F.col("y2")).alias("both"))

@@ -198,6 +198,19 @@ _PROBED = _WIDE | {
     "ms": "SELECT idx, a, avg(y) AS raw, var_samp(y) / 8 AS mc FROM y GROUP BY 1, 2",
     "mm": "SELECT a, sum(x * v) AS m, CAST(sum(x) AS DOUBLE) AS c FROM an GROUP BY a",
 }
+_ROBUST = {
+    "ra": 'SELECT sid, 1.0::DOUBLE / count(*) OVER () AS u0, y2 - avg(y2) OVER () AS c, env - avg(env) OVER () AS e0, "case" - avg("case") OVER () AS k0, y1 - avg(y1) OVER () AS y0 FROM s',
+    "rb": "SELECT *, c / sqrt(sum(c * c) OVER ()) AS q FROM ra",
+    "rc": "SELECT u0 + q * q AS own, e0 - q * sum(q * e0) OVER () AS r1, k0 - q * sum(q * k0) OVER () AS r2, y0 - q * sum(q * y0) OVER () AS py FROM rb",
+    "rd": "SELECT count(*) AS n, sum(r1 * r1) AS h1, sum(r1 * r2) AS h12, sum(r2 * r2) AS h2, sum(r1 * py) AS s1, sum(r2 * py) AS s2 FROM rc",
+    "re": "SELECT *, h1 * h2 - h12 * h12 AS dh, (s1 * h2 - s2 * h12) / (h1 * h2 - h12 * h12) AS b1, (s2 * h1 - s1 * h12) / (h1 * h2 - h12 * h12) AS b2 FROM rd",
+    "rf": "SELECT r1, r2, power((py - r1 * b1 - r2 * b2) / (1 - own - (r1 * r1 * h2 - 2 * r1 * r2 * h12 + r2 * r2 * h1) / dh), 2) AS e2 FROM rc CROSS JOIN re",
+    "rg": "SELECT sum(r1 * r1 * e2) AS v1, sum(r1 * r2 * e2) AS v12, sum(r2 * r2 * e2) AS v2 FROM rf",
+    "rh": """SELECT n, b1, b2, sqrt((h2 * h2 * v1 - 2 * h2 * h12 * v12 + h12 * h12 * v2) / (dh * dh)) AS se1, sqrt((h12 * h12 * v1 - 2 * h12 * h1 * v12 + h1 * h1 * v2) / (dh * dh)) AS se2,
+      (s1 * s1 * v2 - 2 * s1 * s2 * v12 + s2 * s2 * v1) / (v1 * v2 - v12 * v12) AS wald, s1 * s1 + s2 * s2 AS kq, (v1 + v2) / 2 AS tr, sqrt(power((v1 - v2) / 2, 2) + v12 * v12) AS gap, (s1 + s2) / sqrt(v1 + 2 * v12 + v2) AS bz FROM re CROSS JOIN rg""",
+    # two weights: the angle of the two normals is uniform, and their squared length exponential
+    "ri": "SELECT avg(exp(-kq / (2 * (tr + gap * cos(2 * t))))) AS kp, avg(exp(-bz * bz / (2 * power(sin(t), 2)))) AS bp FROM rh CROSS JOIN (SELECT (unnest(range(20000)) + 0.5) * pi() / 40000 AS t)",
+}
 _CORRECTED = _PROBED | {
     "sq": "SELECT a, k, n * sum(x * v * u * u) / max(m) AS q FROM an JOIN u USING (idx) JOIN mm USING (a) CROSS JOIN nn GROUP BY a, k, n",
     "mu": "SELECT i.a, j.a AS b, avg(i.q * j.q) AS mu22 FROM sq i JOIN sq j USING (k) GROUP BY 1, 2",
@@ -267,6 +280,14 @@ ORACLE_SQL = {
         nh="SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (sid % 2 = 0) AS DOUBLE) AS h FROM s",
         m2=_SECOND, f4=_FOURTH(), fo=_FOURTH(" WHERE sid % 2 = 0"), ex=_EXPOSURE,
     ),
+    "quadratic_tails": sql(
+        "SELECT sid, round(power(a, 2) / ((a - b) * (a - c)) * exp(-q / (2 * a)) + power(b, 2) / ((b - a) * (b - c)) * exp(-q / (2 * b)) + power(c, 2) / ((c - a) * (c - b)) * exp(-q / (2 * c)), 10) AS p FROM qt",
+        qt="SELECT sid, abs(y1) / 500.0::DOUBLE AS q, 1 + nation / 10.0::DOUBLE AS a, 2 + nation / 10.0::DOUBLE AS b, 4 + nation / 10.0::DOUBLE AS c FROM s",
+    ),
+    "robust_interactions": sql(
+        "SELECT 'y1' AS trait, n, round(b1, 7) AS beta_env, round(b2, 7) AS beta_case, round(se1, 7) AS se_env, round(se2, 7) AS se_case, round(wald, 7) AS joint_wald, 2 AS joint_df, round(exp(-wald / 2), 7) AS joint_p, round(kp, 7) AS kernel_p, round(bz, 7) AS burden_z, round(bp, 7) AS burden_p FROM rh CROSS JOIN ri",
+        **_ROBUST,
+    ),
     "ld_genomewide": sql(
         """SELECT idx AS vid, round(v, 7) AS v, round(max(l2) FILTER (a = 'base'), 7) AS l2_base, round(max(l2) FILTER (a = 'low'), 7) AS l2_low, round(max(l2) FILTER (a = 'promo'), 7) AS l2_promo, round(max(mc) FILTER (a = 'base'), 7) AS var_base
         FROM (SELECT ms.idx, w.v, ms.a, raw - m / (n - 3) AS l2, mc FROM ms JOIN w USING (idx) JOIN mm USING (a) CROSS JOIN nn) GROUP BY idx, v""",
