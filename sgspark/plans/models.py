@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sgspark.functions import quadratic, transforms
-from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, ranks, robust, segments, variance
+from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, longrange, ranks, robust, segments, variance
 from sgspark.plans import queries as base
 from sgspark.plans.queries import BLOCKS, WIDTH, query, rounded
 from sgspark.session import checkpointed
@@ -70,11 +70,23 @@ def _f2(spark: SparkSession, d: str) -> DataFrame:
     return F.broadcast(sizes.agg((F.sum(F.col("m") * F.col("m")) / F.sum("m") ** 2).alias("f2")))
 
 
+def _between_units(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the LD of all variants that lie between jackknife units; one row."""
+    axis = axes.equal_units(tables.variants(spark, d), BLOCKS).select(F.col("idx").alias("vid"), "unit")
+    return longrange.shares(longrange.unit_traces(_panel(spark, d)[0].join(axis, "vid"), "unit", BLOCKS, 8, 4))
+
+
+@query
+def long_range_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the variants' LD lies between jackknife units, with and without everyone's pair with themselves."""
+    return rounded(_between_units(spark, d), 8, "rho_self", "rho_apart", "rho_diag", "rho_off")
+
+
 @query
 def h2_long_range(spark: SparkSession, d: str) -> DataFrame:
-    """Errors of both heritabilities corrected for given shares of long-range LD."""
+    """Errors of both heritabilities corrected for the shares of LD between units."""
     rows = base.h2_single(spark, d).select("trait", F.col("estimate").alias("h2"), "se").crossJoin(_f2(spark, d)).crossJoin(F.broadcast(base._n(spark, d)))
-    out = components.long_range(rows.withColumns({"rho_diag": F.lit(0.02), "rho_off": F.lit(0.05)}))
+    out = components.long_range(rows.crossJoin(F.broadcast(_between_units(spark, d))))
     return rounded(out, 6, "factor", "se_long").select("trait", "factor", "se_long")
 
 
@@ -83,7 +95,7 @@ def rg_long_range(spark: SparkSession, d: str) -> DataFrame:
     """The error of the genetic covariance corrected in the same way."""
     h = base.h2_single(spark, d).agg(F.max(F.when(F.col("trait") == "y1", F.col("estimate"))).alias("h2_1"), F.max(F.when(F.col("trait") == "y2", F.col("estimate"))).alias("h2_2"))
     rows = base.rg_supplied_c(spark, d).select("se", "rg").crossJoin(h).crossJoin(variance.overlap_covariance(tables.samples(spark, d), "y1", "y2")).crossJoin(_f2(spark, d))
-    out = components.long_range_rg(rows.withColumns({"rho_diag": F.lit(0.02), "rho_off": F.lit(0.05)}))
+    out = components.long_range_rg(rows.crossJoin(F.broadcast(_between_units(spark, d))))
     return rounded(out, 5, "factor", "se_long").select("factor", "se_long")
 
 

@@ -177,6 +177,26 @@ _TURNS = ", ".join(f"({p}, {x}, {y})" for p, (a, b) in enumerate(_PAIRS) for x,
 _EXPOSURE = f"""SELECT o.p, i.p AS s, sum(x.value * y.value) - max(f4.value) AS value FROM (VALUES {_TURNS}) o(p, a, b) CROSS JOIN (VALUES {_TURNS}) i(p, c, d)
   JOIN m2 x ON x.a = o.a AND x.b = i.c JOIN m2 y ON y.a = o.b AND y.b = i.d JOIN f4 ON f4.p = o.p AND f4.s = i.p GROUP BY 1, 2"""
 
+# LD between units: one set of signs of samples, through the variants and back.
+_LONG = {
+    "u": units(BLOCKS),
+    "nn": "SELECT CAST(count(*) AS DOUBLE) AS n FROM s",
+    "lw": "SELECT idx, unit, sg / n AS mean, gg - sg * sg / n AS x FROM (SELECT idx, sum(g) AS sg, CAST(sum(g * g) AS DOUBLE) AS gg FROM d GROUP BY idx) JOIN u USING (idx) CROSS JOIN nn",
+    "lx": "SELECT idx, unit, mean, 1 / sqrt(x) AS sc FROM lw WHERE x > 1e-9",
+    "lz": "SELECT sid, p, z, z - avg(z) OVER (PARTITION BY p) AS pz, sum(z) OVER (PARTITION BY p) AS zs FROM (SELECT sid, p, CASE WHEN substr(md5(CAST(sid AS VARCHAR) || ':' || CAST(p AS VARCHAR)), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS z FROM (SELECT sid, unnest(range(8)) AS p FROM s))",
+    "lc": "SELECT idx, unit, p, mean, sc * sc * (sum(g * z) - mean * max(zs)) AS c FROM d JOIN lz USING (sid) JOIN lx USING (idx) GROUP BY idx, unit, p, mean, sc",
+    "lk": "SELECT (n - 1) / (SELECT count(*) FROM lx) AS k, n - 1 AS nu FROM nn",
+    "ly": "SELECT unit, sid, p, sum(c * g) AS y FROM lc JOIN d USING (idx) GROUP BY 1, 2, 3",
+    "lo": "SELECT unit, p, sum(c * mean) AS y0 FROM lc GROUP BY 1, 2",
+    "ld": "SELECT unit, sid, sum(sc * sc * (g * g - 2 * g * mean)) AS x FROM lx JOIN d USING (idx) GROUP BY 1, 2",
+    "le": "SELECT unit, sum(sc * sc * mean * mean) AS x0, CAST(count(*) AS DOUBLE) AS m FROM lx GROUP BY 1",
+    "lg": "SELECT le.unit, lz.sid, p, pz, k * (coalesce(y, 0.0) - y0) AS y, k * (coalesce(ld.x, 0.0) + x0) AS own, k * m / nu AS share FROM le CROSS JOIN lz CROSS JOIN lk JOIN lo USING (unit, p) LEFT JOIN ly ON ly.unit = le.unit AND ly.sid = lz.sid AND ly.p = lz.p LEFT JOIN ld ON ld.unit = le.unit AND ld.sid = lz.sid",
+    "lh": "SELECT unit, sid, p, y - share * pz AS a, y - own * pz + avg(own * pz) OVER w - avg(own) OVER w / nu * pz AS b FROM lg CROSS JOIN lk WINDOW w AS (PARTITION BY unit, p)",
+    "li": "SELECT sum(a * a) AS wa, sum(b * b) AS wb FROM lh",
+    "lj": "SELECT sum(a * a) AS la, sum(b * b) AS lb FROM (SELECT sid, p, sum(a) AS a, sum(b) AS b FROM lh GROUP BY 1, 2)",
+    "lr": "SELECT rs, rp, greatest(rs - rp, 0.0) AS rd, greatest(rs - greatest(rs - rp, 0.0), 0.0) AS ro FROM (SELECT 1 - wa / la AS rs, 1 - wb / lb AS rp FROM li CROSS JOIN lj)",
+}
+
 # The panel of all variants and samples: covariates are taken out by one orthonormal vector after the other.
 _WIDE = {
     "k0": "SELECT sid AS k, CAST(nation AS DOUBLE) AS c1, CAST(y2 AS DOUBLE) AS c2, 1 / sqrt(count(*) OVER ()) AS q0 FROM s",
@@ -255,18 +275,19 @@ ORACLE_SQL = {
     "rg_partitioned": _rg_sql(["low", "high"]),
     "ldsc_h2": _LDSC_H2,
     "ldsc_rg": _LDSC_RG,
+    "long_range_shares": sql("SELECT round(rs, 8) AS rho_self, round(rp, 8) AS rho_apart, round(rd, 8) AS rho_diag, round(ro, 8) AS rho_off FROM lr", **_LONG),
     "h2_long_range": sql(
         "SELECT trait, round(CASE WHEN se > 0 THEN va / (se * se) END, 6) AS factor, round(CASE WHEN se > 0 THEN sqrt(va) ELSE se END, 6) AS se_long FROM lv",
-        u=units(BLOCKS), f2=_F2, hh=f"SELECT trait, se, greatest(0.0, least(1.0, estimate)) AS h FROM ({FIRST['h2_single']})",
-        lv="SELECT *, se * se / greatest(1 - 0.02 - 0.05 * (1 + 2 * h), 0.2) + 4 * h * h * (1 - (SELECT f2 FROM f2)) / (SELECT n FROM n) AS va FROM hh",
+        **_LONG, f2=_F2, hh=f"SELECT trait, se, greatest(0.0, least(1.0, estimate)) AS h FROM ({FIRST['h2_single']})",
+        lv="SELECT *, se * se / greatest(1 - (SELECT rd FROM lr) - (SELECT ro FROM lr) * (1 + 2 * h), 0.2) + 4 * h * h * (1 - (SELECT f2 FROM f2)) / (SELECT n FROM n) AS va FROM hh",
     ),
     "rg_long_range": sql(
         "SELECT round(CASE WHEN se > 0 THEN va / (se * se) END, 5) AS factor, round(CASE WHEN se > 0 THEN sqrt(va) ELSE se END, 5) AS se_long FROM lv",
-        u=units(BLOCKS), f2=_F2, ov=_OVERLAP, hh=f"SELECT greatest(0.0, least(1.0, max(estimate) FILTER (trait = 'y1'))) AS a, greatest(0.0, least(1.0, max(estimate) FILTER (trait = 'y2'))) AS b FROM ({FIRST['h2_single']})",
+        **_LONG, f2=_F2, ov=_OVERLAP, hh=f"SELECT greatest(0.0, least(1.0, max(estimate) FILTER (trait = 'y1'))) AS a, greatest(0.0, least(1.0, max(estimate) FILTER (trait = 'y2'))) AS b FROM ({FIRST['h2_single']})",
         l0=f"SELECT a, b, se, (SELECT c FROM ov) AS c, (SELECT n FROM ov) AS n, greatest(-1.0, least(1.0, coalesce(rg, 0.0))) * sqrt(a * b) AS g FROM hh, ({FIRST['rg_supplied_c']})",
         l1="SELECT *, greatest(-1.0, least(1.0, c - g)) AS e FROM l0",
         l2_="SELECT *, (1 - a) * (1 - b) + e * e AS w1, a * (1 - b) + b * (1 - a) + 2 * g * e AS w2, a * b + g * g AS w3 FROM l1",
-        lv="SELECT se, se * se / greatest(1 - 0.02 - 0.05 * CASE WHEN w1 + w2 + w3 > 0 THEN greatest(1.0, least(3.0, (w1 + 2 * w2 + 3 * w3) / (w1 + w2 + w3))) ELSE 1.0 END, 0.2) + 2 * w3 * (1 - (SELECT f2 FROM f2)) / n AS va FROM l2_",
+        lv="SELECT se, se * se / greatest(1 - (SELECT rd FROM lr) - (SELECT ro FROM lr) * CASE WHEN w1 + w2 + w3 > 0 THEN greatest(1.0, least(3.0, (w1 + 2 * w2 + 3 * w3) / (w1 + w2 + w3))) ELSE 1.0 END, 0.2) + 2 * w3 * (1 - (SELECT f2 FROM f2)) / n AS va FROM l2_",
     ),
     "gxe_components": sql(
         "SELECT component, round(s, 6) AS estimate, round(s * u / tot, 6) AS proportion FROM (SELECT unnest(['G_base', 'GxE_base', 'NxE', 'residual']) AS component, unnest([s1, s2, s3, s4]) AS s, unnest([u1, u2, u3, 63.0]) AS u, s1 * u1 + s2 * u2 + s3 * u3 + s4 * 63 AS tot FROM pq)",
