@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sgspark.operators import axes
+from sgspark.sources.shared import folder, forget, kept
 
 LD_FLOOR, MEAN_FLOOR, VARIANCE_FLOOR = 1.0, 1e-3, 1e-12
 State = dict[str, np.ndarray]
@@ -110,17 +111,29 @@ def _summary(rows: DataFrame, sizes: list[tuple], values: dict[str, dict[str, np
     return axes.jackknife(long, "value", "full", "m", ["trait", "quantity"])
 
 
+def _written(rows: DataFrame, annotations: list[str], others: list[str]) -> tuple[DataFrame, str]:
+    """The columns that the rounds read, as a table: every round is a scan of it and not of what made the rows."""
+    path = folder(rows.sparkSession, "ldsc")
+    return kept(rows.select(*dict.fromkeys([*others, "unit", *annotations, *[f"l2_{k}" for k in annotations]])), path), path
+
+
 def h2(rows: DataFrame, annotations: list[str], rounds: int = 3, weight: str | None = None) -> DataFrame:
-    """(trait, quantity, n_units, estimate, se) for h2_<annotation> and total, every replicate refitted in full."""
+    """(trait, quantity, n_units, estimate, se) for h2_<annotation> and total, every replicate refitted in full. The rows are
+    made once."""
+    rows, path = _written(rows, annotations, ["trait", "n_star", "y", "d", *([weight] if weight else [])])
     state, _, _ = h2_replicates(rows, annotations, rounds, weight)
+    sizes = _sizes(rows)
+    forget(rows.sparkSession, path)
     values = {t: {f"h2_{k}": h[:, i] for i, k in enumerate(annotations)} | {"total": h.sum(axis=1)} for t, h in state.items()}
-    return _summary(rows, _sizes(rows), values)
+    return _summary(rows, sizes, values)
 
 
 def rg(rows: DataFrame, one: DataFrame, two: DataFrame, annotations: list[str], c: float, rounds: int = 3) -> DataFrame:
     """(quantity, n_units, estimate, se) for the covariances gamma_<annotation>, gamma and rg of two traits. Weights are
     1 / (l max(a b + c**2, floor)), a and b from the heritabilities of the same replicate. rows: unit, z1, z2, n1, n2, d1,
     d2, the annotations and l2_<annotation>; one, two: the traits' rows as for h2(); c: the covariance of their noise."""
+    (one, path1), (two, path2) = (_written(x, annotations, ["trait", "n_star", "y", "d"]) for x in (one, two))
+    rows, path = _written(rows, annotations, ["z1", "z2", "n1", "n2", "d1", "d2"])
     h1, masses, units = h2_replicates(one, annotations, rounds)
     h2_, _, _ = h2_replicates(two, annotations, rounds)
     (t1, m1), t2 = next(iter(masses.items())), next(iter(h2_))
@@ -150,4 +163,6 @@ def rg(rows: DataFrame, one: DataFrame, two: DataFrame, annotations: list[str],
         ratio = np.where((h1[t1].sum(axis=1) > 0) & (h2_[t2].sum(axis=1) > 0), g.sum(axis=1) / np.sqrt(np.abs(product)), np.nan)
     values = {"both": {f"gamma_{k}": g[:, i] for i, k in enumerate(annotations)} | {"gamma": g.sum(axis=1), "rg": ratio}}
     sizes = [("both", u, m) for u, m in rows.groupBy("unit").agg(F.count("*")).collect()]
+    for x in (path, path1, path2):
+        forget(rows.sparkSession, x)
     return _summary(rows, sizes, values).drop("trait")

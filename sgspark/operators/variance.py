@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.operators import axes
+from sgspark.sources.shared import folder, kept
 
 
 def unit_sums(rows: DataFrame, annotations: list[str], keys: list[str]) -> DataFrame:
@@ -85,8 +86,9 @@ def overlap_covariance(samples: DataFrame, one: str, two: str) -> DataFrame:
 
 def ldsc(rows: DataFrame, rounds: int = 3) -> DataFrame:
     """LD-score regression with a fixed intercept, reweighted ``rounds`` times: regress y - 1 on n l / M by trait with
-    weights 1 / (2 (1 + clip(h, 0, 1) n / M max(l, 1))**2 max(l, 1)). Each round is one aggregate over the variants, of
-    which a row a trait goes back to them by a broadcast; nothing is collected. Returns trait, m, h2."""
+    weights 1 / (2 (1 + clip(h, 0, 1) n / M max(l, 1))**2 max(l, 1)). The narrow rows are written once; each round is one
+    aggregate over them, of which a row a trait goes back by a broadcast; nothing is collected. Returns trait, m, h2."""
+    rows = kept(rows.select("trait", "n_star", "y", "l2_base"), folder(rows.sparkSession, "ldsc"))
     n, q, ld = F.col("n_star"), F.col("y") - 1, F.col("l2_base")
     state = rows.groupBy("trait").agg(F.count("*").cast("double").alias("_M"), (F.count("*") * F.sum(q) / (F.max("n_star") * F.sum(ld))).alias("_h"))
     floor = F.greatest(ld, F.lit(1.0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sgspark.functions import quadratic, transforms
-from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, longrange, ranks, robust, segments, variance
+from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, longrange, mixture, ranks, robust, segments, variance
 from sgspark.plans import queries as base
 from sgspark.plans.queries import BLOCKS, WIDTH, query, rounded
 from sgspark.session import checkpointed
@@ -147,6 +147,18 @@ def context_transfer(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, 4, "value")
 
 
+@query
+def mixture_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Effects of all variants on both traits under two mixtures of two normals, after three sweeps."""
+    samples = tables.samples(spark, d)
+    n = samples.count()
+    panel = _panel(spark, d)[0].select("vid", "e")
+    side = max(blocks.SAMPLES, -(-n // max(1, spark.sparkContext.defaultParallelism)))  # no more blocks than slots
+    path = mixture.prepared(panel, samples.select(F.col("sid").cast("int").alias("k"), "y1", "y2"), ["y1", "y2"], side)
+    candidates = [mixture.Candidate("sparse", 0.05, 0.2, 0.4), mixture.Candidate("even", 0.5, 0.5, 0.4)]
+    return rounded(mixture.fitted(spark, path, candidates, 3)[0], 9, "beta")
+
+
 @query
 def quadratic_tails(spark: SparkSession, d: str) -> DataFrame:
     """Tails of three weighted chi-squares of two degrees of freedom for each sample."""
