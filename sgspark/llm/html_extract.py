@@ -15,7 +15,8 @@
 
 Character references are decoded after the markup is gone, white space in a block becomes one space, blocks are joined
 by a newline. A null or empty page and one without a line of any weight give an empty text; texts of any length are handled whole; unclosed
-and crossed tags are closed where HTML would close them. One page is one row: no shuffle, nothing collected. Repeated
+and crossed tags are closed where HTML would close them. Beyond DEEP marks within each other an element shares the last
+of them. One page is one row: no shuffle, nothing collected. Repeated
 pages give repeated rows; stretches that tie for the heaviest all stay; an empty table gives no rows.
 """
 
@@ -36,7 +37,12 @@ SURGE = 80
 PARAGRAPH = 8
 OUTSIDE = 0.1
 
-_RAW = re.compile(r"<(script|style|noscript|template|iframe|object|svg|textarea|select|canvas|audio|video|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Elements whose contents aren't markup and run to their end tag, or else to the page's end; others whose contents aren't
+#: text, if they have an end tag (without one, and where they close themselves, the tag alone goes).
+RAW = ("script", "style", "textarea")
+APART = ("noscript", "template", "iframe", "object", "svg", "select", "canvas", "audio", "video", "noembed", "noframes")
+_OPEN = re.compile(rf"<({'|'.join(RAW + APART)})\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.I)
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW + APART}
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>")
 _ATTR = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -46,6 +52,8 @@ VOID = _words("area base br col embed hr img input link meta param source track
 BLOCK = _words("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul")
 #: Elements that another start tag of the set closes.
 CLOSES = {"li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "tr": _words("tr td th"), "td": _words("td th"), "th": _words("td th"), "option": _words("option")}
+#: Elements beyond which nothing is closed so.
+SCOPES = ("ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "tbody")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
 PARAGRAPHS = _words("p blockquote pre")
 #: Never text of a page's body.
@@ -60,6 +68,12 @@ MASKED_NAMES = COMMENTS | _words(
 )
 #: What may stand beside such a name in a token (site-footer, comment-list) without changing its meaning.
 NEUTRAL = _words("left right top bottom main inner outer wrapper wrap container box block section area list item items region panel bar site page article post posts entry story content body primary secondary global link links col column row form text buttons icons unit slot 1 2 3 4")
+#: What follows such a name without a separator (commentlist, cookiebar), and what doesn't make a mark of one that is about
+#: readers' comments (comments-open).
+FUSED = _words("list lists bar slot section box area banner unit wrapper container panel block thread form")
+STATES = _words("open closed enabled disabled allowed count counts on off has no with")
+#: Marks within marks that are told apart.
+DEEP = 64
 CONTAINER_TAGS = _words("article main")
 CONTAINER_NAMES = _words("article content post entry story main maincontent main-content article-content article-body post-content post-body entry-content story-body page-content")
 
@@ -84,13 +98,17 @@ class Line:
 
 
 def _named(tokens: set[str], names: frozenset[str]) -> bool:
-    """Whether a token is one of the names, or made of them and neutral words."""
+    """Whether a token is one of the names, a name and a fused word, made of names and neutral words, or, where names hold
+    those of readers' comments, a compound with one of these that doesn't state whether there are any."""
     for token in tokens:
-        if token in names:
+        if token in names or any(token.endswith(f) and token[: -len(f)] in names for f in FUSED):
             return True
         parts = re.split("[-_]+", token.strip("-_"))
-        if len(parts) > 1 and any(p in names for p in parts) and all(p in names or p in NEUTRAL for p in parts):
-            return True
+        if len(parts) > 1:
+            if any(p in names for p in parts) and all(p in names or p in NEUTRAL for p in parts):
+                return True
+            if names >= COMMENTS and any(p in COMMENTS for p in parts) and STATES.isdisjoint(parts):
+                return True
     return False
 
 
@@ -130,26 +148,52 @@ class _Page:
             elif not masked and tokens & CONTAINER_NAMES:
                 inside = max(inside, 1)
         marks = up.marks
-        if masked:
+        if masked and len(marks) < DEEP:
             marks = (*marks, len(self.firm))
             self.firm.append(firm)
         return _Element(tag, tag, marks, inside, up.link, header, unseen)
 
 
+def _markup(page: str) -> str:
+    """The page without elements whose contents aren't text, comments and declarations."""
+    full = page.rfind(">") + 1  # behind that no tag ends
+    page, tail = page[:full], page[full:].split("<!--", 1)[0]
+    parts, at, endless = [], 0, set()
+    while m := _OPEN.search(page, at):
+        tag = m[1].lower()
+        parts.append(page[at : m.start()])
+        at = m.end()
+        if tag in RAW or (tag not in endless and not m[2].rstrip().endswith("/")):
+            end = _END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW:
+                at, tail = len(page), ""
+            else:
+                endless.add(tag)
+    return _DROP.sub("", " ".join([*parts, page[at:]])) + tail
+
+
 def parsed(page: str) -> _Page:
-    """The page's lines in order."""
-    page = _DROP.sub("", _RAW.sub(" ", page))
+    """The page's lines in order. Places of open elements are kept by tag, so that time grows with the page's length."""
+    page = _markup(page)
     out = _Page()
     root = _Element("", "", (), 0, False, False, False)
     stack, parts = [root], []
     sizes = [0, 0]
     where = root
-    opened: dict[str, int] = {}
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
 
     def drop(i: int) -> None:
         for e in stack[i:]:
-            opened[e.tag] -= 1
+            places[e.tag].pop()
         del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def flush() -> None:
         nonlocal parts
@@ -171,7 +215,7 @@ def parsed(page: str) -> _Page:
         sizes[top.link] += len(text.strip())
 
     at = 0
-    for m in _TAG.finditer(page):
+    for m in _TAG.finditer(page, 0, page.rfind(">") + 1):
         add(page[at : m.start()])
         at = m.end()
         close, tag, attributes = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], m[5].lower(), m[6])
@@ -180,25 +224,19 @@ def parsed(page: str) -> _Page:
         elif tag == "br" and parts:
             parts.append(" ")
         if close:
-            if opened.get(tag, 0) > 0:
-                drop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+            if places.get(tag):
+                drop(places[tag][-1])
         elif tag not in VOID:
             if tag in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        drop(i)
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in CLOSES.get(tag, ()):
-                        drop(i)
-                        break
-                    if stack[i].tag in ("ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "tbody"):
-                        break
+                if blocks and stack[blocks[-1]].tag == "p":
+                    drop(blocks[-1])
+                if tag in CLOSES and last(CLOSES[tag]) > last(SCOPES):
+                    drop(last(CLOSES[tag]))
             if not attributes.rstrip().endswith("/"):
+                if tag in BLOCK:
+                    blocks.append(len(stack))
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(out.opened(tag, attributes, stack[-1]))
-                opened[tag] = opened.get(tag, 0) + 1
     add(page[at:])
     flush()
     return out

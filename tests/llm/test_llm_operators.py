@@ -574,3 +574,37 @@ def test_a_cluster_has_to_name_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session("spark://host:7077"))
     assert shared_dir(session("local[4]"))
+
+
+_LONG = "long enough text to count as a paragraph of an article, really. " * 3
+
+
+@pytest.mark.parametrize("element", ['<svg class="x"/>', "<svg>", "<video src=x>", "<iframe src=x />", "<math>", "<object data=x>", "<svg><text>no</text></svg>", "<video>no</video>"])
+def test_elements_that_are_not_text_take_nothing_else_along(element):
+    got = html_extract.main_text(f"<article><p>A {_LONG}</p>{element}<p>B {_LONG}</p></article>")
+    assert got == "\n".join(" ".join(f"{x} {_LONG}".split()) for x in "AB")
+
+
+def test_raw_text_runs_to_its_end():
+    assert html_extract.main_text(f"<article><p>A {_LONG}</p><script>if (a < b) x = '<p>no</p>'") == f"A {_LONG}".strip()
+    assert html_extract.main_text(f"<article><p>A {_LONG}</p></article><!-- no").endswith("really.")
+
+
+@pytest.mark.parametrize("mark", ['class="commentlist"', 'class="user-comments"', 'id="commentSection"', 'class="cookiebar"', 'class="adslot"'])
+def test_compound_marks(mark):
+    got = html_extract.main_text(f"<article><p>A {_LONG}</p><div {mark}><p>NO {_LONG}</p></div><p>B {_LONG}</p></article>")
+    assert "NO" not in got and got.startswith("A") and "B long" in got
+
+
+def test_names_that_only_state_something_are_no_marks():
+    assert html_extract.main_text(f"<body class='comments-open'><article class='post comments-open'><p>A {_LONG}</p></article></body>").startswith("A")
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+
+    for unit in ("<b>", "<blockquote>", "<nav>", "<div>", "<video>", "<a><p>", "<li>", "<ul><li>", "</b>", "<p ", "<svg ", "<!a ", "<svg><p>x"):
+        page = unit * (1_000_000 // len(unit)) + "<p>x</p>" * 2000
+        start = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - start < 15, unit  # quadratic time takes minutes
