@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def transformed(value: Column, kind: str, shift: float = 0.0, power: float | None = None) -> Column:
     """value, log(value + shift), or ((value + shift)**power - 1) / power (its logarithm at power 0). Values that the
     logarithm isn't defined for give null."""
@@ -16,20 +17,31 @@ def transformed(value: Column, kind: str, shift: float = 0.0, power: float | Non
     return box_cox_derivatives(t, float(power), 0)[0] if power else t
 
 
-def box_cox_derivatives(t: Column, power: float, order: int = 3, terms: int = 32) -> list[Column]:
+#: Halvings that the rest of a series is through, at least, when it is cut.
+HALVINGS = 60
+
+
+def _moment(x: Column, k: int) -> Column:
+    """The integral of u**k exp(x u) over [0, 1] by a series without subtractions: sum_j x**j / (j! (j + k + 1)) for x >= 0,
+    and exp(x) sum_j (-x)**j / ((k + 1) ... (k + 1 + j)) below (Kummer's transformation). From j = 2 |x| on terms at least
+    halve, so a row adds up that many and HALVINGS more."""
+    size, up = F.abs(x), x >= 0
+    first = F.when(up, 1.0).otherwise(1.0 / (k + 1))
+    places = F.sequence(F.lit(1), (F.ceil(2 * size) + HALVINGS).cast("int"))
+
+    def grown(s: Column, j: Column) -> Column:
+        term = s["term"] * size / F.when(up, j).otherwise(j + (k + 1))
+        return F.struct(term.alias("term"), (s["total"] + term / F.when(up, j + (k + 1)).otherwise(1.0)).alias("total"))
+
+    total = F.aggregate(places, F.struct(first.alias("term"), F.lit(1.0 / (k + 1)).alias("total")), grown, lambda s: s["total"])
+    return total * F.when(up, 1.0).otherwise(F.exp(x))
+
+
+def box_cox_derivatives(t: Column, power: float, order: int = 3) -> list[Column]:
     """The Box-Cox transform of exp(t) and its first ``order`` derivatives by the power: t**(k+1) times the integral of
-    u**k exp(power t u) over [0, 1], by its series where |power t| <= 1/2 and by recurrence elsewhere."""
+    u**k exp(power t u) over [0, 1]."""
     x = t * F.lit(float(power))
-    out, before = [], None
-    for k in range(order + 1):
-        series: Column = F.lit(0.0)
-        for j in reversed(range(1, terms)):  # nested: 1/(k+1) + x/1 (1/(k+2) + x/2 (1/(k+3) + ...))
-            series = x / j * (F.lit(1.0 / (j + k + 1)) + series)
-        series = F.lit(1.0 / (k + 1)) + series
-        exact = F.expm1(x) / x if k == 0 else (F.exp(x) - k * before) / x
-        before = F.when(F.abs(x) <= 0.5, series).otherwise(exact)
-        out.append(F.pow(t, F.lit(float(k + 1))) * before)
-    return out
+    return [F.pow(t, F.lit(float(k + 1))) * _moment(x, k) for k in range(order + 1)]
 
 
 def standardised(rows: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
