@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sgspark.functions.whole import spread
 from sgspark.operators import axes
 from sgspark.sources.shared import folder, kept
 
@@ -78,10 +79,8 @@ def rg_single(rows: DataFrame, overlap: DataFrame) -> DataFrame:
 def overlap_covariance(samples: DataFrame, one: str, two: str) -> DataFrame:
     """Covariance of two traits' residuals (intercept only) over shared samples, as a share of their norms: c."""
     n = F.count("*")
-    top = n * F.sum(F.col(one) * F.col(two)) - F.sum(one) * F.sum(two)
-    x = n * F.sum(F.col(one) * F.col(one)) - F.sum(one) * F.sum(one)
-    y = n * F.sum(F.col(two) * F.col(two)) - F.sum(two) * F.sum(two)
-    return samples.agg(n.alias("n"), (top.cast("double") / F.sqrt(x.cast("double") * y.cast("double"))).alias("c"))
+    top, x, y = (spread(n, F.sum(F.col(a) * F.col(b)), F.sum(a), F.sum(b)) for a, b in ((one, two), (one, one), (two, two)))
+    return samples.agg(n.alias("n"), (top / F.sqrt(x * y)).alias("c"))
 
 
 def ldsc(rows: DataFrame, rounds: int = 3) -> DataFrame:
