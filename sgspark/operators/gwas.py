@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sgspark.functions.linear import solve
+from sgspark.functions.whole import spread
 
 
 def variant_sums(dosage: DataFrame) -> DataFrame:
@@ -20,9 +21,8 @@ def ols(dosage: DataFrame, phenotypes: DataFrame) -> DataFrame:
     y = phenotypes.groupBy("trait").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("sy2"))
     xy = dosage.join(phenotypes, "sid").groupBy("trait", "idx").agg(F.sum(F.col("g") * F.col("y")).alias("sgy"), F.sum("g").alias("sg"), F.sum(F.col("g") * F.col("g")).alias("sg2"))
     rows = xy.join(F.broadcast(y), "trait")
-    sxx = (F.col("n") * F.col("sg2") - F.col("sg") * F.col("sg")).cast("double")
-    sxy = (F.col("n") * F.col("sgy") - F.col("sg") * F.col("sy")).cast("double")
-    syy = (F.col("n") * F.col("sy2") - F.col("sy") * F.col("sy")).cast("double")
+    n, sg, sy = F.col("n"), F.col("sg"), F.col("sy")
+    sxx, sxy, syy = spread(n, F.col("sg2"), sg, sg), spread(n, F.col("sgy"), sg, sy), spread(n, F.col("sy2"), sy, sy)
     rows = rows.withColumns({"sxx": sxx, "sxy": sxy, "syy": syy}).where("sxx > 0").withColumn("beta", F.col("sxy") / F.col("sxx"))
     se = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("beta") * F.col("sxy")) / ((F.col("n") - 2) * F.col("sxx")))
     return rows.select("trait", "idx", "n", "beta", se.alias("se"))
