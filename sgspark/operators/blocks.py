@@ -313,9 +313,13 @@ def genomewide(panel: DataFrame, annotations: list[str], probes: int, covariates
     both annotations' mean squares, rho2 = ((d + 1)**2 r2 - n mu22) / (n (n - 1)), bias = s - m_a m_b rho2 and
     delta = mu22 - 1 - 2 rho2."""
     tiles = tiled(panel, annotations, probes, covariates, rank, side, columns)
-    n, d, k = tiles.samples, tiles.samples - rank, len(annotations)
-    share = (n - 1) / d if weighted else None
-    y, squares = probed(tiles, share)
+    y, squares = probed(tiles, (tiles.samples - 1) / (tiles.samples - rank) if weighted else None)
+    return scored(y, squares, tiles.path, tiles.samples, rank, annotations, probes, weighted)
+
+
+def scored(y: DataFrame, squares: DataFrame, path: str, n: int, rank: int, annotations: list[str], probes: int, weighted: bool) -> Scores:
+    """Scores and corrections from what probed() returns, over n samples; the rows are written once, below path."""
+    d, k = n - rank, len(annotations)
     rows = y.withColumns({"v": F.col("share") * ((n - 1) / d)} | {f"a_{i}": F.col("a")[i] for i in range(k)})
     for i in range(k):
         part = F.slice("y", i * probes + 1, probes)
@@ -324,7 +328,7 @@ def genomewide(panel: DataFrame, annotations: list[str], probes: int, covariates
         rows = rows.withColumns({f"raw_{i}": total / probes, f"var_{i}": (square - total * total / probes) / (probes * (probes - 1)) if probes > 1 else F.lit(None).cast("double")})
         if weighted:
             rows = rows.withColumn(f"w_{i}", F.col(f"a_{i}") * F.col("v"))
-    rows = kept(rows.drop("y", "a"), f"{tiles.path}/scores")
+    rows = kept(rows.drop("y", "a"), f"{path}/scores")
     mass = [F.sum(f"w_{i}" if weighted else f"a_{i}").alias(f"m_{i}") for i in range(k)]
     sizes = F.broadcast(rows.agg(*mass))  # one row
     out = rows.crossJoin(sizes).select("vid", "v", *[x for i, a in enumerate(annotations) for x in ((F.col(f"raw_{i}") - F.col(f"m_{i}") / d).alias(f"l2_{a}"), F.col(f"raw_{i}").alias(f"raw_{a}"), F.col(f"var_{i}").alias(f"var_{a}"))])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sgspark.functions import quadratic, transforms
-from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, longrange, mixture, ranks, robust, segments, variance
+from sgspark.operators import axes, basis, blocks, components, contexts, gwas, ldsc, ldscore, longrange, mixture, ranks, robust, segments, sparse, variance
 from sgspark.plans import queries as base
 from sgspark.plans.queries import BLOCKS, WIDTH, query, rounded
 from sgspark.session import checkpointed
@@ -178,18 +178,24 @@ def robust_interactions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, 7, "beta_env", "beta_case", "se_env", "se_case", "joint_wald", "joint_p", "kernel_p", "burden_z", "burden_p")
 
 
-def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All variants' dosages in all samples as dense rows, with annotations, and the samples' covariates by number."""
+def _sparse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Carriers' dosages, the variants' annotations, the samples' covariates by number, and how many samples there are."""
     people = tables.samples(spark, d).select(F.col("sid").cast("int").alias("k"), "nation", "y2", (2 * F.col("nation") - F.col("y2")).alias("both"))
     axis = tables.variants(spark, d).select(F.col("idx").alias("vid"), F.lit(1).alias("base"), "low", "promo")
     calls = tables.dosage(spark, d).select(F.col("idx").alias("vid"), F.col("sid").cast("int").alias("k"), "g")
-    return blocks.densified(calls, people.agg(F.max("k")).first()[0] + 1).join(axis, "vid"), people
+    return calls, axis, people, people.agg(F.max("k")).first()[0] + 1
+
+
+def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All variants' dosages in all samples as dense rows, with annotations, and the samples' covariates by number."""
+    calls, axis, people, n = _sparse(spark, d)
+    return blocks.densified(calls, n).join(axis, "vid"), people
 
 
 def _genomewide(spark: SparkSession, d: str) -> blocks.Scores:
-    panel, people = _panel(spark, d)
+    calls, notes, people, n = _sparse(spark, d)
     c = basis.orthonormal(people, ["nation", "y2", "both"])
-    return blocks.genomewide(panel, ["base", "low", "promo"], 8, c.rows, c.rank, weighted=True)
+    return sparse.genomewide(calls, notes, ["base", "low", "promo"], 8, c.rows, c.rank, n, weighted=True)
 
 
 @query
