@@ -16,15 +16,15 @@ Groups of probes are replicates, from which the errors come.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sgspark.operators.blocks import SAMPLES, Panel, _added, _tiles, tiled
-from sgspark.sources.shared import load, save
+from sgspark.operators.blocks import COLUMNS, SAMPLES, Panel, _added, _tiles, probe_signs, tiled
+from sgspark.sources.shared import folder, kept, load, save
 
 
 def signs(first: int, count: int, probes: range) -> np.ndarray:
@@ -112,6 +112,15 @@ def unit_traces(panel: DataFrame, unit: str, units: int, probes: int, per_group:
         if now is not None:
             yield closed()
 
+    sums = lambda across: _added(tiles.tiles.mapInArrow(up, "sb int, r int, rows int, body binary"), ["sb", "r"], path, across)
+    return _traced(spark, layout, units, of, nu, path, sums)
+
+
+def _traced(spark: SparkSession, layout: Panel, units: int, of: list[range], nu: int, path: str, added: Callable[[Callable], DataFrame]) -> DataFrame:
+    """The traces, once each unit's sums by sample are made. added(across) leaves them at path-<block of samples>-<group of
+    probes>, (samples, units x probes and then units) each, and gives a row (sb, r, value) of what ``across`` says of them."""
+    side, n = layout.side, layout.samples
+    blocks = [(sb, min(side, n - sb * side)) for sb in range(-(-n // side))]
     sizes = dict(blocks)
 
     def parts(sb: int, r: int, matrix: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -124,7 +133,7 @@ def unit_traces(panel: DataFrame, unit: str, units: int, probes: int, per_group:
         _, own, z, c = parts(*key, matrix)
         return np.concatenate([(c.T @ z).ravel(), np.einsum("ic,ig,ip->cgp", c, own, z).ravel(), np.einsum("ic,ig,id->cgd", c, own, c).ravel(), own.sum(axis=0), own.T @ (c**2).sum(axis=1)])
 
-    sums = _added(tiles.tiles.mapInArrow(up, "sb int, r int, rows int, body binary"), ["sb", "r"], path, across)
+    sums = added(across)
     small = sums.select("r", F.posexplode("value").alias("i", "x")).groupBy("r", "i").agg(F.sum("x").alias("x")).collect()  # numbers of covariates times units times probes
     shared = {r: np.array([x["x"] for x in sorted(small, key=lambda x: x["i"]) if x["r"] == r]) for r in range(len(of))}
 
@@ -148,6 +157,66 @@ def unit_traces(panel: DataFrame, unit: str, units: int, probes: int, per_group:
     return made.groupBy("g", "h").agg(F.avg("self").alias("self"), error("self"), F.avg("apart").alias("apart"), error("apart"))
 
 
+def carried_traces(calls: DataFrame, of_unit: DataFrame, units: int, samples: int, probes: int, per_group: int = 8, side: int = SAMPLES) -> DataFrame:
+    """unit_traces() without covariates, from sparse dosages (vid, k, g) of ``samples`` samples numbered from 0, absent ones
+    being 0; of_unit: vid and unit. With w = sum(x) / sqrt(n), a variant's u'z is s (x'z - w q'z), q the constant, and a
+    sample's sums by unit are those over its carried variants and a constant a unit for all the others. Work and memory
+    grow with the carriers."""
+    spark = calls.sparkSession
+    path = folder(spark, "carried")
+    nu, root = samples - 1, float(np.sqrt(samples))
+    calls = kept(calls.select("vid", F.col("k").cast("int").alias("k"), F.col("g").cast("double").alias("g")), f"{path}/calls")
+    z = spark.range(samples).select(F.col("id").cast("int").alias("k"), probe_signs(F.col("id"), probes).alias("z"))
+    total = F.broadcast(z.agg(*[(F.sum(F.col("z")[p]) / root).alias(f"q_{p}") for p in range(probes)]))  # one row
+    met = calls.join(z, "k").repartition("vid").groupBy("vid").agg(F.sum("g").alias("_s"), F.sum(F.col("g") * F.col("g")).alias("_gg"), *[F.sum(F.col("g") * F.col("z")[p]).alias(f"z_{p}") for p in range(probes)])
+    met = met.withColumns({"w": F.col("_s") / root, "_raw": F.col("_gg") - F.col("_s") * F.col("_s") / samples}).where("_raw > 1e-10 * _gg").join(of_unit, "vid").crossJoin(total)
+    each = kept(met.select("vid", F.col("unit").cast("int").alias("unit"), "w", (1 / F.col("_raw")).alias("o"), F.array(*[(F.col(f"z_{p}") - F.col("w") * F.col(f"q_{p}")) / F.col("_raw") for p in range(probes)]).alias("c")), f"{path}/facts")
+    m = each.count()
+    scale = nu / m if m else 0.0
+    layout = Panel(None, path, samples, 0, [], 0, side, COLUMNS)
+    groups = [range(k, min(k + per_group, probes)) for k in range(0, probes, per_group)]
+
+    # what absent dosages give all samples, by unit: -w c / sqrt(n) of each probe, and o w**2 / n
+    got = each.groupBy("unit").agg(F.sum(F.col("o") * F.col("w") * F.col("w") / samples), *[F.sum(F.col("w") * F.col("c")[p] / -root) for p in range(probes)]).collect()  # numbers of units times probes
+    flat = np.zeros((units, probes + 1))
+    for r in got:
+        flat[r[0], probes], flat[r[0], :probes] = r[1], r[2:]
+
+    def added(across: Callable[[tuple[int, int], np.ndarray], np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, sums = None, None
+
+            def closed() -> pa.RecordBatch:
+                values = []
+                for r, p in enumerate(groups):
+                    body = np.concatenate([sums[:, :, p.start : p.stop].reshape(len(sums), -1), sums[:, :, probes]], axis=1) * scale
+                    save(f"{path}-{now}-{r}", body.tobytes())
+                    values.append(across((now, r), body).tolist())
+                return pa.RecordBatch.from_arrays([pa.array([now] * len(groups), pa.int32()), pa.array(range(len(groups)), pa.int32()), pa.array(values, pa.list_(pa.float64()))], ["sb", "r", "value"])
+
+            for batch in batches:
+                sb, k, unit, g, own, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sb", "k", "unit", "g", "o", "w"))
+                c = batch.column("c").flatten().to_numpy().reshape(len(sb), probes)
+                for b in np.unique(sb):
+                    if b != now:
+                        if now is not None:
+                            yield closed()
+                        now, sums = int(b), np.repeat(flat[None], min(side, samples - int(b) * side), axis=0)
+                    at = (sb == b) & (k >= 0)
+                    x = np.column_stack([g[at, None] * c[at], own[at] * g[at] * (g[at] - 2 * w[at] / root)])
+                    np.add.at(sums, (k[at] - now * side, unit[at]), x)
+            if now is not None:
+                yield closed()
+
+        rows = calls.join(each, "vid").select(F.floor(F.col("k") / side).cast("int").alias("sb"), "k", "unit", "g", "o", "w", "c")
+        # a row that carries nothing, so that every block of samples has its sums
+        every = spark.range(-(-samples // side)).select(F.col("id").cast("int").alias("sb"), F.lit(-1).alias("k"), F.lit(0).alias("unit"), *[F.lit(0.0).alias(x) for x in ("g", "o", "w")], F.array_repeat(F.lit(0.0), probes).alias("c"))
+        made = rows.unionByName(every).repartition("sb").sortWithinPartitions("sb").mapInArrow(run, "sb int, r int, value array<double>")
+        return kept(made, f"{path}/across")
+
+    return _traced(spark, layout, units, groups, nu, path, added)
+
+
 def shares(traces: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row: rho_self and rho_apart, the shares of the summed traces that lie between groups of units (g, grp; each unit
     by itself unless given), and what corrections take: rho_diag = max(rho_self - rho_apart, 0) and

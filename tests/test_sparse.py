@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sgspark.operators import basis, blocks, sparse
+from sgspark.operators import basis, blocks, longrange, sparse
 
 N, M = 60, 40
 
@@ -48,3 +48,12 @@ def test_negative_weights_raise(spark, calls):
     q = basis.orthonormal(spark.range(N).selectExpr("cast(id AS int) AS k"), [])
     with pytest.raises(Exception, match="negative"):
         sparse.genomewide(calls, spark.range(M).selectExpr("id AS vid", "-1.0D AS base"), ["base"], 2, q.rows, q.rank, N).scores.collect()
+
+
+@pytest.mark.parametrize("side", [16, 2048])
+def test_traces_equal_dense(spark, table, calls, side):
+    unit = spark.createDataFrame([(j, j % 4) for j in range(M)], "vid long, unit int")
+    panel = spark.createDataFrame([(j, table[j].astype(float).tolist()) for j in range(M)], "vid long, e array<double>").join(unit, "vid")
+    want = longrange.unit_traces(panel, "unit", 5, 10, 4, side=side).orderBy("g", "h").toPandas()
+    got = longrange.carried_traces(calls, unit, 5, N, 10, 4, side=side).orderBy("g", "h").toPandas()
+    assert len(want) == 25 and np.allclose(got, want, rtol=1e-9, atol=1e-9)
