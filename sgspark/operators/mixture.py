@@ -19,6 +19,7 @@ sweep, with the same numbers. There have to be at least as many slots as blocks
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sgspark.operators import blocks
 from sgspark.operators.blocks import SAMPLES, Panel, _tiles, tiled
-from sgspark.sources.shared import load, save
+from sgspark.sources.shared import folder, kept, load, save
 
 
 class Candidate(NamedTuple):
@@ -55,21 +57,9 @@ def _sum(parts: list[str], shape: tuple[int, ...]) -> np.ndarray:
 def prepared(panel: DataFrame, traits: DataFrame, names: list[str], side: int = SAMPLES) -> str:
     """Tiles, Gram matrices and standardised traits in a folder, whose path is the result. panel: vid and e; traits: k (the
     sample's number, all of them) and the named columns without nulls. A trait that doesn't vary raises."""
-    spark = panel.sparkSession
     layout = tiled(panel.withColumn("_one", F.lit(1.0)), ["_one"], side=side)
     path, n = layout.path, layout.samples
-    stats = traits.agg(F.count("*").alias("n"), *[x for i, c in enumerate(names) for x in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"), F.count(c).alias(f"c{i}"))]).first()
-    if stats["n"] != n or any(stats[f"c{i}"] != n or not stats[f"s{i}"] > 0 for i in range(len(names))):
-        raise ValueError(f"traits are numbers of all {n} samples, and vary")
-    y = F.array(*[((F.col(c) - stats[f"m{i}"]) / stats[f"s{i}"]).cast("double") for i, c in enumerate(names)])
-
-    def keep(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("k")
-        flat = table["y"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        save(f"{path}/residual-0-{table['sb'][0].as_py()}", flat.astype(np.float64).tobytes())
-        return table.select(["sb"]).slice(0, 1)
-
-    traits.select(F.floor(F.col("k") / side).cast("int").alias("sb"), "k", y.alias("y")).groupBy("sb").applyInArrow(keep, "sb int").count()
+    _residuals(traits, names, path, n, side)
     slim = layout._replace(tiles=None)
 
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +93,142 @@ def prepared(panel: DataFrame, traits: DataFrame, names: list[str], side: int =
     return path
 
 
+def _residuals(traits: DataFrame, names: list[str], path: str, n: int, side: int) -> None:
+    """The standardised traits by block of samples."""
+    stats = traits.agg(F.count("*").alias("n"), *[x for i, c in enumerate(names) for x in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"), F.count(c).alias(f"c{i}"))]).first()
+    if stats["n"] != n or any(stats[f"c{i}"] != n or not stats[f"s{i}"] > 0 for i in range(len(names))):
+        raise ValueError(f"traits are numbers of all {n} samples, and vary")
+    y = F.array(*[((F.col(c) - stats[f"m{i}"]) / stats[f"s{i}"]).cast("double") for i, c in enumerate(names)])
+
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("k")
+        flat = table["y"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        save(f"{path}/residual-0-{table['sb'][0].as_py()}", flat.astype(np.float64).tobytes())
+        return table.select(["sb"]).slice(0, 1)
+
+    traits.select(F.floor(F.col("k") / side).cast("int").alias("sb"), "k", y.alias("y")).groupBy("sb").applyInArrow(keep, "sb int").count()
+
+
+def carried(calls: DataFrame, traits: DataFrame, names: list[str], samples: int, side: int = SAMPLES) -> str:
+    """prepared() from sparse dosages (vid, k, g) of ``samples`` samples numbered from 0, absent ones being 0. Variants go in
+    the order of vid, in chunks of at most VARIANTS that carry at most some CUT dosages; a tile holds its carriers only, so
+    what is written and held grows with the carriers, the samples, and the chunks' Gram matrices."""
+    path, n = folder(calls.sparkSession, "carried"), samples
+    _residuals(traits, names, path, n, side)
+    most, cut = blocks.VARIANTS, blocks.CUT
+    calls = kept(calls.select("vid", F.col("k").cast("long").alias("k"), F.col("g").cast("double").alias("g")), f"{path}/calls")
+    each = calls.groupBy("vid").agg(F.count("*").alias("size"), (F.sum("g") / n).alias("mean"), (F.sum(F.col("g") * F.col("g")) - F.sum("g") * F.sum("g") / n).alias("xx"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        vc, rows, held = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = np.empty((batch.num_rows, 2), np.int64)
+            for i, size in enumerate(batch.column("size").to_pylist()):
+                if rows and (rows == most or held + size > cut):
+                    vc, rows, held = vc + 1, 0, 0
+                out[i] = vc, rows
+                rows, held = rows + 1, held + size
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vid", "mean", "xx")), pa.array(out[:, 0]), pa.array(out[:, 1].astype(np.int32))], ["vid", "mean", "xx", "vc", "j"])
+
+    placed = kept(each.repartitionByRange("vid").sortWithinPartitions("vid").mapInArrow(place, "vid long, mean double, xx double, vc long, j int"), f"{path}/placed")
+    met = calls.join(placed, "vid").repartition("vc").sortWithinPartitions("vc")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for vc, table in _chunks(batches):
+            j, k, g, vid, mean, xx = (table[c].to_numpy() for c in ("j", "k", "g", "vid", "mean", "xx"))
+            order = np.argsort(k, kind="stable")
+            j, k, g, vid, mean, xx = (x[order] for x in (j, k, g, vid, mean, xx))
+            facts, ids = np.zeros((j.max() + 1, 2)), np.zeros(j.max() + 1, np.int64)
+            some = xx > 1e-10 * (xx + n * mean**2)
+            facts[j], ids[j] = np.column_stack([mean, np.where(some, np.sqrt((n - 1) / np.where(some, xx, 1)), 0)]), vid
+            products = np.zeros((len(ids), len(ids)))
+            np.add.at(products, (j, j), g * g)
+            lag, at = 1, np.arange(len(k))
+            while len(at := at[at + lag < len(k)]) and len(at := at[k[at] == k[at + lag]]):  # carriers of one sample stand side by side
+                np.add.at(products, (j[at], j[at + lag]), g[at] * g[at + lag])
+                np.add.at(products, (j[at + lag], j[at]), g[at] * g[at + lag])
+                lag += 1
+            gram = (products - n * np.outer(facts[:, 0], facts[:, 0])) * np.outer(facts[:, 1], facts[:, 1])
+            save(f"{path}/gram-{vc}", gram.tobytes())
+            save(f"{path}/vid-{vc}", ids.tobytes())
+            save(f"{path}/facts-{vc}", facts.tobytes())
+            m = int((np.diag(gram) > 0).sum())
+            edges = [0, *(np.flatnonzero(np.diff(k // side)) + 1), len(k)]
+            for a, b in itertools.pairwise(edges):
+                sb = int(k[a]) // side
+                body = j[a:b].astype(np.int32).tobytes() + (k[a:b] - sb * side).astype(np.int32).tobytes() + g[a:b].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([vc]), pa.array([m]), pa.array([sb], pa.int32()), pa.array([b - a], pa.int32()), pa.array([body], pa.binary())], ["vc", "m", "sb", "size", "body"])
+
+    tiles = kept(met.mapInArrow(cut_up, "vc long, m long, sb int, size int, body binary"), f"{path}/tiles")
+    chunks = sorted((r["vc"], r["m"]) for r in tiles.select("vc", "m").distinct().collect())  # two numbers a chunk
+    meta = {"samples": n, "side": side, "columns": 0, "traits": names, "chunks": [c for c, _ in chunks], "variants": sum(m for _, m in chunks), "carried": True}
+    save(f"{path}/meta", json.dumps(meta).encode())
+    return path
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each vc, which stand together."""
+    now, held = None, []
+    for batch in batches:
+        vc = batch.column("vc").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(vc)) + 1), len(vc)] if len(vc) else [0]
+        for a, b in itertools.pairwise(edges):
+            if held and vc[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(vc[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+class _Dense:
+    """Standardised genotypes x of a tile, as a matrix."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.rows = x, len(x)
+
+    def times(self, residual: np.ndarray) -> np.ndarray:
+        return self.x @ residual
+
+    def back(self, moved: np.ndarray, samples: int) -> np.ndarray:
+        return self.x.T @ moved
+
+
+class _Carried:
+    """The same from the carriers (row j, sample k, dosage g) of variants with a mean and a factor."""
+
+    def __init__(self, facts: np.ndarray, parts: list[tuple[int, bytes]]):
+        self.mean, self.by, self.rows = facts[:, :1], facts[:, 1:], len(facts)
+        body = [(np.frombuffer(b, np.int32, s), np.frombuffer(b, np.int32, s, 4 * s), np.frombuffer(b, np.float64, s, 8 * s)) for s, b in parts]
+        self.j, self.k, self.g = (np.concatenate(x) for x in zip(*body, strict=True)) if body else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+
+    def times(self, residual: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.rows, residual.shape[1]))
+        np.add.at(out, self.j, self.g[:, None] * residual[self.k])
+        return self.by * (out - self.mean * residual.sum(axis=0))
+
+    def back(self, moved: np.ndarray, samples: int) -> np.ndarray:
+        moved = self.by * moved
+        out = np.repeat(-(self.mean * moved).sum(axis=0)[None], samples, axis=0)
+        np.add.at(out, self.k, self.g[:, None] * moved[self.j])
+        return out
+
+
+def _carried(path: str, chunks: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Carried]]:
+    """Every chunk, in order, whether the task's samples carry anything of it or not."""
+    made = _chunks(batches)
+    now = next(made, None)
+    for vc in chunks:
+        parts = []
+        if now is not None and now[0] == vc:
+            parts = list(zip(now[1]["size"].to_pylist(), now[1]["body"].to_pylist(), strict=True))
+            now = next(made, None)
+        yield vc, _Carried(np.frombuffer(load(f"{path}/facts-{vc}")).reshape(-1, 2), parts)
+
+
 def _updated(c: np.ndarray, gram: np.ndarray, beta: np.ndarray, prior: np.ndarray, variance: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Effects (variants, columns) of a chunk after a sweep over it, given c = x'residual, and each column's part of the bound
     (without the residuals' squares): prior and variance are (2, columns), noise is (columns)."""
@@ -133,10 +259,10 @@ def fitted(spark: SparkSession, path: str, candidates: list[Candidate], sweeps:
     if any(not (0 < c.p < 1 and 0 < c.f < 1 and 0 < c.h2 < 1) for c in candidates):
         raise ValueError("p, f and h2 lie between 0 and 1")
     n, side, chunks, names = meta["samples"], meta["side"], meta["chunks"], meta["traits"]
-    layout = Panel(None, path, n, 0, ["_one"], 0, side, meta["columns"])
+    layout, sparse = Panel(None, path, n, 0, ["_one"], 0, side, meta["columns"]), meta.get("carried", False)
     tiles = spark.read.parquet(f"{path}/tiles")
     every = [c for _ in names for c in candidates]
-    columns, blocks = len(every), -(-n // side)
+    columns, blocks_ = len(every), -(-n // side)
     slab = max(meta["variants"], 1)
     p, f, h2 = (np.array([getattr(c, x) for c in every]) for x in ("p", "f", "h2"))
     prior, variance, noise = np.stack([p, 1 - p]), np.stack([(1 - f) / p, f / (1 - p)]) * h2 / slab, 1 - h2
@@ -153,17 +279,17 @@ def fitted(spark: SparkSession, path: str, candidates: list[Candidate], sweeps:
             from pyspark import BarrierTaskContext
 
             context = BarrierTaskContext.get()
-            residual, sb, bound, moved = None, -1, np.zeros(columns), 0.0
-            for vc, sb, tile in _tiles(layout, batches):
+            residual, sb, bound, moved = None, context.partitionId() if sparse else -1, np.zeros(columns), 0.0
+            made = ((vc, sb, x) for vc, x in _carried(path, chunks, batches)) if sparse else ((vc, b, _Dense(tile.u * np.sqrt(n - 1))) for vc, b, tile in _tiles(layout, batches))
+            for vc, sb, x in made:
                 if residual is None:
-                    residual = np.frombuffer(load(f"{path}/residual-{done}-{sb}")).reshape(tile.u.shape[1], -1).copy()
+                    residual = np.frombuffer(load(f"{path}/residual-{done}-{sb}")).reshape(-1, columns if done else len(names)).copy()
                     if not done:
                         residual = np.repeat(residual, len(candidates), axis=1)
-                x = tile.u * np.sqrt(n - 1)
-                c = _sum(context.allGather(_text(x @ residual)), (len(x), columns))
-                before = np.frombuffer(load(f"{path}/beta-{done}-{vc}")).reshape(-1, columns) if done else np.zeros((len(x), columns))
-                beta, part = _updated(c, np.frombuffer(load(f"{path}/gram-{vc}")).reshape(len(x), -1), before, prior, variance, noise)
-                residual -= x.T @ (beta - before)
+                c = _sum(context.allGather(_text(x.times(residual))), (x.rows, columns))
+                before = np.frombuffer(load(f"{path}/beta-{done}-{vc}")).reshape(-1, columns) if done else np.zeros((x.rows, columns))
+                beta, part = _updated(c, np.frombuffer(load(f"{path}/gram-{vc}")).reshape(x.rows, -1), before, prior, variance, noise)
+                residual += x.back(before - beta, len(residual))
                 bound, moved = bound + part, max(moved, float(np.abs(beta - before).max(initial=0)))
                 if sb == 0:
                     save(f"{path}/beta-{done + 1}-{vc}", beta.tobytes())
@@ -174,7 +300,7 @@ def fitted(spark: SparkSession, path: str, candidates: list[Candidate], sweeps:
                 bound = bound - squares / (2 * noise) - n / 2 * np.log(2 * np.pi * noise)
                 yield pa.RecordBatch.from_arrays([pa.array([bound.tolist()], pa.list_(pa.float64())), pa.array([moved])], ["bound", "moved"])
 
-        ordered = tiles.repartitionById(blocks, "sb").sortWithinPartitions("vc")
+        ordered = tiles.repartitionById(blocks_, "sb").sortWithinPartitions("vc")
         return ordered.mapInArrow(run, "bound array<double>, moved double", barrier=True).collect()
 
     bar = tolerance / np.sqrt(slab)

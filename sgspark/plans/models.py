@@ -152,10 +152,9 @@ def context_transfer(spark: SparkSession, d: str) -> DataFrame:
 def mixture_effects(spark: SparkSession, d: str) -> DataFrame:
     """Effects of all variants on both traits under two mixtures of two normals, after three sweeps."""
     samples = tables.samples(spark, d)
-    n = samples.count()
-    panel = _panel(spark, d)[0].select("vid", "e")
+    calls, _, _, n = _sparse(spark, d)
     side = max(blocks.SAMPLES, -(-n // max(1, spark.sparkContext.defaultParallelism)))  # no more blocks than slots
-    path = mixture.prepared(panel, samples.select(F.col("sid").cast("int").alias("k"), "y1", "y2"), ["y1", "y2"], side)
+    path = mixture.carried(calls, samples.select(F.col("sid").cast("int").alias("k"), "y1", "y2"), ["y1", "y2"], n, side)
     candidates = [mixture.Candidate("sparse", 0.05, 0.2, 0.4), mixture.Candidate("even", 0.5, 0.5, 0.4)]
     return rounded(mixture.fitted(spark, path, candidates, 3)[0], 9, "beta")
 

@@ -95,3 +95,16 @@ def test_odd_input(spark, data):
             mixture.prepared(panel, bad, ["y"])
     with pytest.raises(ValueError, match="between 0 and 1"):
         mixture.fitted(spark, mixture.prepared(panel, traits, ["y"]), [mixture.Candidate("x", 0.0, 0.5, 0.5)])
+
+
+@pytest.mark.parametrize("side", [2048, 30])
+def test_carriers_equal_numpy(spark, data, monkeypatch, side):
+    _, traits, e, y = data
+    monkeypatch.setattr(blocks, "VARIANTS", 16)
+    monkeypatch.setattr(blocks, "densified", None)
+    calls = spark.createDataFrame([(int(j), int(k), int(e[j, k])) for j, k in zip(*np.nonzero(e), strict=True)], "vid long, k int, g long")
+    path = mixture.carried(calls.where("k < 30 OR k >= 60 OR vid > 20"), traits, ["y", "z"], 90, side)
+    held = e.copy()
+    held[:21, 30:60] = 0
+    df, bounds = mixture.fitted(spark, path, CANDIDATES, 4, 0.0)
+    assert np.allclose(got(df), direct(held, y, range(40), 4)) and (np.diff(np.array(bounds), axis=0) > -1e-9).all()
