@@ -13,6 +13,7 @@ from sgspark.plans import queries as base
 from sgspark.plans.queries import BLOCKS, WIDTH, query, rounded
 from sgspark.session import checkpointed
 from sgspark.sources import files, genotypes, inputs, tables
+from sgspark.sources.shared import kept
 
 
 def _moments(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
@@ -298,10 +299,11 @@ def context_terms(spark: SparkSession, d: str) -> DataFrame:
 # --- readers -------------------------------------------------------------------------------------------------------
 
 
-def _put(rows: DataFrame, name: str, header: bool = True, sep: str = "\t") -> str:
-    """Writes a text file of the shared folder; null is NA."""
+def _put(rows: DataFrame, name: str, header: bool = True, sep: str = "\t", ordered: bool = False) -> str:
+    """Writes a text file of the shared folder; null is NA. Only where lines have an order is it a single part, as one task
+    would make all rows of it."""
     path = f"{checkpointed(rows.sparkSession).rstrip('/')}/texts/{name}-{uuid.uuid4().hex}"
-    rows.coalesce(1).write.csv(path, sep=sep, header=header, nullValue="NA")
+    (rows.coalesce(1) if ordered else rows).write.csv(path, sep=sep, header=header, nullValue="NA")
     return path
 
 
@@ -309,7 +311,9 @@ def _put_lines(rows: DataFrame, name: str, head: str) -> str:
     """The same with a header that a table of quoted values can't have."""
     path = f"{checkpointed(rows.sparkSession).rstrip('/')}/texts/{name}-{uuid.uuid4().hex}"
     first = rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
-    first.unionAll(rows.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in rows.columns]))).coalesce(1).write.text(path)
+    # the lines are made by many tasks; a single one copies them below the header
+    lines = kept(rows.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in rows.columns]).alias("value")), f"{path}-lines")
+    first.unionAll(lines).coalesce(1).write.text(path)
     return path
 
 
@@ -320,13 +324,13 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
 @query
 def read_bim(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.variants(spark, d).orderBy("pos").select("chr", "snp", F.lit("0.5").alias("cm"), "bp", "a1", "a2")
-    return files.bim(spark, _put(rows, "bim", False))
+    return files.bim(spark, _put(rows, "bim", False, ordered=True))
 
 
 @query
 def read_fam(spark: SparkSession, d: str) -> DataFrame:
     rows = _people(spark, d).orderBy("sid").select("fid", "iid", F.lit("0").alias("father"), F.lit("0").alias("mother"), (F.col("sid") % 2 + 1).alias("sex"), F.lit("-9").alias("pheno"))
-    return files.fam(spark, _put(rows, "fam", False, " "))
+    return files.fam(spark, _put(rows, "fam", False, " ", ordered=True))
 
 
 @query
@@ -404,13 +408,13 @@ def read_environment(spark: SparkSession, d: str) -> DataFrame:
 @query
 def read_kmoments(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.variants(spark, d).agg(F.count("*").alias("nsnps"), F.lit(3).alias("proj_rank"), F.sum("low").alias("t0_rank"), F.sum("high").alias("t1_rank"), F.sum("promo").alias("t2_rank"))
-    return inputs.kmoments(spark, _put(rows, "kmoments", sep=" "))
+    return inputs.kmoments(spark, _put(rows, "kmoments", sep=" ", ordered=True))
 
 
 @query
 def read_annotation_sizes(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.variants(spark, d).agg(F.count("*").alias("base"), F.sum("low").alias("low"), F.sum("promo").alias("promo"))
-    return inputs.annotation_sizes(spark, _put(rows, "m", False), 3)
+    return inputs.annotation_sizes(spark, _put(rows, "m", False, ordered=True), 3)
 
 
 @query
@@ -424,7 +428,7 @@ def read_weight_scores(spark: SparkSession, d: str) -> DataFrame:
 def read_thin_annotations(spark: SparkSession, d: str) -> DataFrame:
     axis = tables.variants(spark, d)
     rows = axis.orderBy("pos").select(F.col("high").alias("first"), F.col("promo").alias("second"))
-    return inputs.thin_annotations(spark, _put(rows, "thin", sep=" "), axis.select("idx", "pos"))
+    return inputs.thin_annotations(spark, _put(rows, "thin", sep=" ", ordered=True), axis.select("idx", "pos"))
 
 
 @query
@@ -444,7 +448,7 @@ def read_population_scale(spark: SparkSession, d: str) -> DataFrame:
 @query
 def read_rg_manifest(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.read(spark, d, "nation").where("n_nationkey < 5").orderBy("n_nationkey").select(F.col("n_name").alias("phen1"), F.lit("other").alias("phen2"), F.concat(F.lit("/a/"), "n_nationkey").alias("sumstats1"), F.lit("/b").alias("sumstats2"), (F.col("n_nationkey") / 100).alias("intercept_rg"), F.col("n_regionkey").alias("cov_rank1"))
-    return inputs.rg_manifest(spark, _put(rows, "manifest"))
+    return inputs.rg_manifest(spark, _put(rows, "manifest", ordered=True))
 
 
 QUERIES = base.QUERIES
