@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from sgspark.plans import models
+from sgspark.plans import models, queries
 from sgspark.sources import files
 
 
@@ -14,3 +14,8 @@ def test_tables_without_an_order_are_written_by_many_tasks(spark):
     assert len(list(Path(path.removeprefix("file:")).glob("part-*"))) == 4
     got = files.pairs(spark, path, 0.05).collect()
     assert sorted(r["iid1"] for r in got) == sorted(f"i{k}" for k in range(5, 100))
+
+
+def test_heritability_makes_the_dosages_once(spark, sf_dir):
+    plan = queries._h2_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "y1" in plan
