@@ -242,10 +242,11 @@ def gwas_adjusted(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gwas_by_ancestry(spark: SparkSession, d: str) -> DataFrame:
     """Effects of an allele in two backgrounds, fitted together."""
-    half = tables.samples(spark, d).select("sid", (F.col("nation") % 2).alias("side"))
-    rows = tables.dosage(spark, d).join(half, "sid").select("idx", "sid", (F.col("g") * (1 - F.col("side"))).alias("g0"), (F.col("g") * F.col("side")).alias("g1"))
+    parts = tables.parts_of(spark, d)
+    half = tables.dealt(tables.samples(spark, d).select("sid", (F.col("nation") % 2).alias("side")), parts, "sid")
+    rows = tables.dealt(tables.dosage(spark, d), parts, "sid").join(half, "sid").select("idx", "sid", (F.col("g") * (1 - F.col("side"))).alias("g0"), (F.col("g") * F.col("side")).alias("g1"))
     none = tables.samples(spark, d).select("sid")
-    return rounded(gwas.adjusted(rows, tables.phenotypes(spark, d), none, [], ["g0", "g1"]), 3, "beta_g0", "beta_g1", "se_g0", "se_g1")
+    return rounded(gwas.adjusted(rows, tables.phenotypes(spark, d), none, [], ["g0", "g1"], parts), 3, "beta_g0", "beta_g1", "se_g0", "se_g1")
 
 
 @query

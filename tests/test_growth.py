@@ -1,11 +1,14 @@
 """What keeps a task's share small."""
 
+import re
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from compare import assert_same
 from sgspark.plans import models, queries
-from sgspark.sources import files
+from sgspark.plans.registry import ORACLE_SQL, QUERIES
+from sgspark.sources import files, tables
 
 
 def test_tables_without_an_order_are_written_by_many_tasks(spark):
@@ -19,3 +22,16 @@ def test_tables_without_an_order_are_written_by_many_tasks(spark):
 def test_heritability_makes_the_dosages_once(spark, sf_dir):
     plan = queries._h2_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan and "y1" in plan
+
+
+def test_dosages_of_large_tables_are_dealt_to_more_partitions(spark, sf_dir, duck, monkeypatch):
+    monkeypatch.setattr(tables, "PART", 500)
+    parts = -(-duck.execute("SELECT count(*) FROM lineitem").fetchone()[0] // 500)
+    assert tables.parts_of(spark, sf_dir) == parts > 4
+    assert tables.dosage(spark, sf_dir).rdd.getNumPartitions() == parts
+    for name in ("v_dosage", "gwas_ols", "gwas_by_ancestry"):
+        rows = QUERIES[name](spark, sf_dir)
+        assert_same(rows.toPandas(), duck.execute(ORACLE_SQL[name]).df())
+        if name != "v_dosage":  # the join by sample, of which a task groups what it joins
+            plan = rows._jdf.queryExecution().optimizedPlan().toString()
+            assert len(re.findall(rf"RepartitionByExpression \[sid#\d+L?\], {parts}\b", plan)) >= 2
