@@ -236,7 +236,7 @@ def response_scales(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gwas_adjusted(spark: SparkSession, d: str) -> DataFrame:
     covariate = tables.samples(spark, d).select("sid", "env")
-    return rounded(gwas.adjusted(tables.dosage(spark, d), tables.phenotypes(spark, d), covariate, ["env"]), 5, "beta_g", "se_g")
+    return rounded(gwas.adjusted(tables.dosage(spark, d), tables.phenotypes(spark, d), covariate, ["env"], parts=tables.parts_of(spark, d)), 5, "beta_g", "se_g")
 
 
 @query

@@ -29,7 +29,7 @@ def test_dosages_of_large_tables_are_dealt_to_more_partitions(spark, sf_dir, duc
     parts = -(-duck.execute("SELECT count(*) FROM lineitem").fetchone()[0] // 500)
     assert tables.parts_of(spark, sf_dir) == parts > 4
     assert tables.dosage(spark, sf_dir).rdd.getNumPartitions() == parts
-    for name in ("v_dosage", "gwas_ols", "gwas_by_ancestry"):
+    for name in ("v_dosage", "gwas_ols", "gwas_adjusted", "gwas_by_ancestry"):
         rows = QUERIES[name](spark, sf_dir)
         assert_same(rows.toPandas(), duck.execute(ORACLE_SQL[name]).df())
         if name != "v_dosage":  # the join by sample, of which a task groups what it joins
