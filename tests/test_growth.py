@@ -3,9 +3,12 @@
 import re
 from pathlib import Path
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from compare import assert_same
+from sgspark.operators import gwas, solve, traits
 from sgspark.plans import models, queries
 from sgspark.plans.registry import ORACLE_SQL, QUERIES
 from sgspark.sources import files, tables
@@ -35,3 +38,18 @@ def test_dosages_of_large_tables_are_dealt_to_more_partitions(spark, sf_dir, duc
         if name != "v_dosage":  # the join by sample, of which a task groups what it joins
             plan = rows._jdf.queryExecution().optimizedPlan().toString()
             assert len(re.findall(rf"RepartitionByExpression \[sid#\d+L?\], {parts}\b", plan)) >= 2
+
+
+def test_solver_shuffles_the_dosages_before_its_rounds_only(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    g, y = rng.integers(0, 3, (23, 31)), rng.normal(size=23)
+    g[7] = 0  # a sample that carries nothing
+    dosage = spark.createDataFrame([(int(j) * 10**12, int(i) - 9, int(g[i, j])) for i in range(23) for j in range(31) if g[i, j]], "idx long, sid long, g long")
+    scale = traits.scale(gwas.variant_sums(dosage), spark.createDataFrame([(23,)], "n long"))
+    plans, product = [], solve._products
+    monkeypatch.setattr(solve, "_products", lambda calls, vector: (plans.append(calls._jdf.queryExecution().executedPlan().toString()), product(calls, vector))[1])
+    people = spark.createDataFrame([(i - 9, float(v)) for i, v in enumerate(y)] + [(99, None)], "sid long, y double")
+    got = solve.conjugate_gradients(dosage, scale, people, 0.5, 60, parts=3, side=4).orderBy("sid").toPandas()["u"].to_numpy()
+    x = (g - g.mean(0)) / g.std(0, ddof=1)
+    assert np.allclose(got[:-1], np.linalg.solve(x @ x.T / 31 + 0.5 * np.eye(23), y), atol=1e-6) and np.isnan(got[-1])
+    assert plans and not any("Exchange" in p or "Join" in p for p in plans)
