@@ -16,12 +16,11 @@ def variant_sums(dosage: DataFrame) -> DataFrame:
     return dosage.groupBy("idx").agg(F.sum("g").alias("sg"), F.sum(F.col("g") * F.col("g")).alias("sg2"), F.count("*").alias("carriers"))
 
 
-def ols(dosage: DataFrame, phenotypes: DataFrame, parts: int = 0) -> DataFrame:
+def ols(dosage: DataFrame, phenotypes: DataFrame) -> DataFrame:
     """Exact per-variant least squares on an intercept and the dosage: trait, idx, n, beta, se. Monomorphic variants are
-    left out. One shuffle by sample and one by (trait, variant); sums are whole numbers. A task groups what it joins, so the
-    samples are dealt to ``parts`` partitions, if given."""
+    left out. One shuffle by sample and one by (trait, variant); sums are whole numbers."""
     y = phenotypes.groupBy("trait").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("sy2"))
-    xy = dealt(dosage, parts, "sid").join(dealt(phenotypes, parts, "sid"), "sid").groupBy("trait", "idx").agg(F.sum(F.col("g") * F.col("y")).alias("sgy"), F.sum("g").alias("sg"), F.sum(F.col("g") * F.col("g")).alias("sg2"))
+    xy = dosage.join(phenotypes, "sid").groupBy("trait", "idx").agg(F.sum(F.col("g") * F.col("y")).alias("sgy"), F.sum("g").alias("sg"), F.sum(F.col("g") * F.col("g")).alias("sg2"))
     rows = xy.join(F.broadcast(y), "trait")
     n, sg, sy = F.col("n"), F.col("sg"), F.col("sy")
     sxx, sxy, syy = spread(n, F.col("sg2"), sg, sg), spread(n, F.col("sgy"), sg, sy), spread(n, F.col("sy2"), sy, sy)
@@ -34,7 +33,8 @@ def adjusted(dosage: DataFrame, phenotypes: DataFrame, covariates: DataFrame, na
     """Per trait and variant least squares on an intercept, covariates (sid, ...) and one or more columns of the sparse
     table ``dosage`` (idx, sid, ...; absent rows are 0), together: trait, idx, n, and beta_<c> and se_<c> for each column.
     The covariates' cross-products are one row a trait; a variant adds its own sums, and its equations are solved where
-    they are. Variants of which a column has no variance beyond the others are left out. parts as in ols()."""
+    they are. Variants of which a column has no variance beyond the others are left out. A task groups
+    what it joins, so samples are dealt to ``parts`` partitions, if given."""
     base = phenotypes.join(covariates, "sid").withColumn("one", F.lit(1.0))
     z = ["one", *names]
     shared = base.groupBy("trait").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).cast("double").alias("yy"), *[F.sum(F.col(a) * F.col(b)).cast("double").alias(f"{a}_{b}") for i, a in enumerate(z) for b in z[i:]], *[F.sum(F.col(a) * F.col("y")).cast("double").alias(f"{a}_y") for a in z])
