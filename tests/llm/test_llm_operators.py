@@ -608,3 +608,46 @@ def test_long_and_deep_pages_take_time_in_proportion():
         start = time.process_time()
         html_extract.main_text(page)
         assert time.process_time() - start < 15, unit  # quadratic time takes minutes
+
+
+def test_small_groups_are_shingled_together(monkeypatch):
+    from fractions import Fraction
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from sgspark.llm import setjoin
+
+    rng, calls, caught = np.random.default_rng(11), [], []
+    texts = ["".join(rng.choice(list("abcdefgh é"), 60)) for _ in range(400)]
+    pairs = [(g, t) for g, text in enumerate(texts) for t in (text, text + "!", "short"[: g % 6])]
+    same = SimpleNamespace(sparkSession=None)
+    same.repartition = same.sortWithinPartitions = lambda *_: same
+    monkeypatch.setattr(setjoin, "partitions", lambda _: 1)
+    monkeypatch.setattr(setjoin, "map_arrow", lambda df, run, schema: run)
+    make = setjoin.char_shingles(8)
+    run = setjoin.verified(same, lambda s: calls.append(1) or make(s), Fraction(4, 5))
+    column = lambda values, kind=pa.int64(): pa.array(values, kind)
+    n = len(pairs)
+    rows = pa.RecordBatch.from_arrays([column([g for g, _ in pairs]), *[column([0] * n, pa.int32())] * 3, column(range(n)), column([1] * n), column([t for _, t in pairs], pa.string())], ["gid", "ti", "tj", "block", "uid", "mult", "text"])
+    for at in range(0, n, 500):
+        caught.append(rows.slice(at, 500))
+    got = [r for b in run(iter(caught)) for r in b.to_pylist()]
+    assert sorted((r["a"], r["b"]) for r in got if r["kind"]) == [(3 * g + 1, 3 * g) for g in range(400)]
+    assert sorted((r["a"], r["w"]) for r in got if not r["kind"]) == sorted((3 * g + k, 1) for g in range(400) for k in range(2))
+    assert len(calls) <= 10
+
+
+def test_runs_of_characters_are_those_of_each_text():
+    import pyarrow as pa
+
+    from sgspark.llm import setjoin, textcore as tc
+
+    texts = ["", "a", "abcdefg", "abcdefgh", "", "é", "éabcdefghé", "x" * 30, "abc", ""]
+    for column in (texts, texts[3:5] + texts[6:8], ["", ""], ["ab"], []):
+        for s in tc.slices(pa.array(column, pa.string())):
+            h, offsets = setjoin.char_shingles(8)(s)
+            assert np.diff(offsets).tolist() == [max(len(t) - 7, min(len(t), 1)) for t in column]
+            for i, t in enumerate(column):
+                one = setjoin.char_shingles(8)(next(iter(tc.slices(pa.array([t])))))[0]
+                assert h[offsets[i] : offsets[i + 1]].tolist() == one.tolist()
