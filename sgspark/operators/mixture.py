@@ -11,7 +11,9 @@ and the new effect is the weighted mean of m. Updates in sequence never lower th
 
 A sweep is one barrier job with a task for each block of samples, which holds the residuals of its samples for all traits
 and candidates. Tasks read their tiles chunk of variants by chunk, give each other their parts of x'residual, and update
-the chunk's effects, all in the same way, from its Gram matrix, before they take the change out of their residuals. The
+the chunk's effects, all in the same way, from its Gram matrix, before they take the change out of their residuals. As such
+an exchange takes a second whatever its size, chunks of carried variants are large, and their Gram matrix is a row of constants
+and the products of variants that some sample carries both of. The
 sweep's effects and residuals are written to the prepared folder, so a fit that is cut off goes on after its last whole
 sweep, with the same numbers. There have to be at least as many slots as blocks of samples: choose ``side`` so.
 """
@@ -34,6 +36,10 @@ from sgspark.operators.blocks import SAMPLES, Panel, _tiles, tiled
 from sgspark.sources.shared import folder, kept, load, save
 
 
+#: Products of a chunk's carried variants, carriers that a task cuts into chunks, and sums that the tasks exchange at once.
+PAIRS, HELD, SUMS = 1 << 22, 1 << 21, 1 << 21
+
+
 class Candidate(NamedTuple):
     """p: share of the variants in the wide component; f: share of the variance in the narrow one; h2."""
 
@@ -111,13 +117,18 @@ def _residuals(traits: DataFrame, names: list[str], path: str, n: int, side: int
 
 def carried(calls: DataFrame, traits: DataFrame, names: list[str], samples: int, side: int = SAMPLES) -> str:
     """prepared() from sparse dosages (vid, k, g) of ``samples`` samples numbered from 0, absent ones being 0. Variants go in
-    the order of vid, in chunks of at most VARIANTS that carry at most some CUT dosages; a tile holds its carriers only, so
-    what is written and held grows with the carriers, the samples, and the chunks' Gram matrices."""
+    the order of vid, in chunks of at most PAIRS products of two variants that a sample carries both of (or of VARIANTS
+    variants, where that is more); a tile holds its carriers only, so what is written and held grows with the carriers, the
+    samples, and the chunks' products."""
     path, n = folder(calls.sparkSession, "carried"), samples
     _residuals(traits, names, path, n, side)
-    most, cut = blocks.VARIANTS, blocks.CUT
+    square = blocks.VARIANTS
+    most = max(square, SUMS // (-(-n // side) * len(names)))
     calls = kept(calls.select("vid", F.col("k").cast("long").alias("k"), F.col("g").cast("double").alias("g")), f"{path}/calls")
     each = calls.groupBy("vid").agg(F.count("*").alias("size"), (F.sum("g") / n).alias("mean"), (F.sum(F.col("g") * F.col("g")) - F.sum("g") * F.sum("g") / n).alias("xx"))
+    each = kept(each, f"{path}/each")
+    size = each.agg(F.count("*").alias("rows"), F.sum("size").alias("held")).first()
+    parts = max(1, -(-size["rows"] // most), -(-2 * (size["held"] or 0) // HELD))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -126,40 +137,64 @@ def carried(calls: DataFrame, traits: DataFrame, names: list[str], samples: int,
         for batch in batches:
             out = np.empty((batch.num_rows, 2), np.int64)
             for i, size in enumerate(batch.column("size").to_pylist()):
-                if rows and (rows == most or held + size > cut):
+                if rows and (rows == most or held + size > HELD):
                     vc, rows, held = vc + 1, 0, 0
                 out[i] = vc, rows
                 rows, held = rows + 1, held + size
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vid", "mean", "xx")), pa.array(out[:, 0]), pa.array(out[:, 1].astype(np.int32))], ["vid", "mean", "xx", "vc", "j"])
 
-    placed = kept(each.repartitionByRange("vid").sortWithinPartitions("vid").mapInArrow(place, "vid long, mean double, xx double, vc long, j int"), f"{path}/placed")
+    placed = kept(each.repartitionByRange(parts, "vid").sortWithinPartitions("vid").mapInArrow(place, "vid long, mean double, xx double, vc long, j int"), f"{path}/placed")
     met = calls.join(placed, "vid").repartition("vc").sortWithinPartitions("vc")
 
+    def products(j: np.ndarray, k: np.ndarray, g: np.ndarray, rows: int) -> bytes:
+        """Sums of g_i g_j of each variant j with those before it, by j: where each begins, the sums, and their i. Carriers are
+        in the order of sample and variant."""
+        found, lag, at = [], 1, np.arange(len(k))
+        total = np.zeros((rows, rows)) if rows <= square else None
+        while len(at := at[at + lag < len(k)]) and len(at := at[k[at] == k[at + lag]]):  # carriers of one sample stand side by side
+            if total is not None:
+                np.add.at(total, (j[at + lag], j[at]), g[at] * g[at + lag])
+            else:
+                found.append((j[at + lag] * rows + j[at], g[at] * g[at + lag]))
+            lag += 1
+        if total is not None:
+            one, two = np.nonzero(total)
+            value = total[one, two]
+        else:
+            code, of = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in found)]), return_inverse=True)
+            value = np.bincount(of, weights=np.concatenate([np.zeros(0), *(v for _, v in found)]), minlength=len(code))
+            one, two = code // rows, code % rows
+        return np.searchsorted(one, np.arange(rows + 1)).astype(np.int64).tobytes() + value.tobytes() + two.astype(np.int32).tobytes()
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for vc, table in _chunks(batches):
+        for whole, table in _chunks(batches):
             j, k, g, vid, mean, xx = (table[c].to_numpy() for c in ("j", "k", "g", "vid", "mean", "xx"))
-            order = np.argsort(k, kind="stable")
-            j, k, g, vid, mean, xx = (x[order] for x in (j, k, g, vid, mean, xx))
+            j = j.astype(np.int64)
             facts, ids = np.zeros((j.max() + 1, 2)), np.zeros(j.max() + 1, np.int64)
             some = xx > 1e-10 * (xx + n * mean**2)
             facts[j], ids[j] = np.column_stack([mean, np.where(some, np.sqrt((n - 1) / np.where(some, xx, 1)), 0)]), vid
-            products = np.zeros((len(ids), len(ids)))
-            np.add.at(products, (j, j), g * g)
-            lag, at = 1, np.arange(len(k))
-            while len(at := at[at + lag < len(k)]) and len(at := at[k[at] == k[at + lag]]):  # carriers of one sample stand side by side
-                np.add.at(products, (j[at], j[at + lag]), g[at] * g[at + lag])
-                np.add.at(products, (j[at + lag], j[at]), g[at] * g[at + lag])
-                lag += 1
-            gram = (products - n * np.outer(facts[:, 0], facts[:, 0])) * np.outer(facts[:, 1], facts[:, 1])
-            save(f"{path}/gram-{vc}", gram.tobytes())
-            save(f"{path}/vid-{vc}", ids.tobytes())
-            save(f"{path}/facts-{vc}", facts.tobytes())
-            m = int((np.diag(gram) > 0).sum())
-            edges = [0, *(np.flatnonzero(np.diff(k // side)) + 1), len(k)]
-            for a, b in itertools.pairwise(edges):
-                sb = int(k[a]) // side
-                body = j[a:b].astype(np.int32).tobytes() + (k[a:b] - sb * side).astype(np.int32).tobytes() + g[a:b].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([vc]), pa.array([m]), pa.array([sb], pa.int32()), pa.array([b - a], pa.int32()), pa.array([body], pa.binary())], ["vc", "m", "sb", "size", "body"])
+            order = np.lexsort([j, k])
+            j, k, g = j[order], k[order], g[order]
+            first, turn = 0, 0
+            while first < len(ids):
+                # how many products variants from ``first`` on have with those before them, and so where the chunk ends
+                place = np.arange(len(k))
+                rank = place - np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), place, 0))
+                met = np.cumsum(np.bincount(j - first, weights=rank, minlength=len(ids) - first))
+                last = min(len(ids), first + max(square, int(np.searchsorted(met, PAIRS, side="right"))))
+                now = j < last
+                vc, jj, kk, gg, own = (whole << 14) + turn, j[now] - first, k[now], g[now], facts[first:last]
+                save(f"{path}/gram-{vc}", products(jj, kk, gg, last - first))
+                save(f"{path}/vid-{vc}", ids[first:last].tobytes())
+                save(f"{path}/facts-{vc}", own.tobytes())
+                m = int((own[:, 1] > 0).sum())
+                edges = [0, *(np.flatnonzero(np.diff(kk // side)) + 1), len(kk)]
+                for a, b in itertools.pairwise(edges):
+                    sb = int(kk[a]) // side
+                    body = jj[a:b].astype(np.int32).tobytes() + (kk[a:b] - sb * side).astype(np.int32).tobytes() + gg[a:b].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([vc]), pa.array([m]), pa.array([sb], pa.int32()), pa.array([b - a], pa.int32()), pa.array([body], pa.binary())], ["vc", "m", "sb", "size", "body"])
+                j, k, g = j[~now], k[~now], g[~now]
+                first, turn = last, turn + 1
 
     tiles = kept(met.mapInArrow(cut_up, "vc long, m long, sb int, size int, body binary"), f"{path}/tiles")
     chunks = sorted((r["vc"], r["m"]) for r in tiles.select("vc", "m").distinct().collect())  # two numbers a chunk
@@ -206,15 +241,15 @@ class _Carried:
         self.j, self.k, self.g = (np.concatenate(x) for x in zip(*body, strict=True)) if body else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
 
     def times(self, residual: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.rows, residual.shape[1]))
-        np.add.at(out, self.j, self.g[:, None] * residual[self.k])
+        out = self._sums(self.j, residual[self.k], self.rows)
         return self.by * (out - self.mean * residual.sum(axis=0))
 
     def back(self, moved: np.ndarray, samples: int) -> np.ndarray:
         moved = self.by * moved
-        out = np.repeat(-(self.mean * moved).sum(axis=0)[None], samples, axis=0)
-        np.add.at(out, self.k, self.g[:, None] * moved[self.j])
-        return out
+        return self._sums(self.k, moved[self.j], samples) - (self.mean * moved).sum(axis=0)
+
+    def _sums(self, at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        return np.column_stack([np.bincount(at, weights=self.g * v, minlength=size) for v in values.T])
 
 
 def _carried(path: str, chunks: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Carried]]:
@@ -251,6 +286,42 @@ def _updated(c: np.ndarray, gram: np.ndarray, beta: np.ndarray, prior: np.ndarra
     return beta, bound
 
 
+def _updated_carried(c: np.ndarray, gram: bytes, x: _Carried, beta: np.ndarray, n: int, prior: np.ndarray, variance: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_updated() where the Gram matrix is by_i by_j (p_ij - n mean_i mean_j), p the products of carried(), and n - 1 on the
+    diagonal of variants that vary."""
+    rows, g = len(beta), n - 1.0
+    start = np.frombuffer(gram, np.int64, rows + 1).tolist()
+    value = np.frombuffer(gram, np.float64, start[-1], 8 * (rows + 1))
+    to = np.frombuffer(gram, np.int32, start[-1], 8 * (rows + 1 + start[-1]))
+    s = 1 / (g / noise + 1 / variance)
+    level = np.log(prior) + 0.5 * np.log(s / variance)
+    lean, bend = level[1] - level[0], (s[1] - s[0]) / (2 * noise * noise)
+    narrow, wider = s[1] / noise, (s[0] - s[1]) / noise
+    t, new, moved, shift = c + g * beta, beta.copy(), np.zeros_like(beta), np.zeros(len(noise))
+    with np.errstate(over="ignore"):
+        for j, (mean, by) in enumerate(zip(x.mean[:, 0].tolist(), x.by[:, 0].tolist(), strict=True)):
+            if by <= 0:
+                continue
+            now, a, b = t[j], start[j], start[j + 1]
+            now += (n * mean * by) * shift
+            if b > a:
+                now -= by * value[a:b].dot(moved.take(to[a:b], axis=0))
+            weight = 1 / (1 + np.exp(now * now * bend + lean))
+            new[j] = now * (narrow + weight * wider)
+            change = by * (new[j] - beta[j])
+            moved[j] = change
+            shift += mean * change
+    some = x.by[:, 0] > 0
+    m = s[:, None] * t[some] / noise
+    score = level[:, None] + m * m / (2 * s[:, None])
+    weight = np.exp(score - score.max(axis=0))
+    weight /= weight.sum(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        entropy = np.where(weight > 0, weight * (np.log(prior)[:, None] - np.log(weight)), 0).sum(axis=(0, 1))
+    own = (weight * (0.5 * np.log(s / variance)[:, None] + 0.5 - (m * m + s[:, None]) / (2 * variance[:, None]))).sum(axis=(0, 1))
+    return new, entropy + own - (g * ((weight * (s[:, None] + m * m)).sum(axis=0) - new[some] ** 2) / (2 * noise)).sum(axis=0)
+
+
 def fitted(spark: SparkSession, path: str, candidates: list[Candidate], sweeps: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, list[list[float]]]:
     """(vid, trait, candidate, beta) of standardised genotypes and traits, and the bounds of each sweep so far by column
     (traits, and within them candidates). Goes on from the folder's last whole sweep; ends after ``sweeps`` in all, or when
@@ -288,7 +359,8 @@ def fitted(spark: SparkSession, path: str, candidates: list[Candidate], sweeps:
                         residual = np.repeat(residual, len(candidates), axis=1)
                 c = _sum(context.allGather(_text(x.times(residual))), (x.rows, columns))
                 before = np.frombuffer(load(f"{path}/beta-{done}-{vc}")).reshape(-1, columns) if done else np.zeros((x.rows, columns))
-                beta, part = _updated(c, np.frombuffer(load(f"{path}/gram-{vc}")).reshape(x.rows, -1), before, prior, variance, noise)
+                gram = load(f"{path}/gram-{vc}")
+                beta, part = _updated_carried(c, gram, x, before, n, prior, variance, noise) if sparse else _updated(c, np.frombuffer(gram).reshape(x.rows, -1), before, prior, variance, noise)
                 residual += x.back(before - beta, len(residual))
                 bound, moved = bound + part, max(moved, float(np.abs(beta - before).max(initial=0)))
                 if sb == 0:

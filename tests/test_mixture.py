@@ -1,5 +1,7 @@
 """Mixture fits against the same updates in numpy; bounds, tasks, and fits that are cut off."""
 
+import json
+
 import numpy as np
 import pytest
 
@@ -108,3 +110,23 @@ def test_carriers_equal_numpy(spark, data, monkeypatch, side):
     held[:21, 30:60] = 0
     df, bounds = mixture.fitted(spark, path, CANDIDATES, 4, 0.0)
     assert np.allclose(got(df), direct(held, y, range(40), 4)) and (np.diff(np.array(bounds), axis=0) > -1e-9).all()
+
+
+def test_carried_variants_are_exchanged_in_large_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n, m = 400, 3000
+    e = (rng.random((m, n)) < 0.01).astype(int) * rng.integers(1, 3, (m, n))
+    e[7], e[8] = 0, 1
+    y = rng.normal(size=(n, 2)) + e[3][:, None]
+    traits = spark.createDataFrame([(k, float(y[k, 0]), float(y[k, 1])) for k in range(n)], "k int, y double, z double")
+    calls = spark.createDataFrame([(int(j), int(k), int(e[j, k])) for j, k in zip(*np.nonzero(e), strict=True)], "vid long, k int, g long")
+    kept = np.flatnonzero(e.any(1))
+    want = direct(e, y, range(m), 2)
+    for pairs, square, few in ((mixture.PAIRS, 1024, 1), (20_000, 16, 60)):
+        monkeypatch.setattr(mixture, "PAIRS", pairs)
+        monkeypatch.setattr(blocks, "VARIANTS", square)
+        path = mixture.carried(calls, traits, ["y", "z"], n, 200)
+        chunks = json.loads(mixture.load(f"{path}/meta"))["chunks"]
+        assert len(chunks) == 1 if few == 1 else 1 < len(chunks) <= few  # an exchange takes a second whatever its size
+        df, bounds = mixture.fitted(spark, path, CANDIDATES, 2, 0.0)
+        assert np.allclose(got(df, m)[kept], want[kept], atol=1e-12) and (np.diff(np.array(bounds), axis=0) > -1e-9).all()
